@@ -139,22 +139,39 @@ def sliced(df: DataFrame, group: list[str], order: list[str]) -> Sliced:
     return Sliced(placed, group, order, cut=True)
 
 
+def add_running(base: Sliced, value: Column, into: str) -> Sliced:
+    """Cumulative sum over the rows of each group, as a column of the sliced frame."""
+    upto = base.window().rowsBetween(Window.unboundedPreceding, 0)
+    out = base.df.withColumn("__v", value)
+    out = out.withColumn(into, F.coalesce(F.sum("__v").over(upto), F.lit(0)))
+    if base.cut:
+        carried = Sliced(out, base.group, base.order, True).carried(
+            F.sum("__v"), lambda own, w: F.sum(own).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+        out = base.with_carry(out, carried)
+        out = out.withColumn(into, _col(into) + F.coalesce(F.col("__carry"), F.lit(0))).drop("__carry")
+    return Sliced(out.drop("__v"), base.group, base.order, base.cut)
+
+
+def add_prior(base: Sliced, columns: dict[str, str]) -> Sliced:
+    """Values of the row above, as columns of the sliced frame."""
+    above = F.struct(*[_col(source).alias(new) for new, source in columns.items()])
+    out = base.df.withColumn("__above", F.lag(above).over(base.window()))
+    if base.cut:
+        out = out.withColumn("__first", F.row_number().over(base.window()) == 1)
+        place = F.struct(*[_col(c) for c in base.order])
+        carried = base.carried(F.max_by(above, place), lambda own, w: F.lag(own).over(w))
+        out = base.with_carry(out, carried)
+        out = out.withColumn("__above", F.when(F.col("__first") & F.col(HOT), F.col("__carry"))
+                             .otherwise(F.col("__above"))).drop("__carry", "__first")
+    out = out.withColumns({new: F.col("__above")[new] for new in columns}).drop("__above")
+    return Sliced(out, base.group, base.order, base.cut)
+
+
 def running_total(df: DataFrame, group: list[str], order: list[str], value: Column | str,
                   into: str = "running_total") -> DataFrame:
     """Cumulative sum in row order within each group, empty cells as zero."""
     amount = _col(value) if isinstance(value, str) else value
-    base = sliced(df.withColumn("__v", amount), group, order)
-    running = F.coalesce(F.sum("__v").over(base.window().rowsBetween(Window.unboundedPreceding, 0)),
-                         F.lit(0))
-    out = base.df.withColumn("__local", running)
-    if base.cut:
-        carried = base.carried(
-            F.sum("__v"),
-            lambda own, w: F.sum(own).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-        out = base.with_carry(out, carried)
-        running = F.col("__local") + F.coalesce(F.col("__carry"), F.lit(0))
-        return out.withColumn(into, running).drop("__v", "__local", "__carry", SLICE, HOT)
-    return out.withColumn(into, F.col("__local")).drop("__v", "__local", SLICE, HOT)
+    return add_running(sliced(df, group, order), amount, into).df.drop(SLICE, HOT)
 
 
 def row_rank(df: DataFrame, group: list[str], order: list[str], into: str = "rank") -> DataFrame:
@@ -164,17 +181,7 @@ def row_rank(df: DataFrame, group: list[str], order: list[str], into: str = "ran
 
 def prior_row(df: DataFrame, group: list[str], order: list[str], columns: dict[str, str]) -> DataFrame:
     """Values of the row above, as ``{new column: source column}``."""
-    above = F.struct(*[_col(source).alias(new) for new, source in columns.items()])
-    base = sliced(df, group, order)
-    out = base.df.withColumns({"__above": F.lag(above).over(base.window())})
-    if base.cut:
-        out = out.withColumn("__first", F.row_number().over(base.window()) == 1)
-        place = F.struct(*[_col(c) for c in order])
-        carried = base.carried(F.max_by(above, place), lambda own, w: F.lag(own).over(w))
-        out = base.with_carry(out, carried)
-        out = out.withColumn("__above", F.when(F.col("__first") & F.col(HOT), F.col("__carry"))
-                             .otherwise(F.col("__above"))).drop("__carry", "__first")
-    return out.withColumns({new: F.col("__above")[new] for new in columns}).drop("__above", SLICE, HOT)
+    return add_prior(sliced(df, group, order), columns).df.drop(SLICE, HOT)
 
 
 def fill_forward(df: DataFrame, group: list[str], order: list[str], value: str, into: str) -> DataFrame:
