@@ -46,7 +46,7 @@ def parameter_value(parameters: DataFrame, name: str, name_column: str = "parame
     return F.lit(found[0][0]).cast(parameters.schema[value_column].dataType)
 
 
-def subtotal(df: DataFrame, visible: Column, **totals: Column) -> DataFrame:
+def subtotal(df: DataFrame, visible: Column, totals: dict[str, Column]) -> DataFrame:
     """SUBTOTAL: aggregate the visible rows only."""
     return df.where(visible).agg(*[total.alias(name) for name, total in totals.items()])
 

@@ -37,24 +37,47 @@ def _enclosing(point: Column, levels: int) -> Column:
                      for level in range(levels + 1)])
 
 
+# Up to this many producers on a sheet, comparing every consumer with them costs no more rows than the
+# blocks would; that bounds what one row is joined to. Fuller sheets go by blocks.
+FEW_PRODUCERS = 64
+
+
 def overlap_edges(producers: DataFrame, consumers: DataFrame, partition: str = "sheet") -> DataFrame:
     """(src, dst) for every producer rectangle a consumer rectangle touches, itself excluded.
 
     Both sides hold ``id``, the partition column and ``min_row, max_row, min_col, max_col``.
     """
+    sides = ["id", partition, "min_row", "max_row", "min_col", "max_col"]
+    producers, consumers = producers.select(*sides), consumers.select(*sides)
+    full = producers.groupBy(partition).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FEW_PRODUCERS).select(partition)
+    some_full = bool(full.take(1))
+    few = producers.join(full, partition, "left_anti") if some_full else producers
+    p, c = few.alias("p"), consumers.alias("c")
+    touch = F.lit(True)
+    for axis in ("row", "col"):
+        touch = touch & (F.col(f"p.min_{axis}") <= F.col(f"c.max_{axis}")) & (F.col(f"c.min_{axis}") <= F.col(f"p.max_{axis}"))
+    near = p.join(c, (F.col(f"p.{partition}") == F.col(f"c.{partition}")) & (F.col("p.id") != F.col("c.id")) & touch)
+    edges = near.select(F.col("p.id").alias("src"), F.col("c.id").alias("dst"))
+    if some_full:
+        edges = edges.unionByName(_edges_by_blocks(
+            producers.join(full, partition, "left_semi"), consumers.join(full, partition, "left_semi"), partition))
+    return edges.distinct()
+
+
+def _edges_by_blocks(producers: DataFrame, consumers: DataFrame, partition: str) -> DataFrame:
     def depth(low: str, high: str) -> int:
         both = producers.select(low, high).unionByName(consumers.select(low, high))
         longest = both.agg(F.max(F.col(high) - F.col(low) + 1)).first()[0] or 1
         return max(0, int(longest).bit_length() - 1)
     levels = {"row": depth("min_row", "max_row"), "col": depth("min_col", "max_col")}
 
-    def keyed(df: DataFrame, id_name: str, points: dict[str, bool], strict: bool) -> DataFrame:
-        out = df.select(F.col("id").alias(id_name), F.col(partition), "min_row", "max_row", "min_col", "max_col")
+    def keyed(df: DataFrame, name: str, points: dict[str, bool], strict: bool) -> DataFrame:
+        out = df.withColumnRenamed("id", name)
         for axis, as_point in points.items():
             low, high = F.col(f"min_{axis}"), F.col(f"max_{axis}")
             keys = _enclosing(low, levels[axis]) if as_point else _blocks(low + 1 if strict else low, high, levels[axis])
             out = out.withColumn(f"{axis}_key", F.explode(keys))
-        return out.select(id_name, partition, "row_key", "col_key")
+        return out.select(name, partition, "row_key", "col_key")
 
     # Two intervals overlap when the producer starts inside the consumer, or the consumer starts
     # inside the producer but not where the producer starts. One of the two per axis.
@@ -65,7 +88,7 @@ def overlap_edges(producers: DataFrame, consumers: DataFrame, partition: str = "
             dst = keyed(consumers, "dst", {"row": not row_point, "col": not col_point}, strict=False)
             part = src.join(dst, [partition, "row_key", "col_key"]).where(F.col("src") != F.col("dst")).select("src", "dst")
             edges = part if edges is None else edges.unionByName(part)
-    return edges.distinct()
+    return edges
 
 
 def graph_degrees(edges: DataFrame) -> DataFrame:

@@ -95,7 +95,7 @@ def _column_counters(index: int, field: T.StructField, redacted: bool) -> list[C
         number = ~blank & numeric_text_shape(value)
         made |= {"text": F.count_if(number), "looks": F.count_if(looks_numeric(value)),
                  "space": F.count_if(~blank & (value != strip(value))),
-                 "nbsp": F.count_if(~blank & value.contains(" ")), "empty": F.count_if(blank),
+                 "nbsp": F.count_if(~blank & value.contains("\u00a0")), "empty": F.count_if(blank),
                  "error": F.count_if(value_kind(value, field.dataType) == "error")}
         # The set holds at most one entry per known layout.
         made["layouts"] = F.size(F.collect_set(date_text_layout(F.when(~blank & ~number, value))))
