@@ -22,9 +22,11 @@ ERROR_LITERALS = [
 
 # A number as people write it. Java would also accept "1d", "NaN" and "Infinity".
 PLAIN_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-# (?U) makes \s cover the no-break space.
-EDGE_SPACE = r"(?U)^\s+|\s+$"
-NUMBER_CLUTTER = r"(?U)[\s,$£€¥]"
+# Every character Unicode counts as white space, the no-break spaces included.
+SPACES = ("\t\n\x0b\x0c\r \x85\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200b)))
+          + "\u2028\u2029\u202f\u205f\u3000")
+# What a displayed number may carry beside its digits.
+NUMBER_CLUTTER = SPACES + ",$£€¥"
 
 Operand = Column | int | float
 
@@ -39,7 +41,7 @@ def _operand(value: Operand) -> Column:
 
 def strip(value: Column) -> Column:
     """Trim every kind of white space, the no-break space included."""
-    return F.regexp_replace(value, EDGE_SPACE, "")
+    return F.btrim(value, F.lit(SPACES))
 
 
 def empty_as_zero(value: Column) -> Column:
@@ -83,10 +85,10 @@ def to_number(value: Column) -> Column:
     """Read a displayed number: ``(1,234.50)``, ``£12``, ``4.5%``, ``1e3``; else null."""
     text = strip(value.cast("string"))
     negative = text.startswith("(") & text.endswith(")")
-    inner = F.when(negative, F.regexp_replace(text, r"^\(|\)$", "")).otherwise(text)
+    inner = F.when(negative, F.substring(text, F.lit(2), F.length(text) - 2)).otherwise(text)
     percent = inner.endswith("%")
-    body = F.when(percent, F.regexp_replace(inner, "%$", "")).otherwise(inner)
-    number = parse_plain(F.regexp_replace(body, NUMBER_CLUTTER, ""))
+    body = F.when(percent, F.substring(inner, F.lit(1), F.length(inner) - 1)).otherwise(inner)
+    number = parse_plain(F.translate(body, NUMBER_CLUTTER, ""))
     number = F.when(percent, number / 100.0).otherwise(number)
     return F.when(negative, -number).otherwise(number)
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tieout.functions.cells import strip
 from tieout.functions.numeric import is_finite
-from tieout.functions.text import date_text_layout, looks_numeric, numeric_text_shape, value_kind
+from tieout.functions.text import DATE_LAYOUTS, date_text_layout, looks_numeric, numeric_text_shape, value_kind
 from tieout.types import dtype_name
 
 # Fixed values of the profile.
@@ -81,6 +81,13 @@ def fold_kinds(counts: dict[str, Column]) -> Column:
     return result.otherwise("mixed")
 
 
+def _layout_bit(text: Column) -> Column:
+    """A different bit for each date layout, null for text in none."""
+    name = date_text_layout(text)
+    bits = [F.lit(part) for i, layout in enumerate(DATE_LAYOUTS) for part in (layout, 1 << i)]
+    return F.try_element_at(F.create_map(*bits), name)
+
+
 def _column_counters(index: int, field: T.StructField, redacted: bool) -> list[Column]:
     value, tag = _col(field.name), f"c{index}_"
     made = {"filled": F.count(value)}
@@ -91,14 +98,14 @@ def _column_counters(index: int, field: T.StructField, redacted: bool) -> list[C
         made |= {"min": F.min(number), "max": F.max(number), "mean": F.avg(number), "sum": F.sum(number),
                  "zero": F.count_if(number == 0), "negative": F.count_if(number < 0)}
     if isinstance(field.dataType, T.StringType):
-        blank = strip(value) == ""
-        number = ~blank & numeric_text_shape(value)
-        made |= {"text": F.count_if(number), "looks": F.count_if(looks_numeric(value)),
-                 "space": F.count_if(~blank & (value != strip(value))),
+        bare, number = F.col(f"{tag}bare"), F.col(f"{tag}number")
+        blank = bare == ""
+        made |= {"text": F.count_if(number), "looks": F.count_if(~blank & looks_numeric(bare)),
+                 "space": F.count_if(~blank & (value != bare)),
                  "nbsp": F.count_if(~blank & value.contains("\u00a0")), "empty": F.count_if(blank),
-                 "error": F.count_if(value_kind(value, field.dataType) == "error")}
-        # The set holds at most one entry per known layout.
-        made["layouts"] = F.size(F.collect_set(date_text_layout(F.when(~blank & ~number, value))))
+                 "error": F.count_if(bare.startswith("#") & (value_kind(bare, field.dataType) == "error")),
+                 # One bit per layout seen.
+                 "layouts": F.bit_count(F.bit_or(F.col(f"{tag}layout")))}
     return [expression.alias(tag + name) for name, expression in made.items()]
 
 
@@ -106,7 +113,12 @@ def column_counters(df: DataFrame, redact: list[str] = ()) -> DataFrame:
     """One row per column with every counter, from one pass over the table."""
     fields = df.schema.fields
     hidden = [is_redacted(f.name, list(redact)) for f in fields]
-    wide = df.agg(F.count(F.lit(1)).alias("rows"),
+    texts = [i for i, f in enumerate(fields) if isinstance(f.dataType, T.StringType)]
+    # Text is looked at in steps, so that no pattern is matched twice.
+    ready = df.withColumns({f"c{i}_bare": strip(_col(fields[i].name)) for i in texts})
+    ready = ready.withColumns({f"c{i}_number": (F.col(f"c{i}_bare") != "") & numeric_text_shape(F.col(f"c{i}_bare")) for i in texts})
+    ready = ready.withColumns({f"c{i}_layout": _layout_bit(F.when(~F.col(f"c{i}_number"), F.col(f"c{i}_bare"))) for i in texts})
+    wide = ready.agg(F.count(F.lit(1)).alias("rows"),
                   *[c for i, f in enumerate(fields) for c in _column_counters(i, f, hidden[i])])
     rows = []
     for i, field in enumerate(fields):
@@ -126,8 +138,8 @@ def column_counters(df: DataFrame, redact: list[str] = ()) -> DataFrame:
     return wide.select(F.inline(F.array(*rows)))
 
 
-def value_frequencies(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows per (column, value text), empty cells left out."""
+def value_frequencies(df: DataFrame, columns: list[str], hidden: list[str] = ()) -> DataFrame:
+    """Rows per (column, value text), empty cells left out. ``hidden`` columns count by digest."""
     index = {name: i for i, name in enumerate(df.columns)}
     pairs = []
     for name in columns:
@@ -135,6 +147,7 @@ def value_frequencies(df: DataFrame, columns: list[str]) -> DataFrame:
         if isinstance(dtype, (T.DoubleType, T.FloatType)):
             value = F.when(value == 0, F.lit(0.0)).otherwise(value)
         shown = F.concat(F.lit("<"), F.length(value), F.lit(" bytes>")) if isinstance(dtype, T.BinaryType) else value.cast("string")
+        shown = F.sha2(shown, 256) if name in hidden else shown
         pairs.append(F.struct(F.lit(index[name]).alias("column_index"), shown.alias("value")))
     long = df.select(F.inline(F.array(*pairs))).where(F.col("value").isNotNull())
     return long.groupBy("column_index", "value").agg(F.count(F.lit(1)).alias("n"))
@@ -149,9 +162,10 @@ def top_values(frequencies: DataFrame, k: int = TOP_K) -> DataFrame:
 def distinct_values(frequencies: DataFrame) -> DataFrame:
     """Distinct values per column, and how many differ only by case or outer space."""
     folded = F.lower(strip(F.col("value")))
-    return (frequencies.groupBy("column_index", folded.alias("folded")).agg(F.count(F.lit(1)).alias("variants"))
+    # Summing the counts keeps this and the frequent values on one shuffle of the same pairs.
+    return (frequencies.groupBy("column_index", folded.alias("folded")).agg(F.count(F.lit(1)).alias("variants"), F.sum("n").alias("n"))
             .groupBy("column_index")
-            .agg(F.sum("variants").alias("distinct_count"),
+            .agg(F.sum("variants").alias("distinct_count"), F.sum("n").alias("filled"),
                  (F.sum("variants") - F.count(F.lit(1))).alias("case_variants")))
 
 
@@ -202,7 +216,7 @@ def profile(df: DataFrame, exact: bool = False, order: list[str] | None = None,
                   if r["approx_distinct"] is not None and r["approx_distinct"] <= COVERED_BY_SKETCH]
     index = "column_index"
     if chosen:
-        frequencies = value_frequencies(df, chosen)
+        frequencies = value_frequencies(df, chosen, [c for c in chosen if is_redacted(c, list(redact))])
         distinct = distinct_values(frequencies)
         item = F.struct(F.col("value"), F.col("n"))
         top = top_values(frequencies, k).groupBy(index).agg(
@@ -227,7 +241,7 @@ def profile(df: DataFrame, exact: bool = False, order: list[str] | None = None,
         "category": (F.col("dtype") == "String") & (F.col("row_count") >= CATEGORY_MIN_ROWS)
         & F.col("distinct_count").between(1, CATEGORY_MAX_VALUES),
     })
-    rows = rows.drop("approx_distinct", "case_variants")
+    rows = rows.drop("approx_distinct", "case_variants", "filled")
     if order:
         hidden = [c for c in df.columns if is_redacted(c, list(redact))]
         examples = _examples(df, order, hidden)

@@ -91,9 +91,10 @@ def _positional(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]
     orders, key = table(spark, folder, "orders"), F.col("o_orderkey")
     expected = orders.select("o_orderdate", "o_orderkey", F.when(key % 211 != 0, F.col("o_totalprice")).alias("want"))
     got = F.when(key % 101 == 0, F.lit(None)).when(key % 97 == 0, F.col("o_totalprice") + 0.01).otherwise(F.col("o_totalprice"))
+    got = got.alias("got")
     late = orders.where(key % 1000 == 1).withColumns({
         "o_orderkey": key + 1000000000, "o_orderdate": F.col("o_orderdate") + F.expr("interval 3650 days")})
-    actual = orders.withColumn("got", got).unionByName(late.withColumn("got", F.col("o_totalprice"))).select("o_orderdate", "o_orderkey", "got")
+    actual = orders.unionByName(late).select("o_orderdate", "o_orderkey", got)
     return expected, actual
 
 
