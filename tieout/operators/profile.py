@@ -30,13 +30,16 @@ KEY_HEADER = (
     r"customer|client|isin|cusip|sedol|ticker|name|desk|entity|book)\b"
 )
 
-NUMERIC = "struct<min:double,max:double,mean:double,sum:double,zero_count:bigint,negative_count:bigint>"
-COUNTERS = T._parse_datatype_string(
-    "column_index int, header string, dtype string, row_count bigint, null_count bigint, "
-    f"approx_distinct bigint, numeric {NUMERIC}, "
-    "text_numbers bigint, delivery_numbers bigint, edge_space bigint, nbsp bigint, "
-    "empty_strings bigint, date_layouts bigint, error_values bigint, redacted boolean"
-)
+NUMERIC = T.StructType([
+    T.StructField("min", T.DoubleType()), T.StructField("max", T.DoubleType()), T.StructField("mean", T.DoubleType()),
+    T.StructField("sum", T.DoubleType()), T.StructField("zero_count", T.LongType()), T.StructField("negative_count", T.LongType())])
+COUNTERS = T.StructType([
+    T.StructField("column_index", T.IntegerType()), T.StructField("header", T.StringType()), T.StructField("dtype", T.StringType()),
+    T.StructField("row_count", T.LongType()), T.StructField("null_count", T.LongType()), T.StructField("approx_distinct", T.LongType()),
+    T.StructField("numeric", NUMERIC),
+    *[T.StructField(name, T.LongType()) for name in (
+        "text_numbers", "delivery_numbers", "edge_space", "nbsp", "empty_strings", "date_layouts", "error_values")],
+    T.StructField("redacted", T.BooleanType())])
 
 
 def _col(name: str) -> Column:

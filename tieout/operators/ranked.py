@@ -37,14 +37,13 @@ def kth_value(df: DataFrame, group: list[str], value: str, k: int, largest: bool
     return ranked.where(F.col("__rank") == k).select(*_keys(group), column.alias(into))
 
 
-def percentile_by(df: DataFrame, group: list[str], value: str, share: float,
-                  into: str = "percentile") -> DataFrame:
-    """PERCENTILE with linear interpolation, exact.
+def percentiles_by(df: DataFrame, group: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """PERCENTILE with linear interpolation, exact, for several shares (new column to share) at once.
 
     Works on value counts and their running total, so no group is held in memory at once.
     """
-    if not 0 <= share <= 1:
-        raise ArgumentError("share lies between 0 and 1")
+    if not all(0 <= share <= 1 for share in shares.values()):
+        raise ArgumentError("a share lies between 0 and 1")
     counts = value_counts(df, group, value)
     upto = running_total(counts, group, ["__value"], "__n", "__upto")
     names = {c: f"__g{i}" for i, c in enumerate(group)}
@@ -59,11 +58,19 @@ def percentile_by(df: DataFrame, group: list[str], value: str, share: float,
         placed = upto.withColumn("__rows", F.lit(rows))
     else:
         placed = upto.join(totals, match)
-    at = (F.col("__rows") - 1) * F.lit(float(share))
-    low = F.min(F.when(F.col("__upto") > F.floor(at), F.col("__value").cast("double")))
-    high = F.min(F.when(F.col("__upto") > F.ceil(at), F.col("__value").cast("double")))
-    part = F.max(at - F.floor(at))
-    return placed.groupBy(*_keys(group)).agg((low + (high - low) * part).alias(into))
+    results = []
+    for into, share in shares.items():
+        at = (F.col("__rows") - 1) * F.lit(float(share))
+        low = F.min(F.when(F.col("__upto") > F.floor(at), F.col("__value").cast("double")))
+        high = F.min(F.when(F.col("__upto") > F.ceil(at), F.col("__value").cast("double")))
+        results.append((low + (high - low) * F.max(at - F.floor(at))).alias(into))
+    return placed.groupBy(*_keys(group)).agg(*results)
+
+
+def percentile_by(df: DataFrame, group: list[str], value: str, share: float,
+                  into: str = "percentile") -> DataFrame:
+    """PERCENTILE for one share."""
+    return percentiles_by(df, group, value, {into: share})
 
 
 def median_by(df: DataFrame, group: list[str], value: str, into: str = "median") -> DataFrame:
@@ -77,12 +84,29 @@ def quartile_by(df: DataFrame, group: list[str], value: str, quarter: int,
     return percentile_by(df, group, value, quarter / 4, into)
 
 
+# Fixed value: the longest text a cell can hold; a longer TEXTJOIN is an error.
+CELL_TEXT = 32767
+
+
 def textjoin_by(df: DataFrame, group: list[str], value: str, separator: str, order: list[str],
                 into: str = "joined") -> DataFrame:
-    """TEXTJOIN down a group, in row order. The result is one text per group by definition."""
-    item = F.struct(*[F.col(f"`{c}`").alias(f"o{i}") for i, c in enumerate(order)],
-                    F.col(f"`{value}`").cast("string").alias("text"))
-    kept = df.where(F.coalesce(F.col(f"`{value}`").cast("string"), F.lit("")) != "")
-    gathered = F.sort_array(F.collect_list(item))
-    return kept.groupBy(*_keys(group)).agg(
-        F.array_join(F.transform(gathered, lambda x: x["text"]), separator).alias(into))
+    """TEXTJOIN down a group, in row order, empty cells skipped.
+
+    Lengths are added up first: a group whose text would not fit a cell gives null, as the sheet's
+    error does, and only texts that fit are ever gathered.
+    """
+    text = F.col(f"`{value}`").cast("string")
+    kept = df.where(F.coalesce(text, F.lit("")) != "")
+    size = F.sum(F.length(text)) + (F.count(F.lit(1)) - 1) * len(separator)
+    names = {c: f"__g{i}" for i, c in enumerate(group)}
+    sizes = kept.groupBy(*[F.col(f"`{c}`").alias(k) for c, k in names.items()]).agg(size.alias("__size"))
+    match = F.lit(True)
+    for c, k in names.items():
+        match = match & F.col(f"`{c}`").eqNullSafe(F.col(k))
+    fitting = kept.join(sizes.where(F.col("__size") <= CELL_TEXT), match, "left_semi")
+    item = F.struct(*[F.col(f"`{c}`").alias(f"o{i}") for i, c in enumerate(order)], text.alias("text"))
+    joined = fitting.groupBy(*_keys(group)).agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["text"]), separator).alias(into))
+    too_long = sizes.where(F.col("__size") > CELL_TEXT).select(
+        *[F.col(k).alias(c) for c, k in names.items()], F.lit(None).cast("string").alias(into))
+    return joined.unionByName(too_long)

@@ -39,19 +39,21 @@ def aggregate_functions(spark: SparkSession, folder: str) -> DataFrame:
 select l_returnflag, quantile_cont(l_extendedprice, 0.5) as median, round(quantile_cont(l_extendedprice, 0.9), 6) as p90,
   quantile_cont(l_extendedprice, 0.25) as q1 from lineitem group by 1""")
 def percentile_functions(spark: SparkSession, folder: str) -> DataFrame:
-    lines = table(spark, folder, "lineitem")
-    price = "l_extendedprice"
-    middle = ranked.median_by(lines, ["l_returnflag"], price, "median")
-    high = ranked.percentile_by(lines, ["l_returnflag"], price, 0.9, "p90").withColumn("p90", F.round("p90", 6))
-    low = ranked.quartile_by(lines, ["l_returnflag"], price, 1, "q1")
-    return middle.join(high, "l_returnflag").join(low, "l_returnflag")
+    out = ranked.percentiles_by(table(spark, folder, "lineitem"), ["l_returnflag"], "l_extendedprice",
+                                {"median": 0.5, "p90": 0.9, "q1": 0.25})
+    return out.withColumn("p90", F.round("p90", 6))
 
 
 @query("select quantile_cont(l_quantity, 0.5) as median, quantile_cont(l_quantity, 0.75) as q3 from lineitem")
 def percentile_whole_table(spark: SparkSession, folder: str) -> DataFrame:
-    lines = table(spark, folder, "lineitem")
-    middle, high = ranked.median_by(lines, [], "l_quantity", "median"), ranked.quartile_by(lines, [], "l_quantity", 3, "q3")
-    return middle.withColumn("one", F.lit(1)).join(high.withColumn("one", F.lit(1)), "one").drop("one")
+    return ranked.percentiles_by(table(spark, folder, "lineitem"), [], "l_quantity", {"median": 0.5, "q3": 0.75})
+
+
+@query("select p_brand, median(p_retailprice) as middle, quantile_cont(p_size, 0.75) as upper from part group by 1")
+def median_by_brand(spark: SparkSession, folder: str) -> DataFrame:
+    parts = table(spark, folder, "part")
+    middle = ranked.median_by(parts, ["p_brand"], "p_retailprice", "middle")
+    return middle.join(ranked.quartile_by(parts, ["p_brand"], "p_size", 3, "upper"), "p_brand")
 
 
 @query("""

@@ -11,6 +11,7 @@ import hashlib
 import io
 import itertools
 import posixpath
+import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -66,8 +67,6 @@ def head_rows(path: str, separator: str, rows: int = LAYOUT_ROWS) -> list[list[s
 
 
 def _is_number(cell: str) -> bool:
-    import re
-
     return bool(re.match(PLAIN_NUMBER, re.sub(CELL_CLUTTER, "", cell)))
 
 
@@ -156,7 +155,7 @@ def content_hashes(files: DataFrame) -> DataFrame:
 
 
 def copy_files(files: DataFrame) -> DataFrame:
-    """Copy each ``path`` to its ``managed_path`` unless it is there; returns both.
+    """Copy each ``path`` to its ``managed_path`` unless it is there; the rows pass through.
 
     A copy is written under another name and then moved, so a repeated or lost task leaves either
     the whole file or none.
@@ -175,8 +174,8 @@ def copy_files(files: DataFrame) -> DataFrame:
                     while chunk := raw.read(CHUNK):
                         sink.write(chunk)
                 to_fs.move(part, out)
-            yield batch[["path", "managed_path"]]
-    return files.select("path", "managed_path").mapInPandas(run, "path string, managed_path string")
+            yield batch
+    return files.mapInPandas(run, files.schema)
 
 
 def suffix_of(path: str) -> str:
