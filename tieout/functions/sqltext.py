@@ -46,8 +46,8 @@ def sql_literal(value: Column, dtype: T.DataType) -> Column:
     elif isinstance(dtype, T.IntegralType):
         text = value.cast("string")
     elif isinstance(dtype, T.DecimalType):
-        # A decimal keeps its scale; small values would otherwise show an exponent.
-        text = F.format_string(f"%.{dtype.scale}f", value)
+        # The text of a decimal keeps its scale, trailing zeros included.
+        text = value.cast("string")
     elif isinstance(dtype, (T.FloatType, T.DoubleType)):
         refuse = F.raise_error(F.lit("a non-finite number has no SQL literal")).cast("string")
         text = F.when(is_finite(value), _float_text(value)).otherwise(refuse)
