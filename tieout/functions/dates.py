@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tieout.functions.numeric import round_half_away
+from tieout.naming import col as _col
 
 # Fixed values of the 1900 date system.
 FIRST_SERIAL = 1
@@ -52,9 +53,9 @@ def to_naive_utc(df: DataFrame) -> DataFrame:
     """Zoned timestamps become naive UTC; other columns pass through."""
     zone = df.sparkSession.conf.get("spark.sql.session.timeZone")
     changed = {
-        field.name: F.to_utc_timestamp(F.col(f"`{field.name}`").cast("timestamp_ntz").cast("timestamp"), zone)
+        field.name: F.to_utc_timestamp(_col(field.name).cast("timestamp_ntz").cast("timestamp"), zone)
         if zone not in ("UTC", "Etc/UTC", "GMT")
-        else F.col(f"`{field.name}`")
+        else _col(field.name)
         for field in df.schema.fields
         if isinstance(field.dataType, T.TimestampType)
     }

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tieout.errors import RenderError
 from tieout.functions.numeric import is_finite
+from tieout.naming import col as _col
 
 MAX_STATEMENTS = 5000
 PLACEHOLDER = re.compile(r"\{([A-Za-z_][A-Za-z0-9_ ]*)\}")
@@ -73,7 +74,7 @@ def statement_text(df: DataFrame, template: str) -> Column:
             known = ", ".join(sorted(types)) or "(none)"
             raise RenderError(f"template names {{{name}}}, which is no column. There are: {known}")
         parts.append(F.lit(template[position:match.start()]))
-        parts.append(sql_literal(F.col(f"`{name}`"), types[name]))
+        parts.append(sql_literal(_col(name), types[name]))
         position = match.end()
     return F.concat(*parts, F.lit(template[position:]))
 

@@ -8,6 +8,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tieout.errors import ArgumentError
+from tieout.naming import col as _col
 
 SCHEMA = "run_id string, step string, kind string, value string, note string, at timestamp"
 KINDS = ["handin", "decision", "parameter"]
@@ -37,7 +38,7 @@ def latest_per_step(events: DataFrame, group: list[str] = ("run_id", "step", "ki
                     tie: list[str] = ()) -> DataFrame:
     """The newest event of each group, by partial aggregation rather than a sort per group."""
     others = [c for c in events.columns if c not in group]
-    newest = F.max_by(F.struct(*[F.col(f"`{c}`") for c in others]), F.struct(at, *tie))
+    newest = F.max_by(F.struct(*[_col(c) for c in others]), F.struct(at, *tie))
     return events.groupBy(*group).agg(newest.alias("__newest")).select(*group, *[F.col("__newest")[c].alias(c) for c in others])
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from tieout.errors import ArgumentError
 from tieout.functions.cells import ERROR_LITERALS
 from tieout.functions.numeric import is_date_type, is_finite, is_number_type, micros_of, signed_delta, within_tolerance
+from tieout.naming import col as _col
 from tieout.operators.diagnose import Diagnosis, diagnose
 from tieout.operators.ordinal import with_ordinal
 from tieout.operators.status import Status, Tolerance, worst
@@ -62,10 +63,10 @@ def paired_cells(expected: DataFrame, actual: DataFrame, expected_column: str, a
         expected, actual = with_ordinal(expected, order, ordinal), with_ordinal(actual, order, ordinal)
     left_type = expected.schema[expected_column].dataType
     right_type = actual.schema[actual_column].dataType
-    left = expected.select(F.col(f"`{ordinal}`").cast("bigint").alias("row"), F.lit(True).alias("in_expected"),
-                           F.col(f"`{expected_column}`").alias("want"))
-    right = actual.select(F.col(f"`{ordinal}`").cast("bigint").alias("row"), F.lit(True).alias("in_actual"),
-                          F.col(f"`{actual_column}`").alias("got"))
+    left = expected.select(_col(ordinal).cast("bigint").alias("row"), F.lit(True).alias("in_expected"),
+                           _col(expected_column).alias("want"))
+    right = actual.select(_col(ordinal).cast("bigint").alias("row"), F.lit(True).alias("in_actual"),
+                          _col(actual_column).alias("got"))
     both = left.join(right, "row", "full")
     want, got = F.col("want"), F.col("got")
     here, there = F.coalesce("in_expected", F.lit(False)), F.coalesce("in_actual", F.lit(False))
@@ -126,7 +127,7 @@ def baseline_status(expected: DataFrame | None, column: str) -> str:
     """present, partial, absent, empty or unreadable."""
     if expected is None or column not in expected.columns:
         return "unreadable"
-    counted = expected.agg(F.count(F.lit(1)).alias("rows"), F.count(F.col(f"`{column}`")).alias("filled")).first()
+    counted = expected.agg(F.count(F.lit(1)).alias("rows"), F.count(_col(column)).alias("filled")).first()
     if counted["rows"] == 0:
         return "empty"
     if counted["filled"] == 0:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from tieout.errors import ContractError
 from tieout.functions.cells import parse_plain
+from tieout.naming import col as _col
 from tieout.operators.profile import CATEGORY_MAX_VALUES, CATEGORY_MIN_ROWS, column_counters, distinct_values, top_values, value_frequencies
 from tieout.types import FLOAT_NAMES, INTEGER_NAMES, dtype_name, dtype_satisfies
 
@@ -136,10 +137,6 @@ class Validation:
             [(i, c.check, c.status, c.column, c.expected, c.actual, c.message) for i, c in enumerate(self.checks)], schema)
 
 
-def _col(name: str) -> Column:
-    return F.col(f"`{name}`")
-
-
 def _range_number(name: str, dtype: T.DataType) -> Column | None:
     if isinstance(dtype, T.NumericType):
         return _col(name).cast("double")

@@ -9,14 +9,11 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tieout.errors import ArgumentError, DuplicateKeyError
 from tieout.functions.cells import strip
+from tieout.naming import col as _col
 from tieout.operators.ordered import row_rank
 from tieout.operators.ordinal import with_ordinal
 
 
-def _col(name: str) -> Column:
-    return F.col(f"`{name}`")
-
-
 def clean_headers(names: list[str]) -> list[str]:
     """Lower case, runs of other characters as ``_``, repeats numbered from ``_2``."""
     seen: dict[str, int] = {}

@@ -7,16 +7,13 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tieout.errors import ArgumentError
+from tieout.naming import col as _col
 from tieout.operators.ordered import fill_forward, slice_position
 
 # A lookup table of at most this many rows is searched as a constant inside the projection.
 BAND_ROWS = 500
 
 
-def _col(name: str) -> Column:
-    return F.col(f"`{name}`")
-
-
 def lookup_first(probe: DataFrame, table: DataFrame, probe_key: list[str], table_key: list[str],
                  returns: dict[str, str], order: list[str]) -> DataFrame:
     """VLOOKUP exact, XLOOKUP, INDEX/MATCH(...,0): the first hit in ``order``, null on a miss.

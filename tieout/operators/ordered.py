@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tieout.errors import ArgumentError
+from tieout.naming import col as _col
 
 HOT_ROWS_SETTING = "spark.tieout.hotRows"
 HOT_ROWS = 2_000_000
@@ -54,14 +55,10 @@ class Sliced:
             *[_col(c).alias(k) for c, k in names.items()], F.col("__carry")))
         match = F.lit(True)
         for c, k in names.items():
-            match = match & framed[c].eqNullSafe(right[k])
+            match = match & _col(c).eqNullSafe(F.col(k))
         return framed.join(right, match, "left").drop(*names.values())
 
 
-def _col(name: str) -> Column:
-    return F.col(f"`{name}`")
-
-
 def hot_rows(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get(HOT_ROWS_SETTING, str(HOT_ROWS)))
 
@@ -84,7 +81,7 @@ def _bounds(df: DataFrame, group: list[str], order: list[str], hot: list) -> Dat
                                   T.StructType([*named, T.StructField("__one", T.IntegerType())]))
     match = F.lit(True)
     for i, c in enumerate(group):
-        match = match & df[c].eqNullSafe(large[f"__k{i}"])
+        match = match & _col(c).eqNullSafe(F.col(f"__k{i}"))
     keys = [f"__k{i}" for i in range(len(group))]
     points = (
         df.join(F.broadcast(large), match)
@@ -126,7 +123,7 @@ def sliced(df: DataFrame, group: list[str], order: list[str]) -> Sliced:
         return Sliced(plain, group, order, cut=False)
     match = F.lit(True)
     for i, c in enumerate(group):
-        match = match & df[c].eqNullSafe(bounds[f"__k{i}"])
+        match = match & _col(c).eqNullSafe(F.col(f"__k{i}"))
     key = F.struct(*[_col(c) for c in order])
     placed = (
         # One row per cut group, at most MAX_SLICES cut points in all.

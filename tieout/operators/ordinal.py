@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tieout.errors import ArgumentError
+from tieout.naming import col as _col
 from tieout.session import cut_lineage
 
 ROW_BITS = 33
@@ -22,10 +23,10 @@ def with_ordinal(df: DataFrame, order: list[str], into: str = "ordinal") -> Data
         raise ArgumentError("rows of a DataFrame have no order of their own: name order columns")
     names = df.columns
     keyed = df.withColumns({
-        "__tie": F.xxhash64(*[F.col(f"`{c}`") for c in names]),
+        "__tie": F.xxhash64(*[_col(c) for c in names]),
         "__copy": F.monotonically_increasing_id(),
     })
-    keys = [*[F.col(f"`{c}`") for c in order], F.col("__tie"), F.col("__copy")]
+    keys = [*[_col(c) for c in order], F.col("__tie"), F.col("__copy")]
     placed = cut_lineage(
         keyed.repartitionByRange(*keys).sortWithinPartitions(*keys)
         .drop("__tie", "__copy")
@@ -42,4 +43,4 @@ def with_ordinal(df: DataFrame, order: list[str], into: str = "ordinal") -> Data
     starts = F.broadcast(df.sparkSession.createDataFrame(offsets, schema))
     local = F.col("__id").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
     return (placed.withColumn("__part", part).join(starts, "__part")
-            .select(*[F.col(f"`{c}`") for c in names], (local + F.col("__before") + 1).alias(into)))
+            .select(*[_col(c) for c in names], (local + F.col("__before") + 1).alias(into)))

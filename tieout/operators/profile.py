@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from tieout.functions.cells import strip
 from tieout.functions.numeric import is_finite
 from tieout.functions.text import DATE_LAYOUTS, date_text_layout, looks_numeric, numeric_text_shape, value_kind
+from tieout.naming import col as _col, quoted
 from tieout.types import dtype_name
 
 # Fixed values of the profile.
@@ -42,10 +43,6 @@ COUNTERS = T.StructType([
     T.StructField("redacted", T.BooleanType())])
 
 
-def _col(name: str) -> Column:
-    return F.col(f"`{name}`")
-
-
 def is_redacted(header: str, patterns: list[str]) -> bool:
     """Whether a header matches a pattern; a pattern that is no regular expression is taken literally."""
     for pattern in patterns:
@@ -91,54 +88,75 @@ def _layout_bit(text: Column) -> Column:
     return F.try_element_at(F.create_map(*bits), name)
 
 
-def _column_counters(index: int, field: T.StructField, redacted: bool) -> list[Column]:
-    value, tag = _col(field.name), f"c{index}_"
-    made = {"filled": F.count(value)}
-    if not isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
-        made["approx"] = F.approx_count_distinct(value)
+# How a counter of parts of the table becomes the counter of the whole.
+COMBINE = {"min": "min", "max": "max", "layouts": "bit_or", "approx": "hll_union_agg"}
+LANES = 64
+SKETCH_BITS = 10
+
+
+def _column_counters(index: int, field: T.StructField, redacted: bool) -> dict[str, str]:
+    """SQL of each counter of one column. One text per counter keeps wide tables quick to plan."""
+    value, tag = quoted(field.name), f"c{index}_"
+    made = {"filled": f"count({value})",
+            "approx": f"hll_sketch_agg(if({value} is null, null, xxhash64({value})), {SKETCH_BITS})"}
     if isinstance(field.dataType, T.NumericType) and not redacted:
-        number = value.cast("double")
-        made |= {"min": F.min(number), "max": F.max(number), "mean": F.avg(number), "sum": F.sum(number),
-                 "zero": F.count_if(number == 0), "negative": F.count_if(number < 0)}
+        number = f"cast({value} as double)"
+        made |= {"min": f"min({number})", "max": f"max({number})", "sum": f"sum({number})",
+                 "zero": f"count_if({number} = 0)", "negative": f"count_if({number} < 0)"}
     if isinstance(field.dataType, T.StringType):
-        bare, number = F.col(f"{tag}bare"), F.col(f"{tag}number")
-        blank = bare == ""
-        made |= {"text": F.count_if(number), "looks": F.count_if(~blank & looks_numeric(bare)),
-                 "space": F.count_if(~blank & (value != bare)),
-                 "nbsp": F.count_if(~blank & value.contains("\u00a0")), "empty": F.count_if(blank),
-                 "error": F.count_if(bare.startswith("#") & (value_kind(bare, field.dataType) == "error")),
-                 # One bit per layout seen.
-                 "layouts": F.bit_count(F.bit_or(F.col(f"{tag}layout")))}
-    return [expression.alias(tag + name) for name, expression in made.items()]
+        filled = f"{tag}bare <> ''"
+        made |= {"text": f"count_if({tag}number)", "looks": f"count_if({tag}looks)", "empty": f"count_if({tag}bare = '')",
+                 "space": f"count_if({filled} and {value} <> {tag}bare)", "nbsp": f"count_if({filled} and contains({value}, '\u00a0'))",
+                 "error": f"count_if({tag}error)", "layouts": f"bit_or({tag}layout)"}
+    return {tag + name: expression for name, expression in made.items()}
+
+
+def _text_features(df: DataFrame, texts: list[int]) -> DataFrame:
+    """What is asked of every text, computed in steps so that no pattern is matched twice."""
+    names = df.columns
+    bare, number = (lambda i: F.col(f"c{i}_bare")), (lambda i: F.col(f"c{i}_number"))
+    ready = df.withColumns({f"c{i}_bare": strip(_col(names[i])) for i in texts})
+    ready = ready.withColumns({f"c{i}_number": (bare(i) != "") & numeric_text_shape(bare(i)) for i in texts})
+    later = {}
+    for i in texts:
+        later |= {f"c{i}_looks": (bare(i) != "") & looks_numeric(bare(i)),
+                  f"c{i}_error": bare(i).startswith("#") & (value_kind(bare(i), T.StringType()) == "error"),
+                  f"c{i}_layout": _layout_bit(F.when(~number(i), bare(i)))}
+    return ready.withColumns(later)
 
 
 def column_counters(df: DataFrame, redact: list[str] = ()) -> DataFrame:
-    """One row per column with every counter, from one pass over the table."""
+    """One row per column with every counter, from one pass over the table.
+
+    Counters are combined in a few lanes before the last step, so no single task has to take in the
+    sketches of every task of a large table.
+    """
     fields = df.schema.fields
     hidden = [is_redacted(f.name, list(redact)) for f in fields]
     texts = [i for i, f in enumerate(fields) if isinstance(f.dataType, T.StringType)]
-    # Text is looked at in steps, so that no pattern is matched twice.
-    ready = df.withColumns({f"c{i}_bare": strip(_col(fields[i].name)) for i in texts})
-    ready = ready.withColumns({f"c{i}_number": (F.col(f"c{i}_bare") != "") & numeric_text_shape(F.col(f"c{i}_bare")) for i in texts})
-    ready = ready.withColumns({f"c{i}_layout": _layout_bit(F.when(~F.col(f"c{i}_number"), F.col(f"c{i}_bare"))) for i in texts})
-    wide = ready.agg(F.count(F.lit(1)).alias("rows"),
-                  *[c for i, f in enumerate(fields) for c in _column_counters(i, f, hidden[i])])
+    ready = _text_features(df, texts) if texts else df
+    made = {"rows": "count(1)"}
+    for i, field in enumerate(fields):
+        made |= _column_counters(i, field, hidden[i])
+    lanes = ready.withColumn("__lane", F.spark_partition_id() % LANES).groupBy("__lane").agg(
+        *[F.expr(expression).alias(name) for name, expression in made.items()])
+    wide = lanes.selectExpr(*[f"{COMBINE.get(name.split('_', 1)[-1], 'sum')}({name}) as {name}" for name in made])
+    finite = lambda value: f"if(isnan({value}) or abs({value}) = double('infinity'), null, {value})"
     rows = []
     for i, field in enumerate(fields):
-        def got(name: str, default=0) -> Column:
-            tagged = f"c{i}_{name}"
-            return F.col(tagged) if tagged in wide.columns else F.lit(default)
-        finite = lambda name: F.when(is_finite(got(name)), got(name))
-        numeric = F.lit(None).cast(NUMERIC)
-        if isinstance(field.dataType, T.NumericType) and not hidden[i]:
-            numeric = F.struct(finite("min").alias("min"), finite("max").alias("max"),
-                               finite("mean").alias("mean"), finite("sum").alias("sum"),
-                               got("zero").alias("zero_count"), got("negative").alias("negative_count"))
-        parts = [F.lit(i), F.lit(field.name), F.lit(dtype_name(field.dataType)), F.col("rows"),
-                 F.col("rows") - got("filled"), got("approx", None), numeric, got("text"), got("looks"),
-                 got("space"), got("nbsp"), got("empty"), got("layouts"), got("error"), F.lit(hidden[i])]
-        rows.append(F.struct(*[p.cast(t.dataType).alias(t.name) for p, t in zip(parts, COUNTERS.fields)]))
-    return wide.select(F.inline(F.array(*rows)))
+        got = lambda name: f"coalesce(c{i}_{name}, 0)" if f"c{i}_{name}" in made else "0"
+        numeric = "null"
+        if f"c{i}_min" in made:
+            mean = f"(c{i}_sum / nullif(c{i}_filled, 0))"
+            parts = [finite(f"c{i}_min"), finite(f"c{i}_max"), finite(mean), finite(f"c{i}_sum"), got("zero"), got("negative")]
+            numeric = f"named_struct({', '.join(f"'{f.name}', {p}" for f, p in zip(NUMERIC.fields, parts))})"
+        header = field.name.replace("\\", "\\\\").replace("'", "\\'")
+        parts = [str(i), f"'{header}'", f"'{dtype_name(field.dataType)}'", "coalesce(rows, 0)", f"coalesce(rows, 0) - {got('filled')}",
+                 f"coalesce(hll_sketch_estimate(c{i}_approx), 0)", numeric, got("text"), got("looks"), got("space"), got("nbsp"),
+                 got("empty"), f"bit_count({got('layouts')})", got("error"), str(hidden[i]).lower()]
+        cast = [f"'{f.name}', cast({p} as {f.dataType.simpleString()})" for f, p in zip(COUNTERS.fields, parts)]
+        rows.append(f"named_struct({', '.join(cast)})")
+    return wide.selectExpr(f"inline(array({', '.join(rows)}))")
 
 
 def value_frequencies(df: DataFrame, columns: list[str], hidden: list[str] = ()) -> DataFrame:

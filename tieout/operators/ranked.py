@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tieout.errors import ArgumentError
+from tieout.naming import col as _col
 from tieout.operators.ordered import running_total
 
 
 def _keys(group: list[str]) -> list[Column]:
-    return [F.col(f"`{c}`") for c in group]
+    return [_col(c) for c in group]
 
 
 def value_counts(df: DataFrame, group: list[str], value: str) -> DataFrame:
     """Rows per group and non-null value as ``__value``, ``__n``."""
-    return (df.where(F.col(f"`{value}`").isNotNull())
-            .groupBy(*_keys(group), F.col(f"`{value}`").alias("__value"))
+    return (df.where(_col(value).isNotNull())
+            .groupBy(*_keys(group), _col(value).alias("__value"))
             .agg(F.count(F.lit(1)).alias("__n")))
 
 
@@ -30,7 +31,7 @@ def kth_value(df: DataFrame, group: list[str], value: str, k: int, largest: bool
     """LARGE and SMALL. Spark keeps only k rows per group and task before the shuffle."""
     if k < 1:
         raise ArgumentError("k counts from 1")
-    column = F.col(f"`{value}`")
+    column = _col(value)
     order = column.desc() if largest else column.asc()
     ranked = df.where(column.isNotNull()).select(*_keys(group), column).withColumn(
         "__rank", F.row_number().over(Window.partitionBy(*_keys(group)).orderBy(order)))
@@ -47,11 +48,11 @@ def percentiles_by(df: DataFrame, group: list[str], value: str, shares: dict[str
     counts = value_counts(df, group, value)
     upto = running_total(counts, group, ["__value"], "__n", "__upto")
     names = {c: f"__g{i}" for i, c in enumerate(group)}
-    totals = counts.groupBy(*[F.col(f"`{c}`").alias(k) for c, k in names.items()]).agg(
+    totals = counts.groupBy(*[_col(c).alias(k) for c, k in names.items()]).agg(
         F.sum("__n").alias("__rows"))
     match = F.lit(True)
     for c, k in names.items():
-        match = match & F.col(f"`{c}`").eqNullSafe(F.col(k))
+        match = match & _col(c).eqNullSafe(F.col(k))
     if not group:
         # The whole table is one group: its size is a single number.
         rows = totals.first()["__rows"] or 0
@@ -95,16 +96,16 @@ def textjoin_by(df: DataFrame, group: list[str], value: str, separator: str, ord
     Lengths are added up first: a group whose text would not fit a cell gives null, as the sheet's
     error does, and only texts that fit are ever gathered.
     """
-    text = F.col(f"`{value}`").cast("string")
+    text = _col(value).cast("string")
     kept = df.where(F.coalesce(text, F.lit("")) != "")
     size = F.sum(F.length(text)) + (F.count(F.lit(1)) - 1) * len(separator)
     names = {c: f"__g{i}" for i, c in enumerate(group)}
-    sizes = kept.groupBy(*[F.col(f"`{c}`").alias(k) for c, k in names.items()]).agg(size.alias("__size"))
+    sizes = kept.groupBy(*[_col(c).alias(k) for c, k in names.items()]).agg(size.alias("__size"))
     match = F.lit(True)
     for c, k in names.items():
-        match = match & F.col(f"`{c}`").eqNullSafe(F.col(k))
+        match = match & _col(c).eqNullSafe(F.col(k))
     fitting = kept.join(sizes.where(F.col("__size") <= CELL_TEXT), match, "left_semi")
-    item = F.struct(*[F.col(f"`{c}`").alias(f"o{i}") for i, c in enumerate(order)], text.alias("text"))
+    item = F.struct(*[_col(c).alias(f"o{i}") for i, c in enumerate(order)], text.alias("text"))
     joined = fitting.groupBy(*_keys(group)).agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["text"]), separator).alias(into))
     too_long = sizes.where(F.col("__size") > CELL_TEXT).select(

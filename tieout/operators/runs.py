@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tieout.naming import col as _col
 from tieout.operators.ordered import HOT, SLICE, add_prior, add_running, sliced
 
 # Rows a run may skip, and typed-over values that make an override block.
@@ -11,10 +12,6 @@ GAP = 3
 OVERRIDE_BLOCK = 3
 
 
-def _col(name: str) -> Column:
-    return F.col(f"`{name}`")
-
-
 def number_runs(df: DataFrame, partition: list[str], pattern: str, position: str, gap: int = GAP) -> DataFrame:
     """Each patterned cell with ``run``, counting from 1 within (partition, pattern), and ``prior``."""
     cells = df.where(_col(pattern).isNotNull())

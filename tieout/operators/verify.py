@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tieout.functions.numeric import is_number_type, signed_delta, within_tolerance
+from tieout.naming import col as _col
 from tieout.operators.status import Status, Tolerance
 
 SHOWN = 50
@@ -63,8 +64,8 @@ def matched_rows(predicted: DataFrame, actual: DataFrame, keys: list[str], colum
     the table before it is shuffled, and leaves the join on the partitioning the grouping made.
     """
     def side(df: DataFrame, tag: str) -> DataFrame:
-        values = [F.first(F.col(f"`{c}`")).alias(f"__{tag}{i}") for i, c in enumerate(columns)]
-        return df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.count(F.lit(1)).alias(f"__n{tag}"), *values)
+        values = [F.first(_col(c)).alias(f"__{tag}{i}") for i, c in enumerate(columns)]
+        return df.groupBy(*[_col(k) for k in keys]).agg(F.count(F.lit(1)).alias(f"__n{tag}"), *values)
     return side(predicted, "p").join(side(actual, "a"), keys, "full")
 
 
@@ -79,7 +80,7 @@ def row_breaks(matched: DataFrame, keys: list[str], columns: list[str], types: l
             F.lit(name).alias("column"), want.cast("string").alias("predicted"), got.cast("string").alias("actual"),
             signed_delta(want, got, want_type, got_type).alias("delta"))))
     both = matched.where(F.col("__np").isNotNull() & F.col("__na").isNotNull() & any_break)
-    return both.select(*[F.col(f"`{k}`") for k in keys], F.inline(F.array_compact(F.array(*items))))
+    return both.select(*[_col(k) for k in keys], F.inline(F.array_compact(F.array(*items))))
 
 
 def verify(predicted: DataFrame, actual: DataFrame, keys: list[str], columns: list[str] | None = None,
@@ -129,7 +130,7 @@ def verify(predicted: DataFrame, actual: DataFrame, keys: list[str], columns: li
         if counted[f"repeated_{label}"]:
             return refused(f"the {side} repeats {counted[f'repeated_{label}']:,} key(s) on {', '.join(keys)}", **facts)
     clean = not (counted["breaks"] or counted["missing"] or counted["unexpected"]) and counted["matched"] > 0
-    key_columns = [F.col(f"`{k}`") for k in keys]
+    key_columns = [_col(k) for k in keys]
     return Verification(
         Status.PASSED if clean else Status.FAILED, keys, chosen, None, matched=counted["matched"],
         break_count=counted["breaks"], missing_count=counted["missing"], unexpected_count=counted["unexpected"],

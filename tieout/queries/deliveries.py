@@ -13,7 +13,7 @@ from tieout.plans.delivery import check_drift
 from tieout.queries.registry import query, table
 from tieout.session import ensure_checkpoint_dir
 from tieout.sources import delivery, receipts
-from tieout.sources.files import content_hashes, detect_layouts, list_files
+from tieout.sources.files import content_hashes, detect_delimiters, detect_layouts, list_files
 from tieout.streaming.watch import watch
 
 
@@ -37,6 +37,38 @@ def csv_layouts(spark: SparkSession, folder: str) -> DataFrame:
     return detect_layouts(list_files(spark, path, "*.csv")).select("header_row", "preamble_rows").distinct()
 
 
+@query("select o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority from orders")
+def parquet_delivery(spark: SparkSession, folder: str) -> DataFrame:
+    return delivery.read_data(spark, f"{folder}/orders.parquet")[0]
+
+
+def _grid(spark: SparkSession, folder: str) -> str:
+    """The orders as a pasted grid: header, rows, a blank line, a row count. Files keep that order."""
+    path = scratch(spark, "grid")
+    orders = table(spark, folder, "orders")
+    line = F.concat_ws(";", "o_orderkey", F.concat(F.lit('"'), F.col("o_orderpriority"), F.lit(';"')), "o_totalprice")
+    edges = orders.agg(F.count(F.lit(1)).alias("n")).select(F.explode(F.array(
+        F.struct(F.lit(0).alias("part"), F.lit("key;priority;price").alias("line")), F.struct(F.lit(2).alias("part"), F.lit("").alias("line")),
+        F.struct(F.lit(3).alias("part"), F.concat(F.lit("("), F.col("n"), F.lit(" rows affected)")).alias("line")))).alias("e")).select("e.*")
+    lines = orders.select(F.lit(1).alias("part"), line.alias("line"), F.col("o_orderkey").alias("key")).unionByName(edges.withColumn("key", F.lit(0)))
+    lines.repartitionByRange("part", "key").sortWithinPartitions("part", "key").select("line").write.text(path)
+    return path
+
+
+@query("select ';' as delimiter")
+def grid_delimiter(spark: SparkSession, folder: str) -> DataFrame:
+    files = detect_delimiters(list_files(spark, _grid(spark, folder), "*.txt"))
+    return files.where(F.col("delimiter").isNotNull()).select("delimiter").distinct()
+
+
+@query("select cast(o_orderkey as varchar) as \"key\", o_orderpriority || ';' as priority, o_totalprice as price from orders")
+def pasted_grid(spark: SparkSession, folder: str) -> DataFrame:
+    out = scratch(spark, "plain")
+    delivery.normalise_delimited(spark, _grid(spark, folder), out)
+    plain = spark.read.options(header="true", escape='"').schema("key string, priority string, price double").csv(out)
+    return plain
+
+
 @query("""
 select o_orderkey, o_totalprice as price, '0' || cast(o_orderkey as varchar) as code,
   case when o_orderkey % 500 = 0 then 'n/a' else cast(o_totalprice as varchar) end as noted,
