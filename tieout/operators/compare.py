@@ -60,7 +60,10 @@ def paired_cells(expected: DataFrame, actual: DataFrame, expected_column: str, a
         if not order:
             raise ArgumentError("a positional comparison needs an ordinal column or an order")
         ordinal = "__ordinal"
-        expected, actual = with_ordinal(expected, order, ordinal), with_ordinal(actual, order, ordinal)
+        # Only the order and the compared column are sorted and written.
+        expected, actual = (
+            with_ordinal(side.select(*[_col(c) for c in dict.fromkeys([*order, column])]), order, ordinal)
+            for side, column in ((expected, expected_column), (actual, actual_column)))
     left_type = expected.schema[expected_column].dataType
     right_type = actual.schema[actual_column].dataType
     left = expected.select(_col(ordinal).cast("bigint").alias("row"), F.lit(True).alias("in_expected"),
@@ -234,7 +237,7 @@ def reconcile_many(regions: list[Region], frames: Mapping[str, DataFrame] = {},
                    tolerance: Tolerance = Tolerance(), not_reproduced: Mapping[str, str] = {},
                    explain: bool = True) -> Report:
     """Tie out several regions in one job; differing regions also get a diagnosis."""
-    early, parts, by_id = {}, None, {r.id: r for r in regions}
+    early, parts, by_region = {}, None, {}
     for region in regions:
         if region.expected is None or region.expected_column not in region.expected.columns:
             early[region.id] = RegionResult(region.id, Status.NOT_RECONCILED, "baseline_range_unreadable")
@@ -247,6 +250,7 @@ def reconcile_many(regions: list[Region], frames: Mapping[str, DataFrame] = {},
             continue
         part = paired_cells(region.expected, actual, region.expected_column, region.actual_column, tolerance,
                             region.ordinal, list(region.order)).withColumn("region", F.lit(region.id))
+        by_region[region.id] = part
         parts = part if parts is None else parts.unionByName(part)
     counted = {}
     if parts is not None:
@@ -261,13 +265,13 @@ def reconcile_many(regions: list[Region], frames: Mapping[str, DataFrame] = {},
             results.append(RegionResult(region.id, Status.NOT_RECONCILED, "baseline_range_empty"))
             continue
         status, reason = Status(row["status"]), row["reason"]
-        if status is Status.PASSED and by_id[region.id].truncated:
+        if status is Status.PASSED and region.truncated:
             status, reason = Status.NOT_RECONCILED, "baseline_truncated"
         facts = {k: row[k] for k in ("rows_expected", "rows_actual", "rows_compared", "rows_matched", "rows_differing",
                                      "rows_missing_baseline", "worst_absolute_delta", "worst_relative_delta", "worst_at")}
         causes = ()
         if explain and status is Status.FAILED:
-            causes = tuple(diagnose(parts.where(F.col("region") == region.id), facts["rows_compared"],
+            causes = tuple(diagnose(by_region[region.id], facts["rows_compared"],
                                     facts["rows_expected"], facts["rows_actual"], region.actual_column))
         results.append(RegionResult(region.id, status, None if status is Status.FAILED else reason, diagnoses=causes, **facts))
     return Report(results, parts, tolerance)

@@ -107,7 +107,7 @@ def error_values(spark: SparkSession, folder: str) -> DataFrame:
 @query("""
 with x as (select c_custkey, c_acctbal, case c_custkey % 3 when 0 then c_acctbal / 8 when 1 then c_acctbal * 1000 else c_acctbal * 1e-9 end as v from customer),
 s as (select *, format('{:.15g}', v) as t from x)
-select c_custkey, case when t like '%e%' then null when t like '%.%' then length(t) - position('.' in t) else 0 end as decimals,
+select c_custkey, cast(case when t like '%e%' then null when t like '%.%' then length(t) - position('.' in t) else 0 end as integer) as decimals,
   cast(round_even(abs(c_acctbal) * 100, 0) % 10 as integer) as last_cent
 from s""")
 def shown_digits(spark: SparkSession, folder: str) -> DataFrame:
@@ -235,7 +235,7 @@ def _mask_sql(value: str) -> str:
 
 @query(f"""
 with masked as (select doc_id, text, {_mask_sql("text")} as safe from documents)
-select doc_id, sha256(safe) as safe_hash, length(safe) as safe_length, safe <> text as changed from masked""")
+select doc_id, sha256(safe) as safe_hash, cast(length(safe) as integer) as safe_length, safe <> text as changed from masked""")
 def mask_docs(spark: SparkSession, folder: str) -> DataFrame:
     masked = table(spark, folder, "documents").select("doc_id", "text", X.mask_secrets(F.col("text")).alias("safe"))
     return masked.select("doc_id", F.sha2("safe", 256).alias("safe_hash"), F.length("safe").alias("safe_length"),

@@ -20,7 +20,7 @@ from tieout.streaming.watch import watch
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder beside the checkpoints, which every executor can reach."""
     ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
 @query("select c_custkey, c_name, cast(c_nationkey as bigint) as c_nationkey, c_acctbal, c_mktsegment from customer")
@@ -163,7 +163,7 @@ _TOP = " union all ".join(
     for i, c in [(4, "l_quantity"), (8, "l_returnflag"), (9, "l_linestatus")])
 
 
-@query(f"""select column_index, value, n, row_number() over (partition by column_index order by n desc, value) as place from ({_TOP})
+@query(f"""select column_index, value, n, cast(row_number() over (partition by column_index order by n desc, value) as integer) as place from ({_TOP})
   qualify row_number() over (partition by column_index order by n desc, value) <= 10""")
 def frequent_values(spark: SparkSession, folder: str) -> DataFrame:
     lines = table(spark, folder, "lineitem").select(*LINES)
@@ -174,7 +174,7 @@ def frequent_values(spark: SparkSession, folder: str) -> DataFrame:
 with o as (select case o_orderkey % 9 when 0 then '' when 1 then ' ' || o_orderpriority when 2 then 'a' || chr(160) || 'b' when 3 then '#N/A'
   when 4 then cast(o_totalprice as varchar) when 5 then strftime(o_orderdate, '%Y-%m-%d') when 6 then strftime(o_orderdate, '%d/%m/%Y') else 'x' end as cell, o_orderkey % 9 as k from orders)
 select 'cell' as header, count(*) filter (where k = 0) as empty_strings, count(*) filter (where k = 1) as edge_space, count(*) filter (where k = 2) as nbsp,
-  count(*) filter (where k = 3) as error_values, count(*) filter (where k = 4) as text_numbers, 2 as date_layouts, count(*) filter (where k = 4) as delivery_numbers from o""")
+  count(*) filter (where k = 3) as error_values, count(*) filter (where k = 4) as text_numbers, cast(2 as bigint) as date_layouts, count(*) filter (where k = 4) as delivery_numbers from o""")
 def text_anomalies(spark: SparkSession, folder: str) -> DataFrame:
     k, day = F.col("o_orderkey") % 9, F.col("o_orderdate")
     cell = (F.when(k == 0, "").when(k == 1, F.concat(F.lit(" "), F.col("o_orderpriority"))).when(k == 2, "a\u00a0b").when(k == 3, "#N/A")

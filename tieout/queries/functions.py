@@ -75,8 +75,8 @@ def rank_functions(spark: SparkSession, folder: str) -> DataFrame:
 select p_partkey, coalesce(p_name, '') || coalesce(p_brand, '') as joined, concat_ws('-', nullif(p_brand, ''), nullif(p_type, '')) as dashed,
   left(p_name, 4) as l4, right(p_name, 4) as r4, substr(p_name, 3, 5) as m5, trim(regexp_replace('  ' || p_name || '  x ', ' +', ' ', 'g')) as trimmed,
   upper(p_type) as up, lower(p_type) as low, replace(p_type, 'A', '-') as swapped, left(p_name, 1) || '##' || substr(p_name, 4) as replaced,
-  repeat(left(p_brand, 2), 3) as rept, length(p_name) as len, nullif(position('B' in p_brand), 0) as found,
-  nullif(position('e' in lower(p_type)), 0) as searched, format('{:,.2f}', p_retailprice) as shown, format('{:.0f}', floor(p_retailprice + 0.5)) as whole,
+  repeat(left(p_brand, 2), 3) as rept, cast(length(p_name) as integer) as len, cast(nullif(position('B' in p_brand), 0) as integer) as found,
+  cast(nullif(position('e' in lower(p_type)), 0) as integer) as searched, format('{:,.2f}', p_retailprice) as shown, format('{:.0f}', floor(p_retailprice + 0.5)) as whole,
   p_retailprice as valued, p_name || 'x' as cleaned
 from part""")
 def text_functions(spark: SparkSession, folder: str) -> DataFrame:
@@ -106,10 +106,10 @@ def textjoin_down(spark: SparkSession, folder: str) -> DataFrame:
 @query("""
 with d as (select o_orderkey, cast(o_orderdate as date) as d, o_orderdate as ts, date '1998-08-31' as e from orders)
 select o_orderkey, cast(make_date(year(d), 1, 1) + to_months(month(d) + 13) as date) + cast(day(d) + 29 as integer) as rolled,
-  year(d) as y, month(d) as m, day(d) as dd, hour(ts) as hh, minute(ts) as mi, second(ts) as ss,
+  cast(year(d) as integer) as y, cast(month(d) as integer) as m, cast(day(d) as integer) as dd, cast(hour(ts) as integer) as hh, cast(minute(ts) as integer) as mi, cast(second(ts) as integer) as ss,
   last_day(cast(d + interval 1 month as date)) as month_end, cast(d + interval 3 month as date) as plus3,
-  case when e < d then null else e - d end as days, case when e < d then null else (year(e) - year(d)) * 12 + month(e) - month(d) - case when day(e) < day(d) then 1 else 0 end end as months,
-  dayofweek(d) + 1 as wd, cast(floor((dayofyear(d) + dayofweek(date_trunc('year', d)) - 1) / 7.0) + 1 as integer) as wn,
+  cast(case when e < d then null else e - d end as integer) as days, cast(case when e < d then null else (year(e) - year(d)) * 12 + month(e) - month(d) - case when day(e) < day(d) then 1 else 0 end end as integer) as months,
+  cast(dayofweek(d) + 1 as integer) as wd, cast(floor((dayofyear(d) + dayofweek(date_trunc('year', d)) - 1) / 7.0) + 1 as integer) as wn,
   d as valued
 from d""")
 def date_functions(spark: SparkSession, folder: str) -> DataFrame:

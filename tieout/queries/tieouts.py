@@ -147,11 +147,16 @@ def reconcile_regions(spark: SparkSession, folder: str) -> DataFrame:
     return report.to_frame(spark).select("region", "status", "reason", "rows_compared", "rows_differing", "rows_missing_baseline")
 
 
-@query()
+@query("""
+with o as (select o_orderkey % 5 = 0 as hole, floor(o_totalprice / 7 * 100.0 + least(o_totalprice / 7 * 100.0 * 1e-15, 1e-3) + 0.5) / 100.0 as r, o_totalprice / 7 as u from orders),
+n as (select count(*) as n, count(*) filter (where hole) as h, count(*) filter (where abs(r - u) > 1e-6) as un from o)
+select 'unrounded' as region, 'rounding_not_applied' as cause, 0.9 as confidence, un as affected_rows from n union all
+select 'nulls', 'null_vs_empty', round(0.5 + h / n, 6), h from n union all select 'dates', 'date_serial_offset', 0.85, n from n union all
+select 'texts', 'text_formatted_number', 0.85, n from n union all select 'texts', 'date_serial_offset', 0.8, n from n""")
 def likely_causes(spark: SparkSession, folder: str) -> DataFrame:
     """What the differences of each region look like: missing rounding, empty cells, dates off by a day, text numbers."""
     report = reconcile_many(_regions(spark, folder))
-    rows = [(r.id, d.cause, d.confidence, d.affected_rows) for r in report.regions for d in r.diagnoses]
+    rows = [(r.id, d.cause, round(d.confidence, 6), d.affected_rows) for r in report.regions for d in r.diagnoses]
     return spark.createDataFrame(rows, "region string, cause string, confidence double, affected_rows bigint")
 
 
