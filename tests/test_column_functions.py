@@ -183,3 +183,16 @@ def test_statements(spark):
 def test_note_text_passes_null_on(spark):
     frame = spark.createDataFrame([("Acme",), (None,)], "n string")
     assert [r[0] for r in frame.select(X.note_text("uplift for {}!", F.col("n"))).collect()] == ["uplift for Acme!", None]
+
+
+def test_naive_timestamps_do_not_depend_on_the_session_zone(spark):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        # 02:30 does not exist on this day in that zone.
+        frame = spark.createDataFrame([(dt.datetime(2024, 3, 10, 2, 30, 0, 500000), dt.datetime(2024, 3, 10, 4, 30, 0, 500000))], "a timestamp_ntz, b timestamp_ntz")
+        kind = T.TimestampNTZType()
+        row = frame.select(X.signed_delta(F.col("a"), F.col("b"), kind, kind), X.sql_literal(F.col("a"), kind),
+                           X.date_to_serial(F.col("a")), X.serial_to_datetime(F.lit(45361.5))).first()
+        assert tuple(row) == (2 / 24, "TIMESTAMP '2024-03-10 02:30:00.500000'", 45361, dt.datetime(2024, 3, 10, 12))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")

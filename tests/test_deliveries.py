@@ -307,3 +307,28 @@ def test_whole_delivery(spark, tmp_path):
     assert {i.kind for i in july.drift.items} == {"column_renamed", "preamble_rows_changed", "totals_row_appended"}
     assert not july.validation.ok and {c.check for c in july.validation.failures} == {"columns_present"}
     assert july.validation.warnings and S.last_accepted(spark, store).sha256 == june.shape.sha256
+
+
+def test_labels_repeated_on_a_header_row(spark, tmp_path):
+    from tieout.operators.frames import duplicate_headers
+
+    inbox = tmp_path / "inbox"
+    inbox.mkdir()
+    write(inbox, "a.csv", "Title\nRef,Amount, amount \n1,2,3\n")
+    write(inbox, "b.csv", "Ref,Amount\n1,2\n")
+    labels = FS.header_labels(FS.list_files(spark, str(inbox)))
+    # The first file has no row of distinct labels, so its first row counts as the header.
+    assert duplicate_headers(labels, "path", "label").count() == 0
+    rows = spark.createDataFrame([("a", "Amount"), ("a", " amount"), ("a", ""), ("a", ""), ("b", "Amount")], "path string, label string")
+    assert [tuple(r) for r in duplicate_headers(rows, "path", "label").collect()] == [("a", "amount", 2)]
+
+
+def test_columns_with_odd_names(spark):
+    from tieout.operators.ordered import prior_row, running_total
+
+    frame = spark.createDataFrame([("x", 1, 2.0), ("x", 2, 3.0)], ["a.b", "c`d", "it's"])
+    assert [r["t"] for r in running_total(frame, ["a.b"], ["c`d"], "it's", "t").orderBy("t").collect()] == [2.0, 5.0]
+    assert prior_row(frame, ["a.b"], ["c`d"], {"p": "it's"}).where("p = 2.0").count() == 1
+    assert [r["header"] for r in profile(frame, exact=True).orderBy("column_index").collect()] == frame.columns
+    contract, _ = C.infer_contract(frame, "odd")
+    assert C.validate(frame, contract).ok

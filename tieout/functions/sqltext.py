@@ -32,10 +32,10 @@ def _float_text(value: Column) -> Column:
     return F.when(text.contains("E"), F.concat(sign, plain)).otherwise(text)
 
 
-def _clock(value: Column) -> Column:
-    """HH:mm:ss, with six decimals only where the second has a fraction."""
-    text = F.date_format(value, "HH:mm:ss.SSSSSS")
-    return F.regexp_replace(text, r"\.000000$", "")
+def _moment(value: Column) -> Column:
+    """A timestamp as text, with six decimals only where the second has a fraction; no zone involved."""
+    text = value.cast("timestamp_ntz").cast("string")
+    return F.when(text.contains("."), F.rpad(text, 26, "0")).otherwise(text)
 
 
 def sql_literal(value: Column, dtype: T.DataType) -> Column:
@@ -55,8 +55,7 @@ def sql_literal(value: Column, dtype: T.DataType) -> Column:
     elif isinstance(dtype, T.DateType):
         text = F.concat(F.lit("DATE '"), value.cast("string"), F.lit("'"))
     elif isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        day = F.date_format(value, "yyyy-MM-dd")
-        text = F.concat(F.lit("TIMESTAMP '"), day, F.lit(" "), _clock(value), F.lit("'"))
+        text = F.concat(F.lit("TIMESTAMP '"), _moment(value), F.lit("'"))
     elif dtype.typeName().startswith("time"):
         text = F.concat(F.lit("TIME '"), value.cast("string"), F.lit("'"))
     else:
