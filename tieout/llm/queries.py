@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tieout.llm import chat
+from tieout.llm import chat, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -67,3 +67,18 @@ def op3_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
         F.length("learned").cast("long").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+@query("""
+with x as (select page_id, encode(coalesce(html, '')) as payload from pages),
+d as (select page_id, octet_length(payload) as n, sha1(payload) as digest from x),
+k as (select digest, max(page_id) as kept from d where n >= 1000 group by digest)
+select page_id, cast(n as bigint) as payload_bytes, digest as payload_digest,
+  case when kept is null or page_id = kept then 'response' else 'revisit' end as record_type,
+  case when page_id <> kept then kept end as refers_to
+from d left join k using (digest)
+""")
+def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Archive every page, normalise the archives and list the records read back by offset."""
+    return warc.round_trip(table(spark, folder, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
