@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tieout.llm import chat, warc
+from tieout.llm import chat, chunks, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -82,3 +82,13 @@ def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
     """Archive every page, normalise the archives and list the records read back by offset."""
     return warc.round_trip(table(spark, folder, "pages")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query()
+def op9_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Encode every whole text from content-defined chunks and decode the ids."""
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    coded = chunks.encode(documents, "byte_bpe_50k.json").select("doc_id", "ids")
+    return chunks.decode(coded, "byte_bpe_50k.json").select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(chunks.joined_ids("ids"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
