@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tieout.llm import chat, chunks, warc
+from tieout.llm import chat, chunks, grammar, warc
+from tieout.llm.common import scratch_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -92,3 +93,13 @@ def op9_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return chunks.decode(coded, "byte_bpe_50k.json").select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(chunks.joined_ids("ids"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query()
+def op6_token_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Write every document's ids as grammar-compressed shards in doc_id order and read them back."""
+    shards = grammar.write_ids(table(spark, folder, "documents"), "word_bpe_49k.json",
+                               scratch_folder(spark, "token-ids"), end_id=1, base=49408)
+    found = grammar.read_ids(shards).select(
+        "shard", "position", "doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return grammar.with_starts(found, shards).select("doc_id", "start", "n_tokens", "ids_crc32")
