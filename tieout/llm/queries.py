@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tieout.llm import chat, chunks, grammar, warc
+from tieout.llm import chat, chunks, grammar, toxicity, warc
 from tieout.llm.common import scratch_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +103,16 @@ def op6_token_ids(spark: SparkSession, folder: str) -> DataFrame:
     found = grammar.read_ids(shards).select(
         "shard", "position", "doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"))
     return grammar.with_starts(found, shards).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def remainder(divisor: int) -> F.Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor
+
+
+@query()
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every whole text, learned from labelled rows that are not held out."""
+    documents, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    weights = toxicity.fit(documents, labels, teaches=remainder(5) != 0)
+    return toxicity.score(documents.select("doc_id", "text"), weights).select(
+        "doc_id", (remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
