@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tieout.llm import chat, chunks, grammar, simhash, toxicity, warc
+from tieout.llm import chat, chunks, divergence, grammar, simhash, toxicity, warc
 from tieout.llm.common import scratch_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,72 @@ def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     return simhash.near_duplicates(table(spark, folder, "documents")).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+_KINDS = ["[^A-Z]", "[^0-9]", "[^#*$%&|<>]", r"[^.,;:!?''\x22()-]", r"[\x00-\x7F]"]
+_COUNTS = ", ".join(f"length(regexp_replace(text, '{kind}+', '', 'g'))" for kind in _KINDS)
+
+
+def _js(left: str, right: str) -> str:
+    """SQL for the squared Jensen-Shannon distance of two lists of counts, null if one has none."""
+    p, q = f"({left}[k] / nullif(list_sum({left}), 0))", f"({right}[k] / nullif(list_sum({right}), 0))"
+    side = "case when {a} > 0 then {a} * log2(2 * {a} / ({a} + {b})) else 0 end"
+    terms = f"{side.format(a=p, b=q)} + {side.format(a=q, b=p)}"
+    return (f"case when list_sum({left}) > 0 and list_sum({right}) > 0 then "
+            f"list_sum([{terms} for k in range(1, len({left}) + 1)]) / 2 end")
+
+
+@query(rf"""
+with d as (
+  select doc_id, coalesce(lang, '') as lang, coalesce(text, '') as text, row_number() over () as r from documents),
+w as (
+  select r, doc_id, lang, text, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') as words,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines,
+    [{_COUNTS}] as kinds
+  from d),
+m as (
+  select r, doc_id, lang, words, len(words) as n_words, length(array_to_string(words, '')) as word_chars,
+    kinds[3] as n_symbols, len(lines) - len(list_distinct(lines)) as n_dup_lines,
+    list_concat(kinds, [length(text) - length(array_to_string(words, '')),
+      length(array_to_string(words, '')) - cast(list_sum(kinds) as bigint)]) as classes
+  from w),
+windows as (
+  select r, i, list_slice(words, i, i + 7) as shingle from (
+    select r, words, unnest(range(1, n_words - 6)) as i from m where n_words >= 8)),
+again as (select r, i, count(*) over (partition by r, shingle) as n from windows),
+repeated as (
+  select r, count(distinct p) as n_repeat_words from (
+    select r, unnest(range(i, i + 8)) as p from again where n > 1) group by r),
+usual as (
+  select lang, [{", ".join(f"cast(sum(classes[{k}]) as double)" for k in range(1, 8))}] as classes,
+    cast(sum(n_words) as double) as n_words from m group by lang),
+tokens as (select r, lang, unnest(words) as word from m),
+ranked as (
+  select lang, word, count(*) as n, row_number() over (partition by lang order by count(*) desc, word) as place
+  from tokens group by lang, word qualify place <= 16),
+frequent as (
+  select lang, list(cast(n as double) order by place) as n, list(word order by place) as words from ranked group by lang),
+used as (
+  select r, list(n order by place) as n from (
+    select m.r, k.place, cast(len(list_filter(m.words, lambda x: x = k.word)) as double) as n
+    from m join ranked k on m.lang = k.lang) group by r),
+distances as (
+  select m.*, coalesce(n_repeat_words, 0) as n_repeat_words,
+    list_transform(m.classes, lambda x: cast(x as double)) as own, u.classes as usual,
+    list_concat(used.n, [m.n_words - list_sum(used.n)]) as own_common,
+    list_concat(f.n, [u.n_words - list_sum(f.n)]) as usual_common
+  from m left join repeated using (r) join usual u using (lang) left join used using (r) left join frequent f using (lang)),
+judged as (
+  select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed,
+    {_js("own", "usual")} as by_class, {_js("own_common", "usual_common")} as by_common
+  from distances)
+select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars,
+  cast(n_symbols as bigint) as n_symbols, cast(n_dup_lines as bigint) as n_dup_lines,
+  cast(n_repeat_words as bigint) as n_repeat_words, base_failed,
+  not base_failed and not coalesce(n_words >= 30 and by_class > 0.09, false)
+    and not coalesce(n_words >= 100 and by_common > 0.25, false) as kept
+from judged
+""")
+def op10_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts and verdict for every whole text, against the usual text of its language."""
+    return divergence.judge(table(spark, folder, "documents")).drop("class_distance", "common_distance")
