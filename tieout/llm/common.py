@@ -20,8 +20,10 @@ def whole_text(text: str | Column) -> Column:
 
 
 def ascii_lower(text: Column) -> Column:
-    """Lower-case A-Z and nothing else."""
-    return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+    """Lower-case A-Z and nothing else; by way of ``lower`` where that leaves other characters alone."""
+    others = F.regexp_replace(text, r"[\x00-\x7F]+", "")
+    return F.when(F.lower(others) == others, F.lower(text)).otherwise(
+        F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
 
 
 def words_between(text: Column, separators: str) -> Column:

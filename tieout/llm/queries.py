@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tieout.llm import chat, chunks, divergence, grammar, simhash, toxicity, warc
+from tieout.llm import chat, chunks, decontamination, divergence, grammar, simhash, toxicity, warc
 from tieout.llm.common import scratch_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -192,3 +192,34 @@ from judged
 def op10_divergence(spark: SparkSession, folder: str) -> DataFrame:
     """Counts and verdict for every whole text, against the usual text of its language."""
     return divergence.judge(table(spark, folder, "documents")).drop("class_distance", "common_distance")
+
+
+@query(r"""
+with d as (
+  select doc_id, row_number() over () as r, list_filter(string_split_regex(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'),
+    lambda x: x <> '') as words from documents),
+b as (
+  select item_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'),
+    lambda x: x <> '') as words from benchmark),
+w as (
+  select distinct item_id, list_slice(words, i, i + 12) as shingle from (
+    select item_id, words, unnest(range(1, greatest(len(words) - 12, 1) + 1)) as i from b where len(words) > 0)),
+lengths as (select distinct len(shingle) as n from w),
+places as (
+  select r, i, n, list_slice(words, i, i + n - 1) as shingle from (
+    select r, words, n, unnest(range(1, len(words) - n + 2)) as i from d, lengths where len(words) >= n)),
+found as (select distinct r, i, n, item_id from places join w using (shingle)),
+hits as (select r, count(distinct p) as n_hit from (select r, unnest(range(i, i + n)) as p from found) group by r),
+items as (
+  select r, count(*) as n_items, string_agg(item, ',' order by item) as items from (
+    select distinct r, cast(item_id as varchar) as item from found where item_id is not null) group by r)
+select doc_id, cast(len(words) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+  sha256(coalesce(items, '')) as items_sha256,
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(words) as contaminated
+from d left join hits using (r) left join items using (r)
+""")
+def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every whole document that stand in a window of a benchmark item."""
+    return decontamination.find(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("mark")
