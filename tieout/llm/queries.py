@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tieout.llm import chat, chunks, decontamination, divergence, grammar, simhash, toxicity, warc
+from tieout.llm import chat, chunks, decontamination, divergence, grammar, lattice, simhash, toxicity, warc
 from tieout.llm.common import scratch_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -223,3 +223,10 @@ from d left join hits using (r) left join items using (r)
 def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Words of every whole document that stand in a window of a benchmark item."""
     return decontamination.find(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("mark")
+
+
+@query()
+def op8_lattice_score(spark: SparkSession, folder: str) -> DataFrame:
+    """Log probability of every whole text over all segmentations, beside an add-one base."""
+    documents = table(spark, folder, "documents")
+    return lattice.score(documents, remainder(7) != 2).withColumn("held_out", remainder(7) == 2)
