@@ -39,9 +39,10 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 @dataclass
 class Pieces:
-    """A vocabulary: ``ids`` of pieces, ``byte_ids``, log weight per id, length of the longest piece."""
+    """A vocabulary: ``begun`` has the ids of pieces and -1 for mere beginnings of pieces; ``byte_ids``, log
+    weight per id, length of the longest piece."""
 
-    ids: dict[str, int]
+    begun: dict[str, int]
     byte_ids: list[int]
     logs: np.ndarray
     longest: int
@@ -61,7 +62,8 @@ def load(path: str) -> Pieces:
         weights[i] = 1 / (place + 10)
     with np.errstate(divide="ignore"):
         logs = np.log(weights / weights.sum())
-    return Pieces(ids, byte_ids, logs, max(map(len, ids)))
+    begun = dict.fromkeys((piece[:n] for piece in ids for n in range(1, len(piece))), -1) | ids
+    return Pieces(begun, byte_ids, logs, max(map(len, ids)))
 
 
 class Lattices:
@@ -73,15 +75,17 @@ class Lattices:
 
     def __init__(self, words: list[str], pieces: Pieces):
         self.pieces, self.spelled = pieces, {}
-        find, longest, size = pieces.ids.get, pieces.longest, len(pieces.logs)
+        find, longest, size = pieces.begun.get, pieces.longest, len(pieces.logs)
         word, starts, ends, used = [], [], [], []
         for k, line in enumerate(words):
             line = MARK + line
             for start in range(len(line)):
                 for end in range(start + 1, min(len(line), start + longest) + 1):
                     piece = find(line[start:end])
-                    if piece is None:
+                    if piece is None or piece < 0:
                         if end > start + 1:
+                            if piece is None:
+                                break
                             continue
                         piece = self.spelled.setdefault(line[start], size + len(self.spelled))
                     word.append(k)

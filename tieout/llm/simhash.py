@@ -151,7 +151,8 @@ def links(prints: DataFrame, most: int = MOST) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("bits") == 0, 1).otherwise(0)).alias("n_own"),
         F.min(own).alias("low"), F.max(own).alias("high"),
     ).where("n > 1 and (low <> high or n_own > 1)").select("side", "value", "n")
-    members = write_scratch(values.join(met, ["side", "value"]), "simhash-met")
+    # Spark takes what Python makes for as small as its input; the hint keeps it from being broadcast.
+    members = write_scratch(values.hint("merge").join(met, ["side", "value"]), "simhash-met")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 4096):
@@ -190,7 +191,7 @@ def _hot_links(members: DataFrame) -> DataFrame:
     full = members.mapInArrow(vary, "side byte, value long, other long, fp long")
     key = ["side", "value", "other"]
     least = full.groupBy(*key).agg(F.min("fp").alias("b"), F.max("fp").alias("most")).where("b < most").drop("most")
-    return full.join(least, key).where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
+    return full.hint("merge").join(least, key).where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
 
 
 def near_duplicates(documents: DataFrame, most: int = MOST) -> DataFrame:
