@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tieout.llm import chat, chunks, decontamination, divergence, grammar, lattice, simhash, toxicity, warc
+from tieout.llm import (
+    chat,
+    chunks,
+    decontamination,
+    divergence,
+    grammar,
+    lattice,
+    passages,
+    simhash,
+    toxicity,
+    warc,
+)
 from tieout.llm.common import scratch_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,9 +111,7 @@ def op6_token_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Write every document's ids as grammar-compressed shards in doc_id order and read them back."""
     shards = grammar.write_ids(table(spark, folder, "documents"), "word_bpe_49k.json",
                                scratch_folder(spark, "token-ids"), end_id=1, base=49408)
-    found = grammar.read_ids(shards).select(
-        "shard", "position", "doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"))
-    return grammar.with_starts(found, shards).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return grammar.read_ids(shards).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def remainder(divisor: int) -> F.Column:
@@ -230,3 +239,9 @@ def op8_lattice_score(spark: SparkSession, folder: str) -> DataFrame:
     """Log probability of every whole text over all segmentations, beside an add-one base."""
     documents = table(spark, folder, "documents")
     return lattice.score(documents, remainder(7) != 2).withColumn("held_out", remainder(7) == 2)
+
+
+@query()
+def op5_passages(spark: SparkSession, folder: str) -> DataFrame:
+    """Passages that a whole document shares with an earlier one, exact or with few edits."""
+    return passages.shared_passages(table(spark, folder, "documents")).drop("mark", "other_mark")
