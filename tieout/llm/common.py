@@ -31,6 +31,14 @@ def words_between(text: Column, separators: str) -> Column:
     return F.array_remove(F.split(text, separators), "")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of the frame is called so in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared checkpoint folder, removed when the session ends."""
     ensure_checkpoint_dir(spark)

@@ -245,3 +245,11 @@ def op8_lattice_score(spark: SparkSession, folder: str) -> DataFrame:
 def op5_passages(spark: SparkSession, folder: str) -> DataFrame:
     """Passages that a whole document shares with an earlier one, exact or with few edits."""
     return passages.shared_passages(table(spark, folder, "documents")).drop("mark", "other_mark")
+
+
+@query()
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    """The corpus without toxic, near-duplicate and contaminated documents and repeated passages, encoded."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)

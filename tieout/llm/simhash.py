@@ -17,10 +17,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tieout.llm.common import slices, whole_text, write_scratch
+from tieout.llm.common import free_name, slices, whole_text, write_scratch
 from tieout.llm.components import components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -62,14 +62,16 @@ def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
 
 
 def fingerprints(documents: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """``doc_id, fp`` per document, ``fp`` as a signed 64-bit number. Null and empty texts give zero."""
+    """``doc_id, mark, fp`` per document: ``mark`` hashes the text, ``fp`` is the fingerprint as a signed 64-bit
+    number. Null and empty texts give zero."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found = np.array([fingerprint(x, shingle, seed) for x in batch.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("mark"), pa.array(found.view(np.int64))], ["doc_id", "mark", "fp"])
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text("text").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return rows.withColumn("mark", F.xxhash64("text")).mapInArrow(run, "doc_id long, mark long, fp long")
 
 
 def half_values(prints: DataFrame) -> DataFrame:
@@ -195,18 +197,34 @@ def _hot_links(members: DataFrame) -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame, most: int = MOST) -> DataFrame:
-    """``doc_id, fp, component_id`` per document; the id is the smallest ``doc_id`` that links reach.
+    """``doc_id, mark, fp, root, component_id`` per document; ``component_id`` is the smallest ``doc_id`` that
+    links reach, ``root`` the smallest fingerprint, ``mark`` a hash of the text.
 
     Documents with equal fingerprints, those without words among them, link like any other. Repeated rows
-    stay rows; a null ``doc_id`` is never a component's smallest unless all of it is null. Other columns are
+    stay rows; a null ``doc_id`` is a component's smallest only if all of it is null. Other columns are
     ignored; an empty table gives an empty result.
     """
     prints = write_scratch(fingerprints(documents), "simhash")
-    first = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    distinct = write_scratch(first, "simhash-distinct")
+    distinct = write_scratch(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
     roots = components(links(distinct, most)).withColumnRenamed("node", "fp")
     linked = distinct.join(roots, "fp")
     least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    known = linked.join(least, "root").select("fp", "component_id")
-    each = distinct.join(known, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return prints.join(each, "fp").select("doc_id", "fp", "component_id")
+    known = linked.join(least, "root").select("fp", "root", "component_id")
+    each = distinct.join(known, "fp", "left").select(
+        "fp", F.coalesce("root", "fp").alias("root"),
+        F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("component_id")).alias("component_id"))
+    return prints.join(each, "fp").select("doc_id", "mark", "fp", "root", "component_id")
+
+
+def one_of_each(documents: DataFrame, most: int = MOST) -> DataFrame:
+    """One document of each component, with all its columns: that with the smallest ``doc_id``, then the
+    smallest hash of its text. Rows that repeat it go as well; null ids give way to others."""
+    key, mark, place = (free_name(documents, n) for n in ("row_key", "row_mark", "row_place"))
+    kept = near_duplicates(documents, most).groupBy("root").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("r")).select("r.doc_id", "r.mark")
+    kept = kept.select(F.xxhash64("doc_id", "mark").alias(key), F.col("mark").alias(mark))
+    rows = documents.withColumn(mark, F.xxhash64(whole_text("text"))).withColumn(
+        key, F.xxhash64(F.col("doc_id").cast("long"), mark))
+    found = rows.join(kept, [key, mark], "left_semi")
+    return found.withColumn(place, F.row_number().over(Window.partitionBy(key, mark).orderBy("doc_id"))).where(
+        F.col(place) == 1).select(*documents.columns)
