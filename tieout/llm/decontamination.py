@@ -39,9 +39,9 @@ def _sized(rows: DataFrame, words: str, sizes: list[int], *kept: str) -> DataFra
     if sizes != [SHINGLE]:
         none = F.lit(None).cast("string")
         cut = F.array(*(F.struct(*((c if k < size else none).alias(n) for k, (c, n) in enumerate(zip(names, _WORDS, strict=True))),
-                                 F.lit(size).alias("size")) for size in sizes))
+                                 F.lit(size).alias("n_here")) for size in sizes))
         placed = placed.select(*kept, "pos", F.explode(cut).alias("s")).select(*kept, "pos", "s.*")
-        placed = placed.where(F.size(F.array_compact(F.array(*names))) == F.col("size")).drop("size")
+        placed = placed.where(F.size(F.array_compact(F.array(*names))) == F.col("n_here")).drop("n_here")
     else:
         placed = placed.where(F.col("w4").isNotNull())
     return placed.withColumn("h", F.xxhash64(*_WORDS))

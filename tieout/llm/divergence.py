@@ -129,13 +129,14 @@ def jensen_shannon(left: Column, right: Column) -> Column:
     """Distance of two histograms of equal length, 0 to 1; null if one of them is empty."""
     def shares(counts: Column) -> Column:
         return let(F.aggregate(counts, F.lit(0.0), lambda n, x: n + x),
-                   lambda total: F.transform(counts, lambda x: x / F.nullif(total, F.lit(0.0))))
+                   lambda total: F.when(total > 0, F.transform(counts, lambda x: x / total)))
 
     def term(p: Column, q: Column) -> Column:
         return F.when(p > 0, p * F.log2(2 * p / (p + q))).otherwise(0.0)
 
     terms = F.zip_with(shares(left), shares(right), lambda p, q: term(p, q) + term(q, p))
-    return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda n, x: n + x) / 2))
+    return let(F.aggregate(terms, F.lit(0.0), lambda n, x: n + x) / 2,
+               lambda found: F.when(found <= 0, 0.0).otherwise(F.sqrt(found)))
 
 
 def judge(documents: DataFrame, rules: Rules = Rules(), most_languages: int = 1000) -> DataFrame:
