@@ -103,10 +103,21 @@ def test_ranked_aggregates(spark, hot):
         ranked.kth_value(ties, ["g"], "v", 0)
 
 
-def test_textjoin_longer_than_a_cell_is_an_error(spark):
+def test_textjoin_is_whole_unless_a_length_is_asked_for(spark):
     frame = spark.range(400).select((F.col("id") % 2).alias("g"), "id", F.when(F.col("id") % 2 == 0, F.repeat(F.lit("x"), 200)).otherwise("y").alias("t"))
     got = {r["g"]: r["joined"] for r in ranked.textjoin_by(frame, ["g"], "t", ",", ["id"]).collect()}
-    assert got[0] is None and got[1] == ",".join("y" * 200)
+    assert got[0] == ",".join(["x" * 200] * 200) and got[1] == ",".join("y" * 200)
+    with pytest.raises(ArgumentError, match="40,199 characters"):
+        ranked.textjoin_by(frame, ["g"], "t", ",", ["id"], max_length=32_767)
+
+
+def test_ranks_beyond_the_few_that_spark_limits(spark):
+    frame = spark.range(6000).select((F.col("id") % 2).alias("g"), F.floor(F.col("id") / 4).alias("v"))
+    low = {r["g"]: r["kth"] for r in ranked.kth_value(frame, ["g"], "v", 1501, largest=False).collect()}
+    high = {r["g"]: r["kth"] for r in ranked.kth_value(frame, ["g"], "v", 1501).collect()}
+    values = sorted(i // 4 for i in range(0, 6000, 2))
+    assert low == {0: values[1500], 1: values[1500]} and high == {0: values[-1501], 1: values[-1501]}
+    assert ranked.kth_value(frame, ["g"], "v", 3001).count() == 0 == ranked.kth_value(frame, ["g"], "v", 3001, largest=False).count()
 
 
 def test_pivot_parameters_and_mapping(spark):

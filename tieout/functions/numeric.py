@@ -91,6 +91,29 @@ def within_tolerance(expected: Column, actual: Column, absolute: float = 1e-6,
     return is_finite(want) & is_finite(got) & F.coalesce(close, F.lit(False))
 
 
+def _is_exact(dtype: T.DataType) -> bool:
+    return isinstance(dtype, (T.IntegralType, T.DecimalType))
+
+
+def exact_gap(expected: Column, actual: Column, expected_type: T.DataType, actual_type: T.DataType) -> Column:
+    """actual - expected as a double: of whole numbers and decimals the exact difference, rounded once."""
+    plain = actual.cast("double") - expected.cast("double")
+    if not (_is_exact(expected_type) and _is_exact(actual_type)):
+        return plain
+    scale = max(t.scale if isinstance(t, T.DecimalType) else 0 for t in (expected_type, actual_type))
+    want, got = (c.try_cast(f"decimal(38,{scale})") for c in (expected, actual))
+    return F.coalesce((got - want).cast("double"), plain)
+
+
+def numbers_agree(expected: Column, actual: Column, expected_type: T.DataType, actual_type: T.DataType,
+                  absolute: float = 1e-6, relative: float = 0.0) -> Column:
+    """:func:`within_tolerance`, with the gap between whole numbers or decimals taken exactly."""
+    if not (_is_exact(expected_type) and _is_exact(actual_type)):
+        return within_tolerance(expected, actual, absolute, relative)
+    gap, size = F.abs(exact_gap(expected, actual, expected_type, actual_type)), F.abs(expected.cast("double"))
+    return F.coalesce((gap <= absolute) | ((size > 0.0) & (gap <= size * relative)), F.lit(False))
+
+
 def is_number_type(dtype: T.DataType) -> bool:
     """Numeric, boolean excluded."""
     return isinstance(dtype, T.NumericType)
@@ -116,7 +139,8 @@ def signed_delta(expected: Column, actual: Column, expected_type: T.DataType,
     """actual - expected: numbers as they are, dates in (fractional) days, anything else null."""
     if is_number_type(expected_type) and is_number_type(actual_type):
         want, got = expected.cast("double"), actual.cast("double")
-        return F.when(is_finite(want) & is_finite(got), got - want)
+        gap = exact_gap(expected, actual, expected_type, actual_type)
+        return F.when(is_finite(want) & is_finite(got), gap)
     if is_date_type(expected_type) and is_date_type(actual_type):
         return (micros_of(actual) - micros_of(expected)) / F.lit(86_400_000_000.0)
     return F.lit(None).cast("double")

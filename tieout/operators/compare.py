@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from tieout.errors import ArgumentError
 from tieout.functions.cells import ERROR_LITERALS
-from tieout.functions.numeric import is_date_type, is_finite, is_number_type, micros_of, signed_delta, within_tolerance
+from tieout.functions.numeric import is_date_type, is_finite, is_number_type, micros_of, signed_delta, numbers_agree
 from tieout.naming import col as _col
 from tieout.operators.diagnose import Diagnosis, diagnose
+from tieout.operators.frames import duplicate_keys
 from tieout.operators.ordinal import with_ordinal
 from tieout.operators.status import Status, Tolerance, worst
 
@@ -40,7 +41,7 @@ def _cell_kind(want: Column, got: Column, want_type: T.DataType, got_type: T.Dat
     kind = kind.when(empty, "actual_null") if kind is not None else F.when(empty, "actual_null")
     families = _family(want_type), _family(got_type)
     if families == ("number", "number"):
-        agree = within_tolerance(want, got, tolerance.absolute, tolerance.relative)
+        agree = numbers_agree(want, got, want_type, got_type, tolerance.absolute, tolerance.relative)
         return kind.when(~is_finite(got), "non_finite").when(~agree, "value_differs")
     if families == ("moment", "moment"):
         return kind.when(micros_of(want) != micros_of(got), "value_differs")
@@ -236,8 +237,18 @@ def find_actual(frames: Mapping[str, DataFrame], region: Region) -> DataFrame |
 def reconcile_many(regions: list[Region], frames: Mapping[str, DataFrame] = {},
                    tolerance: Tolerance = Tolerance(), not_reproduced: Mapping[str, str] = {},
                    explain: bool = True) -> Report:
-    """Tie out several regions in one job; differing regions also get a diagnosis."""
-    early, parts, by_region = {}, None, {}
+    """Tie out several regions in one job; differing regions also get a diagnosis.
+
+    Rows that an ``order`` leaves tied have no position, so such a region is not reconciled.
+    """
+    early, parts, by_region, settled = {}, None, {}, {}
+
+    def settles(frame: DataFrame, order: tuple[str, ...]) -> bool:
+        """Whether the order tells all rows of the frame apart, found once for each frame and order."""
+        if (id(frame), order) not in settled:
+            settled[id(frame), order] = not duplicate_keys(frame, list(order)).take(1)
+        return settled[id(frame), order]
+
     for region in regions:
         if region.expected is None or region.expected_column not in region.expected.columns:
             early[region.id] = RegionResult(region.id, Status.NOT_RECONCILED, "baseline_range_unreadable")
@@ -248,6 +259,11 @@ def reconcile_many(regions: list[Region], frames: Mapping[str, DataFrame] = {},
             early[region.id] = RegionResult(region.id, Status.NOT_RECONCILED,
                                             "not_reproduced" if declared else "no_actual_values", detail=declared or "")
             continue
+        if region.ordinal is None and region.order and not all(
+                settles(side, tuple(region.order)) for side in (region.expected, actual)):
+            early[region.id] = RegionResult(region.id, Status.NOT_RECONCILED, "order_not_unique",
+                                            detail=f"{', '.join(region.order)} does not tell rows apart")
+            continue
         part = paired_cells(region.expected, actual, region.expected_column, region.actual_column, tolerance,
                             region.ordinal, list(region.order)).withColumn("region", F.lit(region.id))
         by_region[region.id] = part

@@ -303,9 +303,13 @@ def infer_contract(df: DataFrame, name: str, checksum: str | None = None,
     if not df.columns:
         raise ContractError("a delivery without columns describes nothing")
     counters = {r["header"]: r for r in column_counters(df).collect()}
-    frequencies = value_frequencies(df, df.columns)
-    distinct = {r["column_index"]: r["distinct_count"] for r in distinct_values(frequencies).collect()}
     rows = counters[df.columns[0]]["row_count"]
+    # Only a column that the sketch finds near unique, or nearly a closed set, can be either: its error is a
+    # few per cent, and none for a handful of values. Those alone have their values counted.
+    likely = [c for c in df.columns if (filled := rows - counters[c]["null_count"]) and (
+        counters[c]["approx_distinct"] >= 0.7 * filled or counters[c]["approx_distinct"] <= 2 * CATEGORY_MAX_VALUES)]
+    distinct = {r["column_index"]: r["distinct_count"]
+                for r in distinct_values(value_frequencies(df, likely)).collect()} if likely else {}
     texts = [i for i, c in enumerate(df.columns) if counters[c]["dtype"] == "String"
              and rows >= CATEGORY_MIN_ROWS and 0 < distinct.get(i, 0) <= CATEGORY_MAX_VALUES]
     allowed: dict[int, list[str]] = {}

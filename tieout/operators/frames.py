@@ -16,13 +16,9 @@ from tieout.operators.ordinal import with_ordinal
 
 def clean_headers(names: list[str]) -> list[str]:
     """Lower case, runs of other characters as ``_``, repeats numbered from ``_2``."""
-    seen: dict[str, int] = {}
-    cleaned = []
-    for name in names:
-        base = re.sub(r"[^0-9a-z]+", "_", name.strip().lower()).strip("_") or "column"
-        seen[base] = seen.get(base, 0) + 1
-        cleaned.append(base if seen[base] == 1 else f"{base}_{seen[base]}")
-    return cleaned
+    plain = ["_".join(re.findall("[0-9a-z]+", name.lower())) or "column" for name in names]
+    repeats = [plain[:i].count(name) for i, name in enumerate(plain)]
+    return [name if not before else f"{name}_{before + 1}" for name, before in zip(plain, repeats)]
 
 
 def normalise_headers(df: DataFrame) -> DataFrame:
@@ -97,22 +93,41 @@ def allocate_residual(df: DataFrame, column: str, total: float, order: list[str]
 def allocate_residual_by(df: DataFrame, column: str, totals: DataFrame, group: list[str],
                          order: list[str], digits: int = 2, into: str | None = None,
                          total_column: str = "total") -> DataFrame:
-    """:func:`allocate_residual` within each group, against a table of group totals."""
+    """:func:`allocate_residual` within each group, against a table of group totals.
+
+    Null is a group like any other. A group without a total or with several, or with empty cells, is refused.
+    """
     step = float(10 ** digits)
     scaled = _col(column).cast("double") * step
     prepared = df.withColumns({"__units": F.floor(scaled).cast("bigint"),
                                "__rest": -(scaled - F.floor(scaled))})
     facts = prepared.groupBy(*[_col(g) for g in group]).agg(
-        F.sum("__units").alias("__sum"), F.count(F.lit(1)).alias("__rows"))
-    wanted = totals.select(*[_col(g) for g in group], _col(total_column).alias("__total"))
-    facts = facts.join(wanted, group).withColumn(
+        F.sum("__units").alias("__sum"), F.count(F.lit(1)).alias("__rows"), F.count("__units").alias("__filled"))
+    keys = [f"__g{i}" for i in range(len(group))]
+    wanted = totals.groupBy(*[_col(g).alias(k) for g, k in zip(group, keys)]).agg(
+        F.max(_col(total_column)).alias("__total"), F.count(F.lit(1)).alias("__given"))
+    facts = facts.join(wanted, _same(group, keys), "left").drop(*keys).withColumn(
         "__short", F.rint(F.col("__total") * step).cast("bigint") - F.col("__sum"))
+    problem = (F.when(F.col("__total").isNull(), "has no total").when(F.col("__given") > 1, "has several totals")
+               .when(F.col("__filled") < F.col("__rows"), "has empty cells"))
+    wrong = facts.select(*[_col(g) for g in group], problem.alias("__why")).where("__why is not null").limit(5).collect()
+    if wrong:
+        raise ArgumentError("; ".join(f"{tuple(r[g] for g in group)} {r['__why']}" for r in wrong))
     ranked = row_rank(prepared, group, ["__rest", *order], "__rank")
-    placed = ranked.join(facts.select(*[_col(g) for g in group], "__short", "__rows"), group)
+    placed = ranked.join(facts.select(*[_col(g).alias(k) for g, k in zip(group, keys)], "__short", "__rows"),
+                         _same(group, keys), "left")
     share = _allocated(F.col("__units"), F.col("__short"), F.col("__rows"), F.col("__rank"), digits)
     return placed.withColumn(into or column, share).select(*df.columns, *([into] if into and into not in df.columns else []))
 
 
+def _same(group: list[str], keys: list[str]) -> Column:
+    """Both sides hold the same group, null included."""
+    match = F.lit(True)
+    for g, k in zip(group, keys):
+        match = match & _col(g).eqNullSafe(F.col(k))
+    return match
+
+
 @dataclass(frozen=True)
 class Preview:
     rows: list

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tieout.errors import NotConvergedError
-from tieout.session import cut_lineage
-
-MAX_ROUNDS = 1000
+from tieout.session import drop_scratch, scratch_folder, write_scratch
 
 
 # Overlap. An interval is cut into aligned blocks of power-of-two length; a point lies in it exactly
@@ -101,47 +101,62 @@ def graph_degrees(edges: DataFrame) -> DataFrame:
         {"is_root": F.col("fan_in") == 0, "is_leaf": F.col("fan_out") == 0})
 
 
-def cyclic_core(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """Nodes left after peeling, again and again, those without a live edge in or out."""
-    live = cut_lineage(edges.select("src", "dst").distinct())
+def _rounds(limit: int | None):
+    """1, 2, 3 and so on; beyond a limit the caller has set, an error instead of part of an answer."""
+    for number in itertools.count(1):
+        if limit is not None and number > limit:
+            raise NotConvergedError(f"not settled within {limit} rounds")
+        yield number
+
+
+def cyclic_core(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
+    """Nodes left after peeling, again and again, those without a live edge in or out.
+
+    Each round's edges are written to the checkpoint folder and those of the round before deleted.
+    """
+    live = write_scratch(edges.select("src", "dst").distinct(), "core")
     size = live.count()
-    for _ in range(max_rounds):
-        if size == 0:
-            break
+    rounds = _rounds(max_rounds)
+    while size:
+        next(rounds)
         entered, left = live.select(F.col("dst").alias("src")).distinct(), live.select(F.col("src").alias("dst")).distinct()
-        live = cut_lineage(live.join(entered, "src", "left_semi").join(left, "dst", "left_semi").select("src", "dst"))
-        smaller = live.count()
+        peeled = write_scratch(live.join(entered, "src", "left_semi").join(left, "dst", "left_semi").select("src", "dst"), "core")
+        drop_scratch(live)
+        live, smaller = peeled, peeled.count()
         if smaller == size:
             break
         size = smaller
-    else:
-        raise NotConvergedError(f"peeling did not settle within {max_rounds} rounds")
     return live.select(F.col("src").alias("node")).unionByName(live.select(F.col("dst").alias("node"))).distinct()
 
 
-def topological_levels(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = MAX_ROUNDS) -> DataFrame | None:
-    """Each node's level (0 for roots, else one above its deepest source); None when there is a cycle."""
-    live = cut_lineage(edges.select("src", "dst").distinct())
+def topological_levels(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int | None = None) -> DataFrame | None:
+    """Each node's level (0 for roots, else one above its deepest source); None when there is a cycle.
+
+    Levels are appended to one table in the checkpoint folder, so the plan does not grow with them.
+    """
+    spark = edges.sparkSession
+    live = write_scratch(edges.select("src", "dst").distinct(), "edges")
     every = live.select(F.col("src").alias("node")).unionByName(live.select(F.col("dst").alias("node")))
     if nodes is not None:
         every = every.unionByName(nodes.select("node"))
-    every = every.distinct()
-    waiting = cut_lineage(live.select(F.col("dst").alias("node")).distinct())
-    levels = every.join(waiting, "node", "left_anti").withColumn("level", F.lit(0))
-    size, level = live.count(), 0
+    waiting = write_scratch(live.select(F.col("dst").alias("node")).distinct(), "waiting")
+    found = every.distinct().join(waiting, "node", "left_anti").withColumn("level", F.lit(0))
+    levels, schema = scratch_folder(spark, "levels"), found.schema
+    found.write.parquet(levels)
+    size, rounds = live.count(), _rounds(max_rounds)
     while size:
-        level += 1
-        if level > max_rounds:
-            raise NotConvergedError(f"more than {max_rounds} levels")
+        level = next(rounds)
         # An edge stays while its source still waits for something itself.
-        live = cut_lineage(live.join(waiting.withColumnRenamed("node", "src"), "src", "left_semi").select("src", "dst"))
-        smaller = live.count()
+        rest = write_scratch(live.join(waiting.withColumnRenamed("node", "src"), "src", "left_semi").select("src", "dst"), "edges")
+        smaller = rest.count()
         if smaller == size:
             return None
-        still = cut_lineage(live.select(F.col("dst").alias("node")).distinct())
-        levels = levels.unionByName(waiting.join(still, "node", "left_anti").withColumn("level", F.lit(level)))
-        waiting, size = still, smaller
-    return levels
+        still = write_scratch(rest.select(F.col("dst").alias("node")).distinct(), "waiting")
+        waiting.join(still, "node", "left_anti").withColumn("level", F.lit(level)).write.mode("append").parquet(levels)
+        for old in (live, waiting):
+            drop_scratch(old)
+        live, waiting, size = rest, still, smaller
+    return spark.read.schema(schema).parquet(levels)
 
 
 def dead_nodes(nodes: DataFrame, edges: DataFrame, terminal: Column | None = None) -> DataFrame:

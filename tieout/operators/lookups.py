@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tieout.errors import ArgumentError
+from tieout.functions.numeric import is_date_type, is_number_type
 from tieout.naming import col as _col
 from tieout.operators.ordered import fill_forward, slice_position
 
@@ -46,8 +47,9 @@ def lookup_nearest(probe: DataFrame, table: DataFrame, probe_key: str, table_key
     """VLOOKUP approximate: the row with the largest key at or below the probe's.
 
     ``by`` names columns both sides share and must agree on. ``order`` settles which of several
-    table rows with one key counts as the last. A small table without ``by`` becomes a constant;
-    otherwise both sides are merged in key order and the latest table row is carried forward.
+    table rows with one key counts as the last, nulls first. Keys are compared in a type that holds both
+    sides' values. A small table without ``by`` becomes a constant; otherwise both sides are merged in key
+    order and the latest table row is carried forward, with the same result.
     """
     by, order = list(by), list(order)
     present = table.where(_col(table_key).isNotNull())
@@ -55,18 +57,18 @@ def lookup_nearest(probe: DataFrame, table: DataFrame, probe_key: str, table_key
         kept = present.select(_col(table_key).alias("__key"),
                               F.struct(*[_col(c).alias(n) for n, c in returns.items()]).alias("__hit"),
                               *[_col(c).alias(f"__o{i}") for i, c in enumerate(order)])
-        rows = kept.limit(BAND_ROWS + 1).collect()
+        rows = kept.orderBy("__key", *[f"__o{i}" for i in range(len(order))]).limit(BAND_ROWS + 1).collect()
         if len(rows) <= BAND_ROWS:
-            return _search_constant(probe, kept, rows, probe_key, list(returns), len(order))
+            return _search_constant(probe, kept, rows, probe_key, list(returns))
     ties = [f"__o{i}" for i in range(len(order))]
-    key_type = table.schema[table_key].dataType
+    key_type = _common_type(probe, probe_key, table.schema[table_key].dataType)
     hit_type = present.select(F.struct(*[_col(c).alias(n) for n, c in returns.items()]).alias("h")).schema["h"].dataType
     left = probe.select("*", _col(probe_key).cast(key_type).alias("__key"), F.lit(1).alias("__side"),
                         F.lit(None).cast(hit_type).alias("__hit"))
     for tie, source in zip(ties, order):
         left = left.withColumn(tie, F.lit(None).cast(table.schema[source].dataType))
     right = present.select(
-        *[_col(c) for c in by], _col(table_key).alias("__key"), F.lit(0).alias("__side"),
+        *[_col(c) for c in by], _col(table_key).cast(key_type).alias("__key"), F.lit(0).alias("__side"),
         F.struct(*[_col(c).alias(n) for n, c in returns.items()]).alias("__hit"),
         *[_col(c).alias(t) for c, t in zip(order, ties)])
     merged = left.unionByName(right, allowMissingColumns=True)
@@ -79,17 +81,24 @@ def lookup_nearest(probe: DataFrame, table: DataFrame, probe_key: str, table_key
                           *[F.when(_col(probe_key).isNotNull(), F.col("__found")[n]).alias(n) for n in returns])
 
 
-def _search_constant(probe: DataFrame, kept: DataFrame, rows: list, probe_key: str,
-                     names: list[str], ties: int) -> DataFrame:
-    by_key = {}
-    for row in sorted(rows, key=lambda r: (r["__key"], *[r[f"__o{i}"] for i in range(ties)])):
-        by_key[row["__key"]] = row["__hit"]
+def _common_type(probe: DataFrame, probe_key: str, key_type: T.DataType) -> T.DataType:
+    """The type in which Spark compares both keys; the table's where they are of different families."""
+    own = probe.schema[probe_key].dataType
+    for family in (is_number_type, is_date_type):
+        if family(own) and family(key_type):
+            both = F.coalesce(F.lit(None).cast(own), F.lit(None).cast(key_type))
+            return probe.sparkSession.range(0).select(both.alias("k")).schema["k"].dataType
+    return key_type
+
+
+def _search_constant(probe: DataFrame, kept: DataFrame, rows: list, probe_key: str, names: list[str]) -> DataFrame:
+    by_key = {row["__key"]: row["__hit"] for row in rows}  # sorted, so the last of equal keys stays
     hit_type = kept.schema["__hit"].dataType
     if not by_key:
         return probe.withColumns({n: F.lit(None).cast(hit_type[n].dataType) for n in names})
     step = max(1, math.isqrt(len(by_key)))
     ordered = list(by_key)
-    key_type = kept.schema["__key"].dataType
+    key_type = _common_type(probe, probe_key, kept.schema["__key"].dataType)
     chunks = F.array(*[F.array(*[F.lit(k).cast(key_type) for k in ordered[i:i + step]])
                        for i in range(0, len(ordered), step)])
     hits = F.array(*[F.struct(*[F.lit(hit[n]).cast(hit_type[n].dataType).alias(n) for n in names])

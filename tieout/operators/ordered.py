@@ -19,7 +19,7 @@ from tieout.naming import col as _col
 HOT_ROWS_SETTING = "spark.tieout.hotRows"
 HOT_ROWS = 2_000_000
 # Upper bound on groups cut and on slices made, hence on everything broadcast here.
-MAX_SLICES = 8192
+MAX_SLICES = 1 << 17
 POINTS_PER_SLICE = 16
 
 SLICE, HOT = "__slice", "__hot"

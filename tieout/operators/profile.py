@@ -1,8 +1,8 @@
 """Column profiles: counts, numeric summary, frequent values, examples and format anomalies.
 
 All counters of all columns come out of one aggregation. Exact distinct counts and frequent values
-need the distinct values themselves, so they are computed from one (column, value) count; without
-``exact`` only columns the sketch finds to hold few values take part in it.
+need the distinct values themselves, so they are computed from one (column, value) count. The caller
+says for which columns; no table is too large or too small to be treated alike.
 """
 
 from __future__ import annotations
@@ -24,7 +24,6 @@ SAMPLE_SEED = 1729
 KEY_DISTINCT_SHARE = 0.8
 CATEGORY_MIN_ROWS = 20
 CATEGORY_MAX_VALUES = 12
-COVERED_BY_SKETCH = 20_000
 KINDS = ["boolean", "integer", "float", "datetime", "date", "time", "duration", "error", "string", "other"]
 KEY_HEADER = (
     r"(?i)\b(id|ids|code|codes|key|keys|ref|reference|no|num|number|account|counterparty|"
@@ -220,21 +219,17 @@ def anomalies(counters: DataFrame) -> Column:
     return F.array_compact(found)
 
 
-def profile(df: DataFrame, exact: bool = False, order: list[str] | None = None,
+def profile(df: DataFrame, exact: bool | list[str] = True, order: list[str] | None = None,
             redact: list[str] = (), k: int = TOP_K) -> DataFrame:
     """One row per column.
 
-    ``exact`` counts distinct values and ranks frequent values of every column. Without it that is
-    done where the sketch sees few values, and ``distinct_count`` of the others is the sketch's.
+    ``exact`` columns (True: all, False: none, or their names) have their distinct values counted and the
+    ``k`` most frequent ranked. ``distinct_count`` of the others is a sketch's, ``distinct_exact`` says so, and
+    ``top_k`` is null.
     ``order`` adds head, tail and sample values; ``redact`` lists header patterns to withhold.
     """
     counters = column_counters(df, redact)
-    chosen = df.columns
-    if not exact:
-        found = counters.collect()
-        counters = df.sparkSession.createDataFrame(found, COUNTERS)
-        chosen = [r["header"] for r in found
-                  if r["approx_distinct"] is not None and r["approx_distinct"] <= COVERED_BY_SKETCH]
+    chosen = [c for c in df.columns if exact is True or (exact is not False and c in exact)]
     index = "column_index"
     if chosen:
         frequencies = value_frequencies(df, chosen, [c for c in chosen if is_redacted(c, list(redact))])

@@ -26,11 +26,32 @@ def mode_by(df: DataFrame, group: list[str], value: str, into: str = "mode") ->
     return value_counts(df, group, value).groupBy(*_keys(group)).agg(best["v"].alias(into))
 
 
+#: Up to this rank Spark limits the rows of a group before it shuffles them.
+FEW_RANKS = 1000
+
+
 def kth_value(df: DataFrame, group: list[str], value: str, k: int, largest: bool = True,
               into: str = "kth") -> DataFrame:
-    """LARGE and SMALL. Spark keeps only k rows per group and task before the shuffle."""
+    """LARGE and SMALL. For small k Spark keeps only k rows per group and task before the shuffle; for
+    others the values are counted and the counts added up, so no group is sorted in one task."""
     if k < 1:
         raise ArgumentError("k counts from 1")
+    if k > FEW_RANKS:
+        counts = value_counts(df, group, value)
+        place = "__place"
+        if largest:
+            total = counts.groupBy(*_keys(group)).agg(F.sum("__n").alias("__rows"))
+            names = {c: f"__g{i}" for i, c in enumerate(group)}
+            total = total.select(*[_col(c).alias(n) for c, n in names.items()], "__rows")
+            match = F.lit(True)
+            for c, n in names.items():
+                match = match & _col(c).eqNullSafe(F.col(n))
+            upto = running_total(counts, group, ["__value"], "__n", "__upto").join(total, match)
+            upto = upto.withColumn(place, F.col("__rows") - k + 1)
+        else:
+            upto = running_total(counts, group, ["__value"], "__n", "__upto").withColumn(place, F.lit(k))
+        here = (F.col("__upto") >= F.col(place)) & (F.col("__upto") - F.col("__n") < F.col(place)) & (F.col(place) > 0)
+        return upto.where(here).select(*_keys(group), F.col("__value").alias(into))
     column = _col(value)
     order = column.desc() if largest else column.asc()
     ranked = df.where(column.isNotNull()).select(*_keys(group), column).withColumn(
@@ -85,29 +106,20 @@ def quartile_by(df: DataFrame, group: list[str], value: str, quarter: int,
     return percentile_by(df, group, value, quarter / 4, into)
 
 
-# Fixed value: the longest text a cell can hold; a longer TEXTJOIN is an error.
-CELL_TEXT = 32767
-
-
 def textjoin_by(df: DataFrame, group: list[str], value: str, separator: str, order: list[str],
-                into: str = "joined") -> DataFrame:
+                into: str = "joined", max_length: int | None = None) -> DataFrame:
     """TEXTJOIN down a group, in row order, empty cells skipped.
 
-    Lengths are added up first: a group whose text would not fit a cell gives null, as the sheet's
-    error does, and only texts that fit are ever gathered.
+    The whole text is returned, however long; with ``max_length``, a group beyond it is refused instead
+    (a sheet's cell holds 32,767 characters).
     """
     text = _col(value).cast("string")
     kept = df.where(F.coalesce(text, F.lit("")) != "")
-    size = F.sum(F.length(text)) + (F.count(F.lit(1)) - 1) * len(separator)
-    names = {c: f"__g{i}" for i, c in enumerate(group)}
-    sizes = kept.groupBy(*[_col(c).alias(k) for c, k in names.items()]).agg(size.alias("__size"))
-    match = F.lit(True)
-    for c, k in names.items():
-        match = match & _col(c).eqNullSafe(F.col(k))
-    fitting = kept.join(sizes.where(F.col("__size") <= CELL_TEXT), match, "left_semi")
+    if max_length is not None:
+        size = F.sum(F.length(text)) + (F.count(F.lit(1)) - 1) * len(separator)
+        long = kept.groupBy(*_keys(group)).agg(size.alias("__size")).where(F.col("__size") > max_length).first()
+        if long is not None:
+            raise ArgumentError(f"{tuple(long[c] for c in group)} joins to {long['__size']:,} characters, above {max_length:,}")
     item = F.struct(*[_col(c).alias(f"o{i}") for i, c in enumerate(order)], text.alias("text"))
-    joined = fitting.groupBy(*_keys(group)).agg(
+    return kept.groupBy(*_keys(group)).agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["text"]), separator).alias(into))
-    too_long = sizes.where(F.col("__size") > CELL_TEXT).select(
-        *[F.col(k).alias(c) for c, k in names.items()], F.lit(None).cast("string").alias(into))
-    return joined.unionByName(too_long)

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tieout.functions.numeric import is_number_type, signed_delta, within_tolerance
+from tieout.functions.numeric import is_number_type, signed_delta, numbers_agree
 from tieout.naming import col as _col
 from tieout.operators.status import Status, Tolerance
 
@@ -49,7 +49,7 @@ class Verification:
 
 def _disagrees(want: Column, got: Column, want_type: T.DataType, got_type: T.DataType, tolerance: Tolerance) -> Column:
     if is_number_type(want_type) and is_number_type(got_type):
-        agree = within_tolerance(want, got, tolerance.absolute, tolerance.relative)
+        agree = numbers_agree(want, got, want_type, got_type, tolerance.absolute, tolerance.relative)
     elif type(want_type) is type(got_type):
         agree = want == got
     else:
