@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,6 +45,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(tempfile.mkdtemp(prefix="tieout-checkpoint-"))
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application, so that it need not lie on their path."""
+    if spark.sparkContext.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="tieout-code-")) / "tieout.zip"
+    with zipfile.ZipFile(target, "w") as archive:
+        for source in sorted((root / "tieout").rglob("*.py")):
+            archive.write(source, source.relative_to(root))
+    spark.sparkContext.addPyFile(str(target))
+    _SHIPPED.add(spark.sparkContext.applicationId)
+
+
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared checkpoint folder, removed when the session ends."""
     ensure_checkpoint_dir(spark)

@@ -109,6 +109,21 @@ def detect_layouts(files: DataFrame) -> DataFrame:
     return files.select("path").mapInPandas(run, "path string, header_row int, preamble_rows int")
 
 
+def file_headers(files: DataFrame, separator: str | None = None, header_row: int | None = None) -> DataFrame:
+    """separator, header_row and header labels of every listed file; labels are null where there is no such row."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for path in batch["path"]:
+                mark = separator or separator_for(path)
+                rows = head_rows(path, mark, LAYOUT_ROWS if header_row is None else header_row + 1)
+                at = layout_of(rows) if header_row is None else header_row
+                found.append((path, mark, at, rows[at] if at < len(rows) else None))
+            yield pd.DataFrame(found, columns=["path", "separator", "header_row", "labels"])
+
+    return files.select("path").mapInPandas(run, "path string, separator string, header_row int, labels array<string>")
+
+
 def header_labels(files: DataFrame) -> DataFrame:
     """The header labels of every listed file, one row per label."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
