@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import string
-import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tieout.session import ensure_checkpoint_dir
+from tieout.session import drop_scratch, scratch_folder, write_scratch
+
+__all__ = ["BLANKS", "ascii_lower", "drop_scratch", "free_name", "scratch_folder", "slices", "whole_text", "words_between",
+           "write_scratch"]
 
 BLANKS = r"[\x20\x09-\x0D]+"
 
@@ -39,35 +41,6 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared checkpoint folder, removed when the session ends."""
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-    _file_system(spark, folder).deleteOnExit(spark._jvm.org.apache.hadoop.fs.Path(folder))
-    return folder
-
-
-def write_scratch(df: DataFrame, name: str) -> DataFrame:
-    """Write an intermediate frame to the shared folder and read it back, so that later steps
-    reread it after a loss instead of computing it again."""
-    folder = scratch_folder(df.sparkSession, name)
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
-
-
-def drop_scratch(df: DataFrame) -> None:
-    """Delete the files of a frame from ``write_scratch`` that nothing reads any more."""
-    spark = df.sparkSession
-    folders = {name.rsplit("/", 1)[0] for name in df.inputFiles()}
-    for folder in folders:
-        _file_system(spark, folder).delete(spark._jvm.org.apache.hadoop.fs.Path(folder), True)
-
-
-def _file_system(spark: SparkSession, folder: str):
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
 def slices(batches: Iterator, rows: int = 256) -> Iterator:
     """Cut Arrow batches into short ones, so that few texts are Python strings at a time."""
     for batch in batches:
