@@ -12,8 +12,8 @@ import io
 import itertools
 import posixpath
 import re
+import statistics
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -75,29 +75,28 @@ def layout_of(rows: list[list[str]]) -> int:
 
     Rows with more fields than most rows have are prose with separators in it and are passed over.
     """
-    sizes = Counter(len(row) for row in rows)
-    usual = min(sizes, key=lambda size: (-sizes[size], size), default=0)
-    filled = {i: [c.strip() for c in row if c.strip()] for i, row in enumerate(rows) if len(row) <= usual}
-    widest = max((len(cells) for cells in filled.values()), default=0)
-    for i, cells in filled.items():
-        distinct = len({c.lower() for c in cells}) == len(cells)
-        if widest and len(cells) == widest and distinct and not any(map(_is_number, cells)):
-            return i
-    return 0
+    usual = min(statistics.multimode(map(len, rows)), default=0)
+    labels = [[cell for cell in map(str.strip, row) if cell] if len(row) <= usual else [] for row in rows]
+    width = max(map(len, labels), default=0)
+
+    def heads(cells: list[str]) -> bool:
+        return 0 < width == len(cells) == len(set(map(str.lower, cells))) and not any(map(_is_number, cells))
+
+    return next((place for place, cells in enumerate(labels) if heads(cells)), 0)
 
 
 def delimiter_of(lines: list[str]) -> str | None:
     """The delimiter whose count per line, outside quotes, is the steadiest and then the highest."""
-    kept = [line for line in lines if line.strip()][:SNIFF_LINES]
-    best, winner = None, None
-    for rank, mark in enumerate(DELIMITERS):
-        counts = Counter("".join(line.split('"')[::2]).count(mark) for line in kept)
-        usual = max(counts, key=lambda c: (counts[c], -list(counts).index(c)), default=0)
-        if usual:
-            score = (counts[usual] / len(kept), usual, -rank)
-            if best is None or score > best:
-                best, winner = score, mark
-    return winner
+    bare = [re.sub('"[^"]*"?', "", line) for line in lines if line.strip()][:SNIFF_LINES]
+
+    def steadiness(mark: str) -> tuple[int, int]:
+        """Lines with the usual count of the mark, and that count; nothing where most lines have none."""
+        counts = [line.count(mark) for line in bare]
+        usual = statistics.mode(counts)
+        return (counts.count(usual), usual) if usual else (0, 0)
+
+    best = max(DELIMITERS, key=steadiness) if bare else None
+    return best if best and any(steadiness(best)) else None
 
 
 def detect_layouts(files: DataFrame) -> DataFrame:
