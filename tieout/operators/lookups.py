@@ -63,22 +63,24 @@ def lookup_nearest(probe: DataFrame, table: DataFrame, probe_key: str, table_key
     ties = [f"__o{i}" for i in range(len(order))]
     key_type = _common_type(probe, probe_key, table.schema[table_key].dataType)
     hit_type = present.select(F.struct(*[_col(c).alias(n) for n, c in returns.items()]).alias("h")).schema["h"].dataType
-    left = probe.select("*", _col(probe_key).cast(key_type).alias("__key"), F.lit(1).alias("__side"),
-                        F.lit(None).cast(hit_type).alias("__hit"))
-    for tie, source in zip(ties, order):
-        left = left.withColumn(tie, F.lit(None).cast(table.schema[source].dataType))
+    # Each key is looked up once, however many rows ask for it; the join back is one that Spark can split.
+    asked = probe.where(_col(probe_key).isNotNull()).select(
+        *[_col(c) for c in by], _col(probe_key).cast(key_type).alias("__key")).distinct()
+    left = asked.withColumns({"__side": F.lit(1), "__hit": F.lit(None).cast(hit_type), **{
+        tie: F.lit(None).cast(table.schema[source].dataType) for tie, source in zip(ties, order)}})
     right = present.select(
         *[_col(c) for c in by], _col(table_key).cast(key_type).alias("__key"), F.lit(0).alias("__side"),
         F.struct(*[_col(c).alias(n) for n, c in returns.items()]).alias("__hit"),
         *[_col(c).alias(t) for c, t in zip(order, ties)])
-    merged = left.unionByName(right, allowMissingColumns=True)
-    filled = fill_forward(merged, by, ["__key", "__side", *ties], "__hit", "__found")
-    matched = filled.where(F.col("__side") == 1)
-    for name in by:
-        # An empty group key never matches.
-        matched = matched.withColumn("__found", F.when(_col(name).isNotNull(), F.col("__found")))
-    return matched.select(*[_col(c) for c in probe.columns],
-                          *[F.when(_col(probe_key).isNotNull(), F.col("__found")[n]).alias(n) for n in returns])
+    filled = fill_forward(left.unionByName(right), by, ["__key", "__side", *ties], "__hit", "__found")
+    names = {c: f"__b{i}" for i, c in enumerate(by)}
+    found = filled.where(F.col("__side") == 1).select(
+        *[_col(c).alias(n) for c, n in names.items()], F.col("__key").alias("__at"), "__found")
+    match = _col(probe_key).cast(key_type) == F.col("__at")
+    for c, n in names.items():
+        match = match & (_col(c) == F.col(n))  # an empty group key never matches
+    return probe.join(found, match, "left").select(
+        *[_col(c) for c in probe.columns], *[F.col("__found")[n].alias(n) for n in returns])
 
 
 def _common_type(probe: DataFrame, probe_key: str, key_type: T.DataType) -> T.DataType:
