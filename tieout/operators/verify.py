@@ -6,9 +6,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tieout.functions.numeric import is_number_type, signed_delta, numbers_agree
+from tieout.functions.numeric import is_number_type, numbers_agree, signed_delta
 from tieout.naming import col as _col
 from tieout.operators.status import Status, Tolerance
+from tieout.session import cut_lineage
 
 SHOWN = 50
 
@@ -85,7 +86,7 @@ def row_breaks(matched: DataFrame, keys: list[str], columns: list[str], types: l
 
 def verify(predicted: DataFrame, actual: DataFrame, keys: list[str], columns: list[str] | None = None,
            tolerance: Tolerance = Tolerance()) -> Verification:
-    """Compare a prediction with what came back, by key, in one job.
+    """Compare a prediction with what came back, by key, with one join.
 
     Whatever cannot be compared at all (no keys, a key absent, an empty side, repeated keys, no
     common value column) is NOT_RECONCILED with a reason, never a pass.
@@ -109,7 +110,8 @@ def verify(predicted: DataFrame, actual: DataFrame, keys: list[str], columns: li
     if not chosen:
         return refused("the two sides share no value column")
     types = [(predicted.schema[c].dataType, actual.schema[c].dataType) for c in chosen]
-    matched = matched_rows(predicted, actual, keys, chosen)
+    # Joined once, into the checkpoint folder: the counters and the three frames of the report read it from there.
+    matched = cut_lineage(matched_rows(predicted, actual, keys, chosen))
     broken = F.lit(0)
     for i, (want_type, got_type) in enumerate(types):
         broken = broken + _disagrees(F.col(f"__p{i}"), F.col(f"__a{i}"), want_type, got_type, tolerance).cast("int")
