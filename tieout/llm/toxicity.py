@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tieout.llm.common import slices, whole_text, write_scratch
+from tieout.llm.common import slices, whole_text
 
 BITS = 20
 _WORD = re.compile(r"[^\W\d_]+")
@@ -27,16 +27,16 @@ _MASK = np.uint64((1 << BITS) - 1)
 
 @dataclass(frozen=True)
 class Settings:
-    """``most_rows`` bounds the labelled rows learned from, chosen by a hash of their id; each of ``shards``
-    tasks learns from its part, and after every epoch their states are averaged coordinate by coordinate."""
+    """``most_rows`` bounds the labelled documents learned from, chosen by a hash of their id. Every task
+    learns from about ``shard_rows`` of them, and the tasks' states are averaged coordinate by coordinate."""
 
-    alpha: float = 3.0
+    alpha: float = 5.0
     beta: float = 1.0
-    l1: float = 1.5
+    l1: float = 4.0
     l2: float = 0.01
-    epochs: int = 4
-    shards: int = 8
-    most_rows: int = 60_000
+    epochs: int = 3
+    shard_rows: int = 8_000
+    most_rows: int = 40_000
 
 
 class _WordHashes(dict):
@@ -103,54 +103,61 @@ class Ftrl:
         self.n[at] += g * g
 
 
-def training_rows(documents: DataFrame, labels: DataFrame, settings: Settings) -> DataFrame:
-    """``doc_id, text, label`` to learn from: at most ``most_rows``, those with the smallest hashes.
+def training_labels(labels: DataFrame, settings: Settings) -> tuple[DataFrame, int]:
+    """``doc_id, label`` to learn from, and how many: at most ``most_rows``, those in the first of 65,536
+    buckets of a hash of their id.
 
     Rows with a null id, a null label or a label other than 0 and 1 teach nothing. A document labelled twice
-    teaches by its largest label; repeated documents teach once for each different text.
+    teaches by its largest label.
     """
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(
         F.max("toxic").cast("int").alias("label"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.most_rows)
-    texts = documents.where("doc_id is not null").select("doc_id", whole_text("text").alias("text"))
-    return texts.join(known, "doc_id").distinct()
+    bucket = F.shiftrightunsigned(F.xxhash64("doc_id"), 48)
+    total, last = 0, -1
+    for at, count in sorted((r["at"], r["count"]) for r in known.groupBy(bucket.alias("at")).count().collect()):
+        if total + count > settings.most_rows:
+            break
+        total, last = total + count, at
+    return known.where(bucket <= last), total
 
 
-def train(rows: DataFrame, settings: Settings = Settings()) -> np.ndarray:
-    """Weights over all coordinates and the intercept, from ``doc_id, text, label``.
+def fit(documents: DataFrame, labels: DataFrame, settings: Settings = Settings(), teaches=None) -> np.ndarray:
+    """Weights over all coordinates and the intercept, learned from labelled documents; ``teaches`` (a
+    condition on ``doc_id``) may hold some back.
 
-    Each shard's rows go by a hash of their id, so the weights do not depend on how Spark deals them. States
-    of shards are summed per coordinate by Spark; what comes to the driver has the coordinates' size. Without
-    rows all weights are zero.
+    Repeated documents teach once for each different text. Rows go to shards by a hash of their id and are
+    taken in an order of their own, so the weights do not depend on how Spark deals them. What comes to the
+    driver is a state for each shard, of the coordinates' size. Without labelled documents all weights are zero.
     """
-    shards = settings.shards
-    coded = write_scratch(rows.select(
+    known, total = training_labels(labels if teaches is None else labels.where(teaches), settings)
+    shards = max(1, -(-total // settings.shard_rows))
+    texts = documents.where("doc_id is not null").select("doc_id", whole_text("text").alias("text"))
+    rows = texts.join(known, "doc_id").select(
         F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(shards)).cast("int").alias("shard"),
-        F.xxhash64("doc_id", "text").alias("at"), "label", "text").mapInArrow(_featurise, "shard int, at long, label int, features array<int>"), "toxic-features")
-    z = n = None
-    for epoch in range(settings.epochs):
-        broadcast = rows.sparkSession.sparkContext.broadcast((z, n))
-
-        parts = coded.repartition(4 * shards, "shard").groupBy("shard")
-        states = parts.applyInPandas(_learner(broadcast, settings, epoch), "at long, z double, n double").groupBy("at").agg(
-            (F.sum("z") / F.count(F.lit(1))).alias("z"), (F.sum("n") / F.count(F.lit(1))).alias("n")).toPandas()
-        z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
-        z[states["at"]], n[states["at"]] = states["z"], states["n"]
-        broadcast.unpersist()
-    return Ftrl(settings, z, n).weights(np.arange((1 << BITS) + 1))
-
-
-def _learner(broadcast, settings: Settings, epoch: int):
-    """Goes on from the broadcast state through one shard, in an order of the epoch's own."""
+        F.xxhash64("doc_id", "text").alias("at"), "label", "text")
+    coded = rows.mapInArrow(_featurise, "shard int, at long, label int, features array<int>")
+    parts = coded.repartition(4 * shards, "shard").groupBy("shard").applyInPandas(
+        _learner(settings), "z binary, n binary").toArrow()
+    z, n, heard = (np.zeros((1 << BITS) + 1) for _ in range(3))
+    for part_z, part_n in zip(parts.column("z"), parts.column("n"), strict=True):
+        one_n = np.frombuffer(part_n.as_buffer(), np.float32)
+        z += np.frombuffer(part_z.as_buffer(), np.float32)
+        n += one_n
+        heard += one_n > 0
+    heard = np.maximum(heard, 1)
+    return Ftrl(settings, z / heard, n / heard).weights(np.arange((1 << BITS) + 1))
+
+
+def _learner(settings: Settings):
+    """Learns from one shard, epoch by epoch, each in an order of its own."""
     def learn(part: pd.DataFrame) -> pd.DataFrame:
-        z, n = broadcast.value
-        model = Ftrl(settings, None if z is None else z.copy(), None if n is None else n.copy())
-        at = part["at"].to_numpy()
+        part = part.drop_duplicates("at")
+        model, at = Ftrl(settings), part["at"].to_numpy()
         labels, sets = part["label"].to_numpy(), part["features"].to_numpy()
-        for i in np.lexsort((at, (at * (2 * epoch + 3)) & 0xFFFF)):
-            model.learn(np.asarray(sets[i], np.int64), labels[i])
-        touched = np.flatnonzero(model.n)
-        return pd.DataFrame({"at": touched, "z": model.z[touched], "n": model.n[touched]})
+        for epoch in range(settings.epochs):
+            for i in np.lexsort((at, (at * (2 * epoch + 3)) & 0xFFFF)):
+                model.learn(np.asarray(sets[i], np.int64), labels[i])
+        return pd.DataFrame({"z": [model.z.astype(np.float32).tobytes()], "n": [model.n.astype(np.float32).tobytes()]})
 
     return learn
 
@@ -183,9 +190,3 @@ def score(documents: DataFrame, weights: np.ndarray, out: str = "score") -> Data
                                              [*(f.name for f in kept), out])
 
     return documents.mapInArrow(run, T.StructType([*kept, T.StructField(out, T.DoubleType())]))
-
-
-def fit(documents: DataFrame, labels: DataFrame, settings: Settings = Settings(), teaches=None) -> np.ndarray:
-    """Weights learned from labelled documents; ``teaches`` (a condition on ``doc_id``) may hold some back."""
-    known = labels if teaches is None else labels.where(teaches)
-    return train(training_rows(documents, known, settings), settings)
