@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tieout.llm.common import slices
-from tieout.llm.tokens import PieceIds, piece_ids, tokenizer_path
+from tieout.llm.tokens import PieceIds, byte_characters, piece_ids, tokenizer_path
 
 #: A cut follows each byte where these bits of the rolling hash are zero: every 128 bytes or so.
 CUT_BITS = np.uint32(0x7F << 20)
@@ -129,11 +129,8 @@ def encode(documents: DataFrame, tokenizer: str, text: str = "text", out: str =
 
 
 def id_bytes(path: str) -> list[bytes]:
-    """The bytes each id stands for. Byte-level vocabularies write a byte as a visible character: itself
-    where it has one in Latin-1, else the next code point from 256 on."""
-    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    alphabet = {chr(b): b for b in visible}
-    alphabet |= {chr(256 + n): b for n, b in enumerate(b for b in range(256) if b not in set(visible))}
+    """The bytes each id stands for."""
+    alphabet = {c: b for b, c in enumerate(byte_characters())}
     tokenizer = PieceIds(path).tokenizer
     special = {i for i, token in tokenizer.get_added_tokens_decoder().items()}
     table = [b""] * tokenizer.get_vocab_size()

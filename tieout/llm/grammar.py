@@ -28,71 +28,61 @@ from tieout.llm.tokens import piece_ids, tokenizer_path
 MAGIC = b"RPG1"
 _HEAD = struct.Struct("<4s5I")
 #: A shard is closed when it holds this many ids.
-SHARD_IDS = 1 << 20
+SHARD_IDS = 1 << 22
 #: A pair is replaced while it occurs at least this often in the shard.
 LEAST_PAIRS = 16
-ROUNDS = 6
+ROUNDS = 4
 #: Pairs replaced in one round: each is at least this share as frequent as the round's most frequent one.
-ROUND_SHARE = 16
-_SLOTS = 20
+ROUND_SHARE = 256
+_SLOTS = 18
 
 SHARDS = "shard string, part int, seq int, documents long, tokens long"
-DOCUMENT = "shard string, position int, doc_id long, n_tokens long, ids binary"
-
-
-def _frequent_pairs(symbols: np.ndarray, most: int, least: int) -> np.ndarray:
-    """Codes (left << 32 | right) of the pairs to replace now, most frequent first."""
-    if len(symbols) < 2:
-        return np.empty(0, np.uint64)
-    if symbols.max() < 1 << 16:
-        codes = (symbols[:-1] << np.uint32(16)) | symbols[1:]
-    else:
-        codes = (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:]
-    codes.sort()
-    starts = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
-    counts = np.diff(np.append(starts, len(codes)))
-    often = np.flatnonzero(counts >= max(least, counts.max() // ROUND_SHARE))
-    often = often[np.argsort(-counts[often], kind="stable")][:most]
-    found = codes[starts[often]].astype(np.uint64)
-    if codes.dtype == np.uint32:
-        found = ((found >> np.uint64(16)) << np.uint64(32)) | (found & np.uint64(0xFFFF))
-    return found
+DOCUMENT = "shard string, position int, doc_id long, start long, n_tokens long, ids binary"
 
 
-def _slot(codes: np.ndarray) -> np.ndarray:
-    return (codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOTS)
+def _frequent_pairs(codes: np.ndarray, most: int, least: int) -> np.ndarray:
+    """The pairs to replace now, most frequent first."""
+    ordered = np.sort(codes)
+    starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+    counts = np.diff(np.append(starts, len(ordered)))
+    often = np.flatnonzero(counts >= max(least, counts.max() // ROUND_SHARE))
+    often = often[np.argsort(-counts[often], kind="stable")][:most]
+    return ordered[starts[often]]
 
 
 def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, least: int = LEAST_PAIRS,
              most_rules: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
     """Rules (n, 2) and the symbols left. Overlapping pairs are replaced from the left."""
-    symbols, rules = ids.astype(np.uint32), np.empty((0, 2), np.uint32)
-    if base < 1 << 16:
-        most_rules = min(most_rules, (1 << 16) - base)
-    table_code, table_symbol = np.empty(1 << _SLOTS, np.uint64), np.empty(1 << _SLOTS, np.uint32)
+    symbols, rules = ids.astype(np.uint32), []
+    # A pair is one number: of 32 bits where all symbols have 16.
+    kind, half, factor = (np.uint32, 16, 0x9E3779B1) if base < 60_000 else (np.uint64, 32, 0x9E3779B97F4A7C15)
+    if kind is np.uint32:
+        most_rules = min(most_rules, (1 << 16) - 1 - base)
+    shift, nothing = kind(2 * half - _SLOTS), np.iinfo(kind).max
     for _ in range(rounds):
-        pairs = _frequent_pairs(symbols, min(4096, most_rules - len(rules)), least)
-        _, first = np.unique(_slot(pairs), return_index=True)  # one pair to a slot
+        if len(symbols) < 2:
+            break
+        codes = (symbols[:-1].astype(kind) << kind(half)) | symbols[1:]
+        pairs = _frequent_pairs(codes, min(4096, most_rules - len(rules)), least)
+        _, first = np.unique((pairs * kind(factor)) >> shift, return_index=True)  # one pair to a slot
         pairs = pairs[np.sort(first)]
         if not len(pairs):
             break
-        new = np.arange(len(pairs), dtype=np.uint32) + np.uint32(base + len(rules))
-        table_code.fill(np.iinfo(np.uint64).max)
-        table_code[_slot(pairs)], table_symbol[_slot(pairs)] = pairs, new
-        rules = np.concatenate((rules, np.stack((pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)), 1).astype(np.uint32)))
-        codes = (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:]
-        slots = _slot(codes)
-        hit = table_code[slots] == codes
+        known, new = np.full(1 << _SLOTS, nothing, kind), np.zeros(1 << _SLOTS, np.uint32)
+        slots = (pairs * kind(factor)) >> shift
+        known[slots], new[slots] = pairs, np.arange(len(pairs), dtype=np.uint32) + np.uint32(base + len(rules))
+        rules += zip((pairs >> kind(half)).tolist(), (pairs & kind((1 << half) - 1)).tolist(), strict=True)
+        slots = (codes * kind(factor)) >> shift
+        places = np.flatnonzero(known[slots] == codes)
         # In a run of overlapping hits every second one, from its first, is replaced.
-        places = np.flatnonzero(hit)
         begins = np.flatnonzero(np.concatenate(([True], np.diff(places) > 1)))
         within = np.arange(len(places)) - np.repeat(begins, np.diff(np.append(begins, len(places))))
         places = places[within % 2 == 0]
         kept = np.ones(len(symbols), bool)
         kept[places + 1] = False
-        symbols[places] = table_symbol[slots[places]]
+        symbols[places] = new[slots[places]]
         symbols = symbols[kept]
-    return rules, symbols
+    return np.array(rules, np.uint32).reshape(-1, 2), symbols
 
 
 def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
@@ -164,6 +154,21 @@ class Shard:
         return found[start - begin: stop - begin]
 
 
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+
+
+def word_pieces(text: str) -> list[bytes]:
+    """A text in pieces that a lower-casing word tokenizer encodes one by one as it does the whole.
+
+    Such a tokenizer drops white space, so stretches between blanks stand alone; capital A-Z count as small
+    ones, but for a text that may hold the name of a special token.
+    """
+    data = text.encode()
+    if b"<|" not in data:
+        data = data.translate(_LOWER)
+    return data.replace(b"\n", b" ").split(b" ")
+
+
 def write_ids(documents: DataFrame, tokenizer: str, folder: str, end_id: int, base: int,
               shard_ids: int = SHARD_IDS) -> DataFrame:
     """Encode whole texts and write them as shards in ascending ``doc_id`` order; gives the table of shards.
@@ -192,8 +197,7 @@ def write_ids(documents: DataFrame, tokenizer: str, folder: str, end_id: int, ba
 
         for batch in slices(batches):
             for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                # The tokenizer drops white space and never joins what it parts, so its stretches stand alone.
-                ids = b"".join(map(look, text.replace("\n", " ").split(" "))) + end
+                ids = b"".join(map(look, word_pieces(text))) + end
                 if keys and size + len(ids) // 4 > shard_ids:
                     yield close()
                 keys.append(key)
@@ -211,41 +215,39 @@ def write_ids(documents: DataFrame, tokenizer: str, folder: str, end_id: int, ba
 
 def shard_starts(shards: DataFrame) -> DataFrame:
     """Add ``start``, the ids of all shards before: a sum within each part, after those of earlier parts."""
-    parts = sorted((-1 if r["part"] is None else r["part"], r["n"]) for r in
-                   shards.groupBy("part").agg(F.sum("tokens").alias("n")).collect())  # one row a task
-    spark, before, rows = shards.sparkSession, 0, []
+    parts = sorted((r["part"], r["n"]) for r in
+                   shards.groupBy("part").agg(F.sum("tokens").alias("n")).collect())  # one row for each writing task
+    before, rows = 0, []
     for part, n in parts:
         rows.append((part, before))
         before += n
-    offsets = spark.createDataFrame(rows, "part int, before long")
+    offsets = shards.sparkSession.createDataFrame(rows, "part int, before long")
     within = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     return shards.withColumn("inside", F.coalesce(F.sum("tokens").over(within), F.lit(0))).join(
-        offsets, "part").withColumn("start", F.col("before") + F.col("inside")).drop("before", "inside")
+        F.broadcast(offsets), "part").withColumn("start", F.col("before") + F.col("inside")).drop("before", "inside")
 
 
 def read_ids(shards: DataFrame) -> DataFrame:
-    """One row per document of the shards, in whatever order: ``shard, position, doc_id, n_tokens, ids``."""
+    """One row per document of the shards, in whatever order: ``shard, position, doc_id, start, n_tokens, ids``;
+    ``start`` counts the ids of all documents before."""
     schema = pa.schema([("shard", pa.string()), ("position", pa.int32()), ("doc_id", pa.int64()),
-                        ("n_tokens", pa.int64()), ("ids", pa.binary())])
+                        ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name in batch.column("shard").to_pylist():
+            for name, start in zip(batch.column("shard").to_pylist(), batch.column("start").to_pylist(), strict=True):
                 with storage.open_random(name) as source:
                     shard = Shard(source.read())
                 ends = np.cumsum(shard.counts)
-                for at in range(0, len(ends), 128):
-                    rows = [{"shard": name, "position": i, "doc_id": shard.keys[i], "n_tokens": int(shard.counts[i]),
-                             "ids": shard.ids(int(ends[i] - shard.counts[i]), int(ends[i])).astype("<u4").tobytes()}
-                            for i in range(at, min(at + 128, len(ends)))]
-                    yield pa.RecordBatch.from_pylist(rows, schema)
-
-    return storage.one_task_per_file(shards.select("shard")).mapInArrow(read, DOCUMENT)
-
-
-def with_starts(found: DataFrame, shards: DataFrame) -> DataFrame:
-    """Add ``start`` to what was read by ``read_ids``: the ids of all documents before each."""
-    within = Window.partitionBy("shard").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
-    return found.withColumn("inside", F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).join(
-        shard_starts(shards).select("shard", F.col("start").alias("before")), "shard").withColumn(
-        "start", F.col("before") + F.col("inside")).drop("before", "inside")
+                for at in range(0, len(ends), 512):
+                    to = min(at + 512, len(ends))
+                    begins = ends[at:to] - shard.counts[at:to]
+                    data = shard.ids(int(begins[0]), int(ends[to - 1])).astype("<u4", copy=False).tobytes()
+                    cuts = pa.array(np.append(0, 4 * (ends[at:to] - begins[0])).astype(np.int32))
+                    ids = pa.Array.from_buffers(pa.binary(), to - at, [None, cuts.buffers()[1], pa.py_buffer(data)])
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([name] * (to - at)), pa.array(np.arange(at, to, dtype=np.int32)),
+                        pa.array(shard.keys[at:to], pa.int64()), pa.array(begins + start),
+                        pa.array(shard.counts[at:to]), ids], schema=schema)
+
+    return storage.one_task_per_file(shard_starts(shards).select("shard", "start")).mapInArrow(read, DOCUMENT)
