@@ -213,7 +213,8 @@ def near_duplicates(documents: DataFrame, most: int = MOST) -> DataFrame:
     each = distinct.join(known, "fp", "left").select(
         "fp", F.coalesce("root", "fp").alias("root"),
         F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("component_id")).alias("component_id"))
-    return prints.join(each, "fp").select("doc_id", "mark", "fp", "root", "component_id")
+    # Written, so that both sides of the join come from plain shuffles and Spark can split a hot fingerprint.
+    return prints.join(write_scratch(each, "simhash-classes"), "fp").select("doc_id", "mark", "fp", "root", "component_id")
 
 
 def one_of_each(documents: DataFrame, most: int = MOST) -> DataFrame:
