@@ -27,7 +27,7 @@ from tieout.llm.tokens import PieceIds, byte_characters, piece_ids, tokenizer_pa
 #: A cut follows each byte where these bits of the rolling hash are zero: every 128 bytes or so.
 CUT_BITS = np.uint32(0x7F << 20)
 #: Characters of chunks that a worker holds.
-HELD_CHARS = 16 << 20
+HELD_CHARS = 8 << 20
 _GEAR = np.arange(1, 257, dtype=np.uint32) * np.uint32(2654435761)
 _GEAR ^= _GEAR >> np.uint32(15)
 #: White space begins after a character that is none.

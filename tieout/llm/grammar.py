@@ -32,6 +32,8 @@ SHARD_IDS = 1 << 22
 #: A pair is replaced while it occurs at least this often in the shard.
 LEAST_PAIRS = 16
 ROUNDS = 4
+#: Pieces a worker holds, up to twice as many.
+HELD_PIECES = 400_000
 #: Pairs replaced in one round: each is at least this share as frequent as the round's most frequent one.
 ROUND_SHARE = 256
 _SLOTS = 18
@@ -181,7 +183,7 @@ def write_ids(documents: DataFrame, tokenizer: str, folder: str, end_id: int, ba
     end = np.array([end_id], "<u4").tobytes()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look, part, seq = piece_ids(path).__getitem__, TaskContext.get().partitionId(), 0
+        look, part, seq = piece_ids(path, HELD_PIECES).__getitem__, TaskContext.get().partitionId(), 0
         keys, coded, size = [], [], 0
 
         def close() -> pa.RecordBatch:

@@ -29,7 +29,7 @@ class PieceIds(dict):
     directly; all others through the whole tokenizer.
     """
 
-    def __init__(self, path: str, limit: int = 400_000, longest: int = 64):
+    def __init__(self, path: str, limit: int = 100_000, longest: int = 64):
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -81,10 +81,11 @@ class PieceIds(dict):
 _HELD: dict[str, PieceIds] = {}
 
 
-def piece_ids(path: str) -> PieceIds:
-    """The pieces of one tokenizer file, kept by a Python worker from task to task."""
-    if path not in _HELD:
-        _HELD[path] = PieceIds(path)
+def piece_ids(path: str, limit: int = 100_000) -> PieceIds:
+    """The pieces of one tokenizer file, kept by a Python worker from task to task; one file's at a time."""
+    if path not in _HELD or _HELD[path].limit != limit:
+        _HELD.clear()
+        _HELD[path] = PieceIds(path, limit)
     return _HELD[path]
 
 

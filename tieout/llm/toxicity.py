@@ -42,7 +42,7 @@ class Settings:
 class _WordHashes(dict):
     """64-bit hashes of lower-cased words, at most ``limit`` of them held."""
 
-    def __init__(self, limit: int = 200_000):
+    def __init__(self, limit: int = 100_000):
         super().__init__()
         self.limit = limit
 
