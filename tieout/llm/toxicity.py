@@ -188,5 +188,6 @@ def score(documents: DataFrame, weights: np.ndarray, out: str = "score") -> Data
             scores = 1 / (1 + np.exp(-np.clip(sums, -35, 35)))
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(scores, pa.float64())],
                                              [*(f.name for f in kept), out])
+        _HASHES.clear()  # the worker may go on to other work
 
     return documents.mapInArrow(run, T.StructType([*kept, T.StructField(out, T.DoubleType())]))
