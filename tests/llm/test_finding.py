@@ -142,6 +142,42 @@ def test_passages_that_repeat_are_found(spark):
     assert words_of(cut[1]) == words_of(texts[1])[61:] and words_of(cut[4]) == words_of(texts[4])[:70] + words_of(texts[4])[-1:]
 
 
+def test_short_passages_with_parts_in_earlier_documents_are_found(spark):
+    rng = random.Random(14)
+    texts = []
+    for size in (*range(50, 72, 3), 90, 130):
+        line = made_up(rng, size).split()
+        for parts in ([line[:-20]], [line[20:]], [line[:size // 2 + 10], line[size // 2 - 10:]], [line[15:], line[:-15]],
+                      [line[i:i + 49] for i in range(0, size - 48, 7)]):
+            again = [rng.choice("abcdefghij") * 9 + w for w in made_up(rng, size).split()]  # other words in each case
+            words = dict(zip(line, again, strict=False))
+            case = [[words[w] for w in part] for part in parts]
+            whole = [words[w] for w in line]
+            for held in (*case, whole, whole, whole + made_up(rng, 3).split() + whole):
+                texts.append(" ".join([made_up(rng, rng.randrange(1, 40)), *held, made_up(rng, rng.randrange(1, 40))]))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    first, covered = {}, defaultdict(set)
+    for r in passages.shared_passages(frame).collect():
+        assert r["other_id"] < r["doc_id"] and r["end"] - r["start"] >= 50 and r["similarity"] >= 0.8
+        covered[r["doc_id"]].update(range(r["start"], r["end"]))
+    n = 0
+    for doc, text in enumerate(texts):
+        line = words_of(text)
+        for i in range(len(line) - 49):
+            if first.setdefault(tuple(line[i:i + 50]), doc) < doc:
+                assert covered[doc].issuperset(range(i, i + 50)), (doc, i)
+                n += 1
+    assert n > 3000
+
+
+def test_what_agrees_around_a_match_is_taken_whole():
+    left = np.arange(60, dtype=np.uint64)
+    right = np.concatenate((np.arange(100, 110), left)).astype(np.uint64)
+    # The second match is on another diagonal, inside of what agrees around the first.
+    found = passages.agreeing(left, right, np.array([5, 12]), np.array([15, 20]))
+    assert found.tolist() == list(range(10, 70))
+
+
 def test_passages_of_odd_rows(spark, odd_documents, no_documents):
     found = passages.shared_passages(odd_documents)
     assert {(r["doc_id"], r["other_id"]) for r in found.collect()} == {(6, 5)}
