@@ -159,3 +159,13 @@ def test_encoding_keeps_rows_and_columns(spark, odd_documents, no_documents):
 
 def test_crc_of_ids_is_that_of_their_bytes(spark):
     assert spark.range(1).select(F.crc32(F.lit(b"\x01\x00\x00\x00"))).first()[0] == zlib.crc32(b"\x01\x00\x00\x00")
+
+
+def test_no_pair_of_a_shard_is_left_that_occurs_often():
+    rng = np.random.default_rng(3)
+    copy = rng.integers(0, 49408, 1000)
+    ids = np.concatenate([np.append(copy, rng.integers(0, 49408, 50)) for _ in range(100)])
+    symbols = grammar.compress(ids, 49408)[1].astype(np.int64)
+    assert np.unique((symbols[:-1] << 32) | symbols[1:], return_counts=True)[1].max() < grammar.LEAST_PAIRS
+    shard = grammar.Shard(grammar.pack([1], [ids.astype(np.uint32)], 49408))
+    assert (shard.ids(0, len(ids)) == ids).all() and len(shard.symbols) < len(ids) // 15

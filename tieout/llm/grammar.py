@@ -29,9 +29,8 @@ MAGIC = b"RPG1"
 _HEAD = struct.Struct("<4s5I")
 #: A shard is closed when it holds this many ids.
 SHARD_IDS = 1 << 22
-#: A pair is replaced while it occurs at least this often in the shard.
+#: A pair is replaced while it occurs at least this often in the shard, and while there is room for rules.
 LEAST_PAIRS = 16
-ROUNDS = 4
 #: Pieces a worker holds, up to twice as many.
 HELD_PIECES = 400_000
 #: Pairs replaced in one round: each is at least this share as frequent as the round's most frequent one.
@@ -52,18 +51,17 @@ def _frequent_pairs(codes: np.ndarray, most: int, least: int) -> np.ndarray:
     return ordered[starts[often]]
 
 
-def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, least: int = LEAST_PAIRS,
+def compress(ids: np.ndarray, base: int, least: int = LEAST_PAIRS,
              most_rules: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
-    """Rules (n, 2) and the symbols left. Overlapping pairs are replaced from the left."""
+    """Rules (n, 2) and the symbols left. Overlapping pairs are replaced from the left. With ``base`` below 60,000
+    symbols have 16 bits, which leaves 65,535 - ``base`` rules."""
     symbols, rules = ids.astype(np.uint32), []
     # A pair is one number: of 32 bits where all symbols have 16.
     kind, half, factor = (np.uint32, 16, 0x9E3779B1) if base < 60_000 else (np.uint64, 32, 0x9E3779B97F4A7C15)
     if kind is np.uint32:
         most_rules = min(most_rules, (1 << 16) - 1 - base)
     shift, nothing = kind(2 * half - _SLOTS), np.iinfo(kind).max
-    for _ in range(rounds):
-        if len(symbols) < 2:
-            break
+    while len(symbols) >= 2:
         codes = (symbols[:-1].astype(kind) << kind(half)) | symbols[1:]
         pairs = _frequent_pairs(codes, min(4096, most_rules - len(rules)), least)
         _, first = np.unique((pairs * kind(factor)) >> shift, return_index=True)  # one pair to a slot
