@@ -14,12 +14,15 @@ from tieout.llm import (
     divergence,
     grammar,
     lattice,
+    merkle,
+    minmax,
     passages,
     simhash,
     toxicity,
     warc,
+    whitening,
 )
-from tieout.llm.common import scratch_folder
+from tieout.llm.common import ascii_lower, scratch_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -247,6 +250,108 @@ def op5_passages(spark: SparkSession, folder: str) -> DataFrame:
     return passages.shared_passages(table(spark, folder, "documents")).drop("mark", "other_mark")
 
 
+def _crc32(text: str) -> str:
+    """SQL for the unsigned CRC-32 of ASCII text, four bits at a time."""
+    table = []
+    for x in range(16):
+        for _ in range(4):
+            x = x >> 1 ^ (0xEDB88320 if x & 1 else 0)
+        table.append(x)
+    half = f"(xor(c >> 4, [{', '.join(map(str, table))}][1 + ((xor(c, x)) & 15)]))"
+    nibbles = f"flatten(list_transform(range(1, length({text}) + 1), lambda i: [ascii({text}[i]) & 15, ascii({text}[i]) >> 4]))"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {nibbles}::bigint[]), lambda c, x: {half}), 4294967295)"
+
+
+def _merkle_sql() -> str:
+    """Trees of up to 8^8 leaves, a level at a time: nodes, then the siblings of each leaf's ancestors, then what the
+    leaf and they fold to."""
+    levels = range(8)
+    field = "coalesce(octet_length(encode({0}::varchar)) || ':' || {0}::varchar, '-')"
+    leaf = " || ".join(field.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+    def tree(name: str, source: str) -> str:
+        """Levels of the trees of ``source (k, p, h, w)``, with the leaves' siblings and folded digests."""
+        parts = [f"{name}0 as (select k, p, h, w from {source})"]
+        for n in levels:
+            parts.append(f"""{name}{n + 1} as (
+  select k, p // 8 as p, sha256(string_agg(h, '' order by p)) as h, (any_value(w) + 7) // 8 as w from {name}{n} where w > 1
+  group by k, p // 8 union all select k, p, h, w from {name}{n} where w = 1)""")
+        return ",\n".join(parts)
+
+    def climb(name: str, start: str) -> str:
+        """From ``start (id, k, p, w, f, s)``: ``f`` folded up and ``s`` with all siblings appended."""
+        parts = [f"{name}_0 as (select id, k, p, w, f, s from {start})"]
+        for n in levels:
+            parts.append(f"""{name}_{n + 1} as (
+  select c.id, any_value(c.k) as k, any_value(c.p) // 8 as p, (any_value(c.w) + 7) // 8 as w,
+    sha256(string_agg(case when t.p = c.p then c.f else t.h end, '' order by t.p)) as f,
+    any_value(c.s) || coalesce(string_agg(t.h, '' order by t.p) filter (where t.p <> c.p), '') as s
+  from {name}_{n} c join {name[0]}{n} t on t.k = c.k and t.p // 8 = c.p // 8 where c.w > 1 group by c.id
+  union all select id, k, p, w, f, s from {name}_{n} where w = 1)""")
+        return ",\n".join(parts)
+
+    return f"""
+with d as (
+  select doc_id, lang, sha256({leaf} || {field.format("text")}) as h,
+    case when ({_crc32("coalesce(doc_id::varchar, '')")}) % 3 = 0 and doc_id is not null
+      then sha256({leaf} || {field.format(lower)}) else sha256({leaf} || {field.format("text")}) end as f
+  from documents),
+g as (select lang, row_number() over (order by lang nulls first) - 1 as k from (select distinct lang from d)),
+l as (
+  select row_number() over () as id, doc_id, d.h, f, k, row_number() over (partition by k order by doc_id nulls first, d.h) - 1 as p,
+    count(*) over (partition by k) as w
+  from d join g on d.lang is not distinct from g.lang),
+{tree("a", "l")},
+r as (select k as p, h, count(*) over () as w, 0 as k from a8),
+{tree("b", "r")},
+s as (select id, k, p, w, f, '' as s from l),
+{climb("a", "s")},
+u as (select a.id, 0 as k, a.k as p, r.w, a.f, a.s from a_8 a join r on r.p = a.k),
+{climb("b", "u")}
+select doc_id, l.h as leaf, a8.h as subroot, b8.h as root, sha256(x.s) as proof_sha256, x.f as folded_root, x.f = b8.h as verified
+from l join b_8 x using (id) join a8 on a8.k = l.k cross join b8
+"""
+
+
+@query(_merkle_sql())
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Manifest of every document, and what each proof says of texts of which a third have been tampered with."""
+    lowered = F.when(remainder(3) == 0, ascii_lower(F.col("text"))).otherwise(F.col("text"))
+    return merkle.certify(table(spark, folder, "documents"), lowered).withColumn(
+        "proof_sha256", F.sha2(F.lower(F.hex("proof")), 256)).select(
+        "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+@query()
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Every usable vector on the first eight components of the exact covariance."""
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
+_BLANK = r"[\x20\x09-\x0D]+"
+
+
+@query(rf"""
+with recursive d as (
+  select row_number() over () as r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_BLANK}'), lambda x: x <> '') as words from documents),
+s as (
+  select distinct r, array_to_string(list_slice(words, i, i + 4), ' ') as shingle from (
+    select r, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) as i from d where len(words) > 0)),
+n as (select r, count(*) as n from s group by r),
+x as (select a.r as a, b.r as b, count(*) as n from s a join s b on a.shingle = b.shingle and a.r <> b.r group by a.r, b.r),
+links as (select x.a, x.b from x join n p on p.r = x.a join n q on q.r = x.b where 100 * x.n >= 85 * (p.n + q.n - x.n)),
+reach as (select r as a, r as b from d union select reach.a, links.b from reach join links on links.a = reach.b),
+c as (select a, min(doc_id) as component_id from reach join d on d.r = reach.b group by a)
+select doc_id, coalesce(n.n, 0) as n_shingles, component_id, doc_id is not distinct from component_id as kept
+from d join c on c.a = d.r left join n using (r)
+""")
+def op13_minmax(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate class of every document."""
+    return minmax.near_duplicates(table(spark, folder, "documents"))
+
+
 @query()
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     """The corpus without toxic, near-duplicate and contaminated documents and repeated passages, encoded."""
