@@ -192,6 +192,53 @@ def test_graph_shapes(spark):
     assert [r["node"] for r in dead.collect()] == [4]
 
 
+def plain_levels(edges):
+    into = {}
+    for a, b in edges:
+        into.setdefault(b, set()).add(a)
+        into.setdefault(a, set())
+    levels = {}
+    while len(levels) < len(into):
+        ready = [n for n, above in into.items() if n not in levels and all(x in levels for x in above)]
+        if not ready:
+            return None
+        levels |= {n: max((levels[x] + 1 for x in into[n]), default=0) for n in ready}
+    return levels
+
+
+def plain_core(edges):
+    edges = set(edges)
+    while True:
+        kept = {(a, b) for a, b in edges if any(y == a for _, y in edges) and any(x == b for x, _ in edges)}
+        if kept == edges:
+            return {n for e in edges for n in e}
+        edges = kept
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_levels_and_cores_of_random_graphs(spark, seed):
+    rng = random.Random(seed)
+    nodes = 30
+    chain = [(100 + i, 101 + i) for i in range(rng.randrange(3, 40))]
+    acyclic = [tuple(sorted(rng.sample(range(nodes), 2))) for _ in range(rng.randrange(5, 70))] + chain + [(3, 100)]
+    frame = lambda rows: spark.createDataFrame(rows, "src int, dst int").repartition(3)
+    got = {r["node"]: r["level"] for r in graph.topological_levels(frame(acyclic + acyclic[:5])).collect()}
+    assert got == plain_levels(acyclic)
+    tangled = [tuple(rng.choices(range(nodes), k=2)) for _ in range(rng.randrange(10, 45))] + chain + [(chain[-1][1], rng.choice([5, 100, 200]))]
+    assert {r["node"] for r in graph.cyclic_core(frame(tangled)).collect()} == plain_core(tangled)
+    found = graph.topological_levels(frame(tangled))
+    assert plain_levels(tangled) == (None if found is None else {r["node"]: r["level"] for r in found.collect()})
+
+
+def test_a_long_chain_takes_few_rounds(spark):
+    chain = spark.range(3000).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    assert graph.topological_levels(chain, max_rounds=16).where("level <> node").count() == 0
+    assert graph.cyclic_core(chain, max_rounds=30).count() == 0
+    ring = chain.unionByName(spark.createDataFrame([(3000, 1500)], "src long, dst long"))
+    assert graph.topological_levels(ring, max_rounds=16) is None
+    assert graph.cyclic_core(ring, max_rounds=60).count() == 1501
+
+
 def test_a_round_limit_is_an_error_not_a_partial_answer(spark):
     chain = spark.range(12).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
     with pytest.raises(NotConvergedError):

@@ -109,54 +109,135 @@ def _rounds(limit: int | None):
         yield number
 
 
+def _follow(pointers: DataFrame, rounds) -> tuple[DataFrame, bool]:
+    """Lead every pointer ``node, to, far, least`` to where pointers end, by doubling what each has covered.
+
+    A node's value is the larger of ``least`` and ``far`` more than the value at ``to``, so two steps are one of the same
+    kind. Returns the pointers and whether some go in circles: those still point at a node with a pointer when
+    they have taken more steps than there are nodes.
+    """
+    size, steps = pointers.count(), 1
+    while True:
+        next(rounds)
+        ahead = pointers.select(F.col("node").alias("at"), F.col("to").alias("on"), F.col("far").alias("more"), F.col("least").alias("then"))
+        joined = pointers.join(ahead, F.col("to") == F.col("at"), "left")
+        passed = F.col("at").isNotNull()
+        moved = write_scratch(joined.select(
+            "node", F.when(passed, F.col("on")).otherwise(F.col("to")).alias("to"),
+            F.when(passed, F.col("far") + F.col("more")).otherwise(F.col("far")).alias("far"),
+            F.when(passed, F.greatest("least", F.col("then") + F.col("far"))).otherwise(F.col("least")).alias("least"),
+            passed.alias("passed")), "pointers")
+        drop_scratch(pointers)
+        left = moved.where("passed").count()
+        pointers, steps = moved.drop("passed"), 2 * steps
+        if not left or steps > 2 * size:
+            return pointers, bool(left)
+
+
 def cyclic_core(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """Nodes left after peeling, again and again, those without a live edge in or out.
 
-    Each round's edges are written to the checkpoint folder and those of the round before deleted.
+    Before each peeling, chains of nodes with one edge in and one out become single edges, by doubling pointers along
+    them, so a long tail takes as many rounds as the logarithm of its length. A chain that ends nowhere is a ring
+    and stays; other chains stay where both their ends do. Tables of a round go once the next is written.
     """
     live = write_scratch(edges.select("src", "dst").distinct(), "core")
-    size = live.count()
-    rounds = _rounds(max_rounds)
-    while size:
+    rounds, chains = _rounds(max_rounds), []
+    while True:
+        size = live.count()
+        if not size:
+            break
+        single = lambda end, other: live.groupBy(F.col(end).alias("node")).agg(
+            F.min(other).alias(other), F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
+        through = write_scratch(single("dst", "src").join(single("src", "dst"), "node"), "through")
+        if through.take(1):
+            ends = []
+            for side in ("src", "dst"):
+                start = write_scratch(through.select("node", F.col(side).alias("to"), F.lit(0).cast("long").alias("far"), F.lit(0).cast("long").alias("least")), "pointers")
+                ends.append(_follow(start, rounds)[0].select("node", F.col("to").alias(side)))
+            led = write_scratch(ends[0].join(ends[1], "node"), "chains")
+            inner = through.select(F.col("node").alias("inner"))
+            ring = led.join(inner, F.col("src") == F.col("inner"), "left_semi").select("node")
+            open_ = led.join(inner, F.col("src") == F.col("inner"), "left_anti")
+            chains.append((open_, ring))
+            touched = live.join(inner, F.col("src") == F.col("inner"), "left_anti").join(
+                inner, F.col("dst") == F.col("inner"), "left_anti")
+            live, old = write_scratch(touched.unionByName(open_.select("src", "dst")).distinct(), "core"), live
+            drop_scratch(old)
         next(rounds)
         entered, left = live.select(F.col("dst").alias("src")).distinct(), live.select(F.col("src").alias("dst")).distinct()
         peeled = write_scratch(live.join(entered, "src", "left_semi").join(left, "dst", "left_semi").select("src", "dst"), "core")
+        before, after = live.count(), peeled.count()
         drop_scratch(live)
-        live, smaller = peeled, peeled.count()
-        if smaller == size:
+        live = peeled
+        if after == before and not through.take(1):
             break
-        size = smaller
-    return live.select(F.col("src").alias("node")).unionByName(live.select(F.col("dst").alias("node"))).distinct()
+    core = live.select(F.col("src").alias("node")).unionByName(live.select(F.col("dst").alias("node"))).distinct()
+    for chain, ring in reversed(chains):
+        held = write_scratch(core, "core-nodes")
+        both = chain.join(held.select(F.col("node").alias("src")), "src", "left_semi").join(
+            held.select(F.col("node").alias("dst")), "dst", "left_semi").select("node")
+        core = held.unionByName(both).unionByName(ring)
+    return core.distinct()
 
 
 def topological_levels(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int | None = None) -> DataFrame | None:
     """Each node's level (0 for roots, else one above its deepest source); None when there is a cycle.
 
-    Levels are appended to one table in the checkpoint folder, so the plan does not grow with them.
+    A node with one source hangs on it at a fixed distance. Chains and trees of such nodes are led to where they begin by
+    doubling pointers, in as many rounds as the logarithm of their depth; what is left, roots and nodes with several
+    sources, is peeled from the roots, and both are repeated until no edge is left. A node keeps the deepest level that
+    resolved sources give it, so shortened edges carry a distance and a least level.
     """
-    spark = edges.sparkSession
-    live = write_scratch(edges.select("src", "dst").distinct(), "edges")
+    live = write_scratch(edges.select("src", "dst").distinct().select("src", "dst", F.lit(1).cast("long").alias("far")), "edges")
     every = live.select(F.col("src").alias("node")).unionByName(live.select(F.col("dst").alias("node")))
     if nodes is not None:
         every = every.unionByName(nodes.select("node"))
-    waiting = write_scratch(live.select(F.col("dst").alias("node")).distinct(), "waiting")
-    found = every.distinct().join(waiting, "node", "left_anti").withColumn("level", F.lit(0))
-    levels, schema = scratch_folder(spark, "levels"), found.schema
-    found.write.parquet(levels)
-    size, rounds = live.count(), _rounds(max_rounds)
-    while size:
-        level = next(rounds)
-        # An edge stays while its source still waits for something itself.
-        rest = write_scratch(live.join(waiting.withColumnRenamed("node", "src"), "src", "left_semi").select("src", "dst"), "edges")
-        smaller = rest.count()
-        if smaller == size:
+    # Nodes whose level is not known yet, with the least it can be.
+    waiting = write_scratch(every.distinct().withColumn("least", F.lit(0).cast("long")), "waiting")
+    rounds, hung, known = _rounds(max_rounds), [], []
+    while True:
+        single = live.groupBy(F.col("dst").alias("node")).agg(
+            F.min("src").alias("to"), F.max("far").alias("far"), F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
+        pointers = write_scratch(single.join(waiting, "node"), "pointers")
+        if pointers.take(1):
+            pointers, circles = _follow(pointers, rounds)
+            if circles:
+                return None
+            hung.append(pointers)
+            # Edges from a hanging node start where it hangs, and give what they lead to a least level.
+            moved = live.join(pointers.select("node"), F.col("dst") == F.col("node"), "left_anti").join(
+                pointers.select(F.col("node").alias("src"), "to", F.col("far").alias("more"), "least"), "src", "left")
+            live_now = write_scratch(moved.select(
+                F.coalesce("to", "src").alias("src"), "dst", (F.col("far") + F.coalesce("more", F.lit(0))).alias("far"),
+                (F.col("least") + F.col("far")).alias("least")), "edges")
+            waiting = waiting.join(pointers.select("node"), "node", "left_anti")
+        else:
+            live_now = live.withColumn("least", F.lit(None).cast("long"))
+        next(rounds)
+        targets = live_now.select(F.col("dst").alias("node")).distinct()
+        roots = write_scratch(waiting.join(targets, "node", "left_anti").select("node", F.col("least").alias("level")), "levels")
+        known.append(roots)
+        if not live_now.take(1):
+            break
+        from_roots = live_now.join(roots.select(F.col("node").alias("src"), "level"), "src", "left")
+        risen = from_roots.select(F.col("dst").alias("node"), F.greatest("least", F.col("level") + F.col("far")).alias("risen")).groupBy(
+            "node").agg(F.max("risen").alias("risen"))
+        still = write_scratch(waiting.join(roots.select("node"), "node", "left_anti").join(risen, "node", "left").select(
+            "node", F.greatest("least", "risen").alias("least")), "waiting")
+        rest = write_scratch(from_roots.where("level is null").groupBy("src", "dst").agg(F.max("far").alias("far")), "edges")
+        if not roots.take(1) and not pointers.take(1):
             return None
-        still = write_scratch(rest.select(F.col("dst").alias("node")).distinct(), "waiting")
-        waiting.join(still, "node", "left_anti").withColumn("level", F.lit(level)).write.mode("append").parquet(levels)
-        for old in (live, waiting):
-            drop_scratch(old)
-        live, waiting, size = rest, still, smaller
-    return spark.read.schema(schema).parquet(levels)
+        drop_scratch(live)
+        live, waiting = rest, still
+    levels = known[0]
+    for part in known[1:]:
+        levels = levels.unionByName(part)
+    for pointers in reversed(hung):
+        held = write_scratch(levels, "levels")
+        levels = held.unionByName(pointers.join(held.withColumnRenamed("node", "to"), "to").select(
+            "node", F.greatest("least", F.col("level") + F.col("far")).alias("level")))
+    return levels.select("node", F.col("level").cast("int").alias("level"))
 
 
 def dead_nodes(nodes: DataFrame, edges: DataFrame, terminal: Column | None = None) -> DataFrame:

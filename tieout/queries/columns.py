@@ -218,37 +218,30 @@ def hash_names(spark: SparkSession, folder: str) -> DataFrame:
         X.note_text("Balance of {} in {}", F.col("c_name"), F.col("c_mktsegment")).alias("note"))
 
 
-# Written out here once more, so that the SQL does not follow a wrong list.
-_KEYS = """password pwd passwd pass userid uid user username accountkey sharedaccesssignature sig sastoken sas accesstoken
-refreshtoken token apikey key secret credential credentials authorization auth certificate privatekey publickey passphrase""".split()
-_ENDINGS = "password passwd pwd secret token apikey accesskey accountkey privatekey passphrase credential signature".split()
-_INSIDE = (r"shared[_ -]?access[_ -]?signature|client[_ -]?secret|access[_ -]?token|refresh[_ -]?token|private[_ -]?key|"
-           r"account[_ -]?key|api[_ -]?key|user[_ -]?name|user[_ -]?id|authorization|passphrase|credential|password|passwd|"
-           r"secret|token|user|pwd|uid|sig|sas")
-
-
-def _mask_sql(value: str) -> str:
-    spaced = lambda words: "|".join(r"[\s_\-.:]*".join(w) for w in words)
-    keys = rf"[\s_\-.:]*(?:(?:{spaced(_KEYS)})|[^;=]*(?:{spaced(_ENDINGS)}))"
-    quoted = r"(?:\s*(?:\{[^}]*\}?|''[^'']*''?|\"[^\"]*\"?))?[^;]*"
-    steps = [
-        (r"(^|;)(\s*" + keys + r"[\s_\-.:]*=)" + quoted, r"\1\2***REDACTED***"),
-        (rf"(^|[^\w-])({_INSIDE})\s*=\s*[^;&\s\"''}}\]]+", r"\1\2=***REDACTED***"),
-        (r"\b(bearer|basic)\s+[0-9a-z._~+/-]{8,}=*", r"\1 ***REDACTED***"),
-        (r"\b([a-z][a-z0-9+.-]*://)[^/\s@]+@", r"\1***REDACTED***@"),
-    ]
-    for pattern, new in steps:
-        value = f"regexp_replace({value}, '{pattern}', '{new}', 'gis')"
-    return value
+# Texts without anything that could be taken for a credential, so that what is planted around them is all there is.
+_PLAIN = """regexp_replace(text, '[=:;@''"{}]|[Bb][Ee][Aa][Rr][Ee][Rr]|[Bb][Aa][Ss][Ii][Cc]', ' ', 'g')"""
 
 
 @query(f"""
-with masked as (select doc_id, text, {_mask_sql("text")} as safe from documents)
-select doc_id, sha256(safe) as safe_hash, cast(length(safe) as integer) as safe_length, safe <> text as changed from masked""")
+with plain as (select doc_id, {_PLAIN} as body from documents)
+select doc_id, 'Host=h1;Password=***REDACTED***;Port=5' as value,
+  sha256(body || ' Access_Token=***REDACTED***') as ending_hash,
+  sha256('see Bearer ***REDACTED*** ' || body) as bearer_hash,
+  sha256(body || ' https://***REDACTED***@host/x') as url_hash,
+  sha256(body || body) as free_hash from plain""")
 def mask_docs(spark: SparkSession, folder: str) -> DataFrame:
-    masked = table(spark, folder, "documents").select("doc_id", "text", X.mask_secrets(F.col("text")).alias("safe"))
-    return masked.select("doc_id", F.sha2("safe", 256).alias("safe_hash"), F.length("safe").alias("safe_length"),
-                         (F.col("safe") != F.col("text")).alias("changed"))
+    """Credentials planted in, before and behind every whole text."""
+    lit, col = F.lit, F.col
+    plain = table(spark, folder, "documents").select("doc_id", F.regexp_replace(
+        "text", "[=:;@'\"{}]|[Bb][Ee][Aa][Rr][Ee][Rr]|[Bb][Aa][Ss][Ii][Cc]", " ").alias("body"))
+    masked = lambda *parts: X.mask_secrets(F.concat(*parts))
+    number, body = col("doc_id").cast("string"), col("body")
+    return plain.select(
+        "doc_id", masked(lit("Host=h1;Password="), body, lit(";Port=5")).alias("value"),
+        F.sha2(masked(body, lit(" Access_Token = abc"), number, lit("&x")), 256).alias("ending_hash"),
+        F.sha2(masked(lit("see Bearer abcdefgh"), number, lit(" "), body), 256).alias("bearer_hash"),
+        F.sha2(masked(body, lit(" https://me:pw"), number, lit("@host/x")), 256).alias("url_hash"),
+        F.sha2(masked(body, body), 256).alias("free_hash"))
 
 
 @query("""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tieout.operators import audit, graph, runs, search
+from tieout.operators.ordered import prior_row
+from tieout.operators.ordinal import with_ordinal
 from tieout.operators.profile import coverage, fold_kinds, mixed_type_columns
 from tieout.queries.registry import query, table
 
@@ -105,12 +107,45 @@ def trade_levels(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("select event_type as node from (select event_type, lead(event_type) over (partition by user_id order by ts, event_id) as next from events) where next is not null group by 1")
 def cyclic_event_types(spark: SparkSession, folder: str) -> DataFrame:
-    from tieout.operators.ordered import prior_row
-
     steps = prior_row(table(spark, folder, "events"), ["user_id"], ["ts", "event_id"], {"before": "event_type"})
     return graph.cyclic_core(steps.where(F.col("before").isNotNull()).select(F.col("before").alias("src"), F.col("event_type").alias("dst")))
 
 
+@query("select o_orderkey as node, cast(row_number() over (order by o_orderkey) - 1 as integer) as level from orders")
+def order_chain_levels(spark: SparkSession, folder: str) -> DataFrame:
+    """One chain through all orders: its levels take about as many rounds as the logarithm of its length."""
+    return graph.topological_levels(_order_chain(spark, folder))
+
+
+@query("select count(*) as orders, false as has_order from orders")
+def order_chain_with_cycle(spark: SparkSession, folder: str) -> DataFrame:
+    """The same chain with one edge from its end to its middle has no order."""
+    chain = _order_chain(spark, folder)
+    ends = chain.agg(F.max("dst").alias("src"), F.expr("percentile_disc(0.5) within group (order by src)").alias("dst"))
+    found = graph.topological_levels(chain.unionByName(ends.select("src", "dst")))
+    return table(spark, folder, "orders").agg(F.count(F.lit(1)).alias("orders")).withColumn("has_order", F.lit(found is not None))
+
+
+def _order_chain(spark: SparkSession, folder: str) -> DataFrame:
+    placed = with_ordinal(table(spark, folder, "orders").select("o_orderkey"), ["o_orderkey"])
+    return placed.select(F.col("o_orderkey").alias("src"), (F.col("ordinal") + 1).alias("ordinal")).join(
+        placed.select(F.col("o_orderkey").alias("dst"), "ordinal"), "ordinal").select("src", "dst")
+
+
+@query("select o_orderkey as node from orders where o_custkey % 3 = 0")
+def order_rings(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders lead to their customer's next one. Of every third customer the last leads to the first again; one edge leads
+    from each ring, if it is of several orders, into a chain, and from a chain into the next ring's first order."""
+    orders = prior_row(table(spark, folder, "orders"), ["o_custkey"], ["o_orderkey"], {"before": "o_orderkey"})
+    steps = orders.where("before is not null").select(F.col("before").alias("src"), F.col("o_orderkey").alias("dst"))
+    ends = orders.groupBy("o_custkey").agg(F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last"))
+    rings = ends.where("o_custkey % 3 = 0").select(F.col("last").alias("src"), F.col("first").alias("dst"))
+    # Chains of the customer before lead into a ring, whose last order leads into chains of the customer after.
+    after = ends.select((F.col("o_custkey") - 1).alias("o_custkey"), F.col("first").alias("next"))
+    links = ends.join(after, "o_custkey").where("o_custkey % 3 <> 1").select(F.col("last").alias("src"), F.col("next").alias("dst"))
+    return graph.cyclic_core(steps.unionByName(rings).unionByName(links))
+
+
 @query("select p_partkey as node from part where p_partkey not in (select l_partkey from lineitem where l_quantity > 49) and p_size < 40")
 def unread_parts(spark: SparkSession, folder: str) -> DataFrame:
     parts = table(spark, folder, "part").select(F.col("p_partkey").alias("node"), "p_size")

@@ -58,12 +58,21 @@ def separator_for(path: str) -> str:
     return "\t" if posixpath.splitext(path.lower())[1] in TAB_SUFFIXES else ","
 
 
-def head_rows(path: str, separator: str, rows: int = LAYOUT_ROWS) -> list[list[str]]:
-    """The first records of one file."""
+def head_lines(path: str, separator: str, rows: int = LAYOUT_ROWS) -> tuple[list[list[str]], list[int]]:
+    """The first records of one file, and how many lines are read at the end of each."""
     system, inner = _open(path)
     with system.open_input_stream(inner) as raw:
         text = io.TextIOWrapper(raw, encoding="utf-8-sig", errors="replace", newline="")
-        return list(itertools.islice(csv.reader(text, delimiter=separator), rows))
+        reader, found, ends = csv.reader(text, delimiter=separator), [], []
+        for row in itertools.islice(reader, rows):
+            found.append(row)
+            ends.append(reader.line_num)
+        return found, ends
+
+
+def head_rows(path: str, separator: str, rows: int = LAYOUT_ROWS) -> list[list[str]]:
+    """The first records of one file."""
+    return head_lines(path, separator, rows)[0]
 
 
 def _is_number(cell: str) -> bool:
@@ -109,18 +118,21 @@ def detect_layouts(files: DataFrame) -> DataFrame:
 
 
 def file_headers(files: DataFrame, separator: str | None = None, header_row: int | None = None) -> DataFrame:
-    """separator, header_row and header labels of every listed file; labels are null where there is no such row."""
+    """separator, header_row and header labels of every listed file, and the number of lines up to the header's end;
+    labels are null where there is no such row."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = []
             for path in batch["path"]:
                 mark = separator or separator_for(path)
-                rows = head_rows(path, mark, LAYOUT_ROWS if header_row is None else header_row + 1)
+                rows, ends = head_lines(path, mark, LAYOUT_ROWS if header_row is None else header_row + 1)
                 at = layout_of(rows) if header_row is None else header_row
-                found.append((path, mark, at, rows[at] if at < len(rows) else None))
-            yield pd.DataFrame(found, columns=["path", "separator", "header_row", "labels"])
+                known = at < len(rows)
+                found.append((path, mark, at, rows[at] if known else None, ends[at] if known else 0))
+            yield pd.DataFrame(found, columns=["path", "separator", "header_row", "labels", "header_lines"])
 
-    return files.select("path").mapInPandas(run, "path string, separator string, header_row int, labels array<string>")
+    return files.select("path").mapInPandas(
+        run, "path string, separator string, header_row int, labels array<string>, header_lines int")
 
 
 def header_labels(files: DataFrame) -> DataFrame:
