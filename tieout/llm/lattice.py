@@ -2,8 +2,9 @@
 
 A text is its words, lower-cased, and one end. A word with the vocabulary's word mark before it can be put
 together from pieces in many ways, and its probability is the sum over all of them, by a forward recursion in
-log space. The vocabulary orders its pieces by score; that gives each a weight, by which the segmentations of
-the training words share out the words' counts, and the expected counts with the weights as a prior are the
+log space. The vocabulary's scores decide which pieces there are and what each weighs before anything is learned: they
+order the pieces, and the n-th weighs one over n + 10. By these weights the segmentations of the training words share
+out the words' counts in the first round, and in every round the expected counts with the weights as a prior are the
 pieces' probabilities, bytes for characters without a piece among them. One more segmentation of a training
 word is the word as a whole, as frequent as in training. After each word a text ends or goes on.
 
@@ -14,6 +15,7 @@ length; the rest reach the documents that have them by a shuffle.
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tieout.llm.common import BLANKS, ascii_lower, slices, whole_text, words_between, write_scratch
+from tieout.llm.common import BLANKS, ascii_lower, drop_scratch, slices, whole_text, words_between, write_scratch
 from tieout.llm.tokens import tokenizer_path
 
 MARK = "▁"
@@ -66,35 +68,47 @@ def load(path: str) -> Pieces:
     return Pieces(begun, byte_ids, logs, max(map(len, ids)))
 
 
-class Lattices:
-    """The segmentations of some words: an arc for each piece that stands anywhere in a marked word.
+def arcs(words: list[str], pieces: Pieces) -> tuple[list[int], list[int], list[int], list[int]]:
+    """Of every word, marked: how many arcs it has, and of each arc its start, its end and its piece. An arc is a piece
+    that stands somewhere in the word; a character without a piece is one that stands for its bytes, as -1 less its
+    code point."""
+    find, longest = pieces.begun.get, pieces.longest
+    counts, starts, ends, used = [], [], [], []
+    for line in words:
+        line, before = MARK + line, len(used)
+        for start in range(len(line)):
+            for end in range(start + 1, min(len(line), start + longest) + 1):
+                piece = find(line[start:end])
+                if piece is None or piece < 0:
+                    if end > start + 1:
+                        if piece is None:
+                            break
+                        continue
+                    piece = -1 - ord(line[start])
+                starts.append(start)
+                ends.append(end)
+                used.append(piece)
+        counts.append(len(used) - before)
+    return counts, starts, ends, used
 
-    ``word, start, end, used`` describe the arcs; a character without a piece is one arc that stands for its
-    bytes, numbered from the vocabulary's size on.
-    """
 
-    def __init__(self, words: list[str], pieces: Pieces):
-        self.pieces, self.spelled = pieces, {}
-        find, longest, size = pieces.begun.get, pieces.longest, len(pieces.logs)
-        word, starts, ends, used = [], [], [], []
-        for k, line in enumerate(words):
-            line = MARK + line
-            for start in range(len(line)):
-                for end in range(start + 1, min(len(line), start + longest) + 1):
-                    piece = find(line[start:end])
-                    if piece is None or piece < 0:
-                        if end > start + 1:
-                            if piece is None:
-                                break
-                            continue
-                        piece = self.spelled.setdefault(line[start], size + len(self.spelled))
-                    word.append(k)
-                    starts.append(start)
-                    ends.append(end)
-                    used.append(piece)
-        self.word, self.start, self.end, self.used = (np.array(x, np.int64) for x in (word, starts, ends, used))
-        self.lengths = np.array([len(w) + 1 for w in words])
-        self.byte_lists = [[pieces.byte_ids[b] for b in char.encode()] for char in self.spelled]
+class Lattices:
+    """The segmentations of some words, from their arcs: ``word, start, end, used`` describe them, and characters
+    without a piece are numbered from the vocabulary's size on."""
+
+    def __init__(self, lengths: np.ndarray, counts: np.ndarray, starts: np.ndarray, ends: np.ndarray, used: np.ndarray,
+                 pieces: Pieces):
+        self.pieces, self.lengths = pieces, np.asarray(lengths, np.int64)
+        self.word = np.repeat(np.arange(len(self.lengths)), counts)
+        self.start, self.end, self.used = (np.array(x, np.int64) for x in (starts, ends, used))
+        spelled = self.used < 0
+        chars, place = np.unique(self.used[spelled], return_inverse=True)
+        self.used[spelled] = len(pieces.logs) + place
+        self.byte_lists = [[pieces.byte_ids[b] for b in chr(-1 - c).encode()] for c in chars.tolist()]
+
+    @classmethod
+    def of(cls, words: list[str], pieces: Pieces) -> Lattices:
+        return cls(np.array([len(w) + 1 for w in words]), *map(np.array, arcs(words, pieces)), pieces)
 
     def _logs(self, logs: np.ndarray) -> np.ndarray:
         return np.concatenate((logs, [logs[b].sum() for b in self.byte_lists]))[self.used]
@@ -140,14 +154,42 @@ class Lattices:
         return uses[: len(logs)]
 
 
-def _groups(words: list[str], most: int = 1000, long: int = 48) -> Iterator[np.ndarray]:
-    """Places of words to work on together; long words stand alone."""
-    sizes = np.array([len(w) for w in words])
+def _groups(sizes: np.ndarray, most: int = 1000, long: int = 48) -> Iterator[np.ndarray]:
+    """Places of words to work on together, by their lengths; long words stand alone."""
     short = np.flatnonzero(sizes <= long)
     yield from (short[at: at + most] for at in range(0, len(short), most))
     yield from np.flatnonzero(sizes > long)[:, None]
 
 
+def lattice_table(words: DataFrame, path: str) -> DataFrame:
+    """The words with ``length`` (marked) and their arcs ``starts, ends, used``, looked up in the vocabulary once for all
+    rounds and for the scores."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = _pieces(path)
+        for batch in slices(batches, 2048):
+            texts = batch.column("word").to_pylist()
+            counts, *lists = arcs(texts, pieces)
+            ends = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array([len(t) + 1 for t in texts], pa.int32()),
+                 *(pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in lists)],
+                [*batch.schema.names, "length", "starts", "ends", "used"])
+
+    return words.mapInArrow(run, "word string, n long, c long, length int, starts array<int>, ends array<int>, used array<int>")
+
+
+def _lattices(batch: pa.RecordBatch, pieces: Pieces) -> Iterator[tuple[np.ndarray, Lattices]]:
+    """Groups of rows of a lattice table, as places in the batch and their lattices."""
+    lengths = batch.column("length").to_numpy()
+    counts = batch.column("starts").value_lengths().to_numpy()
+    before = np.cumsum(counts) - counts
+    flat = [batch.column(c).flatten().to_numpy() for c in ("starts", "ends", "used")]
+    for at in _groups(lengths - 1):
+        own = counts[at]
+        inside = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own) + np.repeat(before[at], own)
+        yield at, Lattices(lengths[at], own, *(x[inside] for x in flat), pieces)
+
+
 _HELD: dict[str, Pieces] = {}
 
 
@@ -168,11 +210,11 @@ def learn(words: DataFrame, texts: int, path: str, prior: float = PRIOR,
           rounds: int = ROUNDS) -> tuple[np.ndarray, float, float]:
     """Log probabilities of the pieces and of the end, and the share of words spelled by pieces.
 
-    ``words`` has training counts ``c``; ``texts`` is the number of training texts. The share of spelled words
+    ``words`` is a lattice table with training counts ``c``; ``texts`` is the number of training texts. The share of spelled words
     is that of different words among all (Witten and Bell); the others are as frequent as in training.
     """
     pieces = _pieces(path)
-    logs, known = pieces.logs, words.where("c > 0").select("word", "c")
+    logs, known = pieces.logs, words.where("c > 0").select("c", "length", "starts", "ends", "used")
     for _ in range(rounds):
         sent = words.sparkSession.sparkContext.broadcast(logs)
         counted = known.mapInArrow(_sharing(sent, path), "piece long, uses double").groupBy("piece").agg(
@@ -191,9 +233,9 @@ def _sharing(sent, path: str):
         pieces = _pieces(path)
         sums = np.zeros(len(pieces.logs))
         for batch in batches:
-            words, counts = batch.column("word").to_pylist(), batch.column("c").to_numpy().astype(float)
-            for at in _groups(words):
-                sums += Lattices([words[i] for i in at], pieces).expected(sent.value, counts[at])
+            counts = batch.column("c").to_numpy().astype(float)
+            for at, lattices in _lattices(batch, pieces):
+                sums += lattices.expected(sent.value, counts[at])
         used = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(sums[used])], ["piece", "uses"])
 
@@ -214,13 +256,13 @@ def weighed(words: DataFrame, learned: tuple[np.ndarray, float, float], path: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(path)
         for batch in batches:
-            words, found = batch.column("word").to_pylist(), np.empty(batch.num_rows)
-            for at in _groups(words):
-                found[at] = Lattices([words[i] for i in at], pieces).totals(sent.value)
+            found = np.empty(batch.num_rows)
+            for at, lattices in _lattices(batch, pieces):
+                found[at] = lattices.totals(sent.value)
             with np.errstate(divide="ignore"):
                 whole = np.log(batch.column("c").to_numpy() * ((1 - spelled) / total))
             found = np.logaddexp(found + math.log(spelled), whole) / math.log(10) + on
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], [*batch.schema.names, "lp"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("word", "n", "c")), pa.array(found)], ["word", "n", "c", "lp"])
 
     return words.mapInArrow(run, "word string, n long, c long, lp double")
 
@@ -254,11 +296,13 @@ def score(documents: DataFrame, teaches: Column, vocabulary: str = "piece_bpe_32
     sums = counted.agg(F.sum("c"), F.sum((F.col("c") > 0).cast("long"))).first()
     texts = rows.where("t").count()
     total, distinct = (sums[0] or 0) + texts, (sums[1] or 0) + (texts > 0)
-    learned = learn(counted, texts, path)
-    words = write_scratch(weighed(counted, learned, path), "weighed-words")
+    segmented = write_scratch(lattice_table(counted, path), "lattices")
+    learned = learn(segmented, texts, path)
+    words = write_scratch(weighed(segmented, learned, path), "weighed-words")
+    drop_scratch(segmented)
     near = head(words, head_words).select("word", "c", "lp").toArrow()  # bounded by head_words
     sent = documents.sparkSession.sparkContext.broadcast((
-        near.column("word").to_pylist(), near.column("c").to_numpy(), near.column("lp").to_numpy()))
+        uuid.uuid4().hex, near.column("word").to_pylist(), near.column("c").to_numpy(), near.column("lp").to_numpy()))
     schema = "doc_id long, mark long, word string, copies long, tokens long, known long, base double, lp double"
     arrow = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("word", pa.string()), ("copies", pa.int64()),
                        ("tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("lp", pa.float64())])
@@ -301,13 +345,13 @@ def score(documents: DataFrame, teaches: Column, vocabulary: str = "piece_bpe_32
         (F.col("x.lp") / F.col("x.copies") + learned[1]).alias("score"))
 
 
-_TABLES: dict[int, tuple] = {}
+_TABLES: dict[str, tuple] = {}
 
 
 def _table(sent) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
-    """Places of the broadcast words by their bytes, held by a worker for one broadcast at a time."""
-    if id(sent.value) not in _TABLES:
-        words, c, lp = sent.value
+    """Places of the broadcast words by their bytes, held by a worker for one broadcast at a time, known by its token."""
+    token, words, c, lp = sent.value
+    if token not in _TABLES:
         _TABLES.clear()
-        _TABLES[id(sent.value)] = {w.encode(): i for i, w in enumerate(words)}, c, lp
-    return _TABLES[id(sent.value)]
+        _TABLES[token] = {w.encode(): i for i, w in enumerate(words)}, c, lp
+    return _TABLES[token]
