@@ -325,9 +325,9 @@ def plain_word(line, pieces):
 def test_words_sum_over_all_segmentations():
     pieces = lattice.load(tokens.tokenizer_path("piece_bpe_32k.model"))
     words = ["the", "thon", "é漢x", "\x00a", "aaaaaaaa", "🙂🙂", "w" * 300]
-    for at in lattice._groups(words):
+    for at in lattice._groups(np.array([len(w) for w in words])):
         group = [words[i] for i in at]
-        found = lattice.Lattices(group, pieces)
+        found = lattice.Lattices.of(group, pieces)
         uses = found.expected(pieces.logs, np.ones(len(group)))
         assert np.isfinite(found.totals(pieces.logs)).all() and uses.sum() > 0
         for word, log in zip(group, found.totals(pieces.logs), strict=True):
@@ -362,6 +362,20 @@ def test_scores_and_base_of_whole_texts(spark, odd_documents, no_documents):
     assert lattice.score(no_documents, F.lit(True)).count() == 0
 
 
+def test_scores_of_two_corpora_in_one_session_do_not_mix(spark):
+    rng = random.Random(11)
+    frames = []
+    for letters in ("abc", "xyz"):
+        words = ["".join(rng.choice(letters) for _ in range(4)) for _ in range(60)]
+        frames.append(spark.createDataFrame([(i, " ".join(rng.choices(words, k=30))) for i in range(40)], "doc_id long, text string"))
+
+    def scores(frame):
+        return sorted((r["doc_id"], round(r["score"], 9)) for r in lattice.score(frame, F.col("doc_id") % 5 > 0).collect())
+
+    alone = [scores(f) for f in frames]
+    assert [scores(f) for f in (*frames, *reversed(frames))] == [*alone, *reversed(alone)]
+
+
 def test_crc_of_an_id_is_that_of_its_text(spark):
     from tieout.llm.queries import remainder
 

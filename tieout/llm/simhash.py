@@ -28,6 +28,8 @@ SHINGLE, SEED, RADIUS = 4, 42, 4
 SMALL = 64
 #: Half values met by more fingerprints than this are varied by a shuffle of their own.
 MOST = 20_000
+#: Fingerprints of which one task emits the half values.
+DEALT = 10_000
 _SORTED = 4_000_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _HALF = np.uint64(0xFFFFFFFF)
@@ -76,20 +78,11 @@ def fingerprints(documents: DataFrame, shingle: int = SHINGLE, seed: int = SEED)
 
 def half_values(prints: DataFrame) -> DataFrame:
     """``side, value, fp, bits``: the values within one bit of each half, ``bits`` away from it."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        masks = _NEAR[1]
-        bits = np.bitwise_count(masks).astype(np.int8)
-        for batch in slices(batches, 1024):
-            fps = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-            for side, shift in enumerate((0, 32)):
-                values = ((fps >> np.uint64(shift)) & _HALF)[:, None] ^ masks[None, :]
-                n = values.size
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(n, side, np.int8)), pa.array(values.ravel().view(np.int64)),
-                    pa.array(np.repeat(fps.view(np.int64), len(masks))), pa.array(np.tile(bits, len(fps)))],
-                    ["side", "value", "fp", "bits"])
-
-    return prints.select("fp").mapInArrow(run, "side byte, value long, fp long, bits byte")
+    near = F.array(*(F.struct(F.lit(side).cast("byte").alias("side"), F.lit(int(mask)).cast("long").alias("mask"),
+                              F.lit(int(mask).bit_count()).cast("byte").alias("bits")) for side in (0, 1) for mask in _NEAR[1]))
+    low = F.lit(0xFFFFFFFF).cast("long")
+    half = F.when(F.col("side") == 0, F.col("fp").bitwiseAND(low)).otherwise(F.shiftrightunsigned("fp", 32))
+    return prints.select("fp", F.inline(near)).select("side", half.bitwiseXOR(F.col("mask")).alias("value"), "fp", "bits")
 
 
 def _varied(fps: np.ndarray, bits: np.ndarray, side: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -153,7 +146,7 @@ def links(prints: DataFrame, most: int = MOST) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("bits") == 0, 1).otherwise(0)).alias("n_own"),
         F.min(own).alias("low"), F.max(own).alias("high"),
     ).where("n > 1 and (low <> high or n_own > 1)").select("side", "value", "n")
-    # Spark takes what Python makes for as small as its input; the hint keeps it from being broadcast.
+    # Spark takes what comes of rows for as small as they are; the hint keeps it from being broadcast.
     members = write_scratch(values.hint("merge").join(met, ["side", "value"]), "simhash-met")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +199,9 @@ def near_duplicates(documents: DataFrame, most: int = MOST) -> DataFrame:
     """
     prints = write_scratch(fingerprints(documents), "simhash")
     distinct = write_scratch(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    roots = components(links(distinct, most)).withColumnRenamed("node", "fp")
+    # Spark puts small partitions together before it writes them; each row is to become 66.
+    dealt = distinct.repartition(max(1, -(-distinct.count() // DEALT)))
+    roots = components(links(dealt, most)).withColumnRenamed("node", "fp")
     linked = distinct.join(roots, "fp")
     least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     known = linked.join(least, "root").select("fp", "root", "component_id")
