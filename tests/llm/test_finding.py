@@ -362,6 +362,18 @@ def test_scores_and_base_of_whole_texts(spark, odd_documents, no_documents):
     assert lattice.score(no_documents, F.lit(True)).count() == 0
 
 
+def test_training_rows_are_cut_within_a_full_bucket(spark):
+    from dataclasses import replace
+
+    # Ids whose hashes begin alike, found by trying many.
+    ids = [r["id"] for r in spark.range(3_000_000).where(F.shiftrightunsigned(F.xxhash64("id"), 48) == 0).select("id").collect()]
+    labels = spark.createDataFrame([(i, 1) for i in ids], "doc_id long, toxic int")
+    few = replace(toxicity.Settings(), most_rows=len(ids) // 2)
+    rows, total = toxicity.training_labels(labels, few)
+    assert 0 < total <= few.most_rows and rows.count() == total
+    assert toxicity.training_labels(labels, replace(few, most_rows=10**6))[1] == len(ids)
+
+
 def test_scores_of_two_corpora_in_one_session_do_not_mix(spark):
     rng = random.Random(11)
     frames = []

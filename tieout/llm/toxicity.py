@@ -104,21 +104,27 @@ class Ftrl:
 
 
 def training_labels(labels: DataFrame, settings: Settings) -> tuple[DataFrame, int]:
-    """``doc_id, label`` to learn from, and how many: at most ``most_rows``, those in the first of 65,536
-    buckets of a hash of their id.
+    """``doc_id, label`` to learn from, and how many: at most ``most_rows``, those with the smallest hashes of their id.
 
-    Rows with a null id, a null label or a label other than 0 and 1 teach nothing. A document labelled twice
-    teaches by its largest label.
+    The limit is found from counts by the first 16 bits of the hash; only if the first of these buckets holds more rows
+    than wanted is it cut by the next 16 bits, and so on. Rows with a null id, a null label or a label other than 0 and 1
+    teach nothing. A document labelled twice teaches by its largest label.
     """
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(
         F.max("toxic").cast("int").alias("label"))
-    bucket = F.shiftrightunsigned(F.xxhash64("doc_id"), 48)
-    total, last = 0, -1
-    for at, count in sorted((r["at"], r["count"]) for r in known.groupBy(bucket.alias("at")).count().collect()):
-        if total + count > settings.most_rows:
+    within, total = F.lit(True), 0
+    for shift in (48, 32, 16, 0):
+        digit = F.shiftrightunsigned(F.xxhash64("doc_id"), shift).bitwiseAND(F.lit(0xFFFF).cast("long"))
+        last = -1
+        counts = known.where(within).groupBy(digit.alias("at")).count().collect()  # 65,536 rows at most
+        for at, count in sorted((r["at"], r["count"]) for r in counts):
+            if total + count > settings.most_rows:
+                break
+            total, last = total + count, at
+        if total or not counts:
             break
-        total, last = total + count, at
-    return known.where(bucket <= last), total
+        within = within & (digit == min(r["at"] for r in counts))
+    return known.where(within & (digit <= last)), total
 
 
 def fit(documents: DataFrame, labels: DataFrame, settings: Settings = Settings(), teaches=None) -> np.ndarray:
