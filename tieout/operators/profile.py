@@ -268,6 +268,44 @@ def profile(df: DataFrame, exact: bool | list[str] = True, order: list[str] | No
     return rows
 
 
+def cell_profile(cells: DataFrame, group: list[str], kind: str = "kind", value: str = "value") -> DataFrame:
+    """One row for each column of a cell table, whose cells have a kind of ``value_kind`` and a text.
+
+    ``dtype`` folds the kinds and ``kinds`` counts them; ``numeric`` sums up the numbers where they are at least half of
+    the filled cells, leaving out what is not finite; ``format_anomalies`` adds to those of texts what only cells can
+    show: kinds that do not go together, with how many there are of each, and dates as text beside real ones.
+    One aggregation, combined before the shuffle; cells that are null have no kind and count as empty.
+    """
+    what, text = F.coalesce(_col(kind), F.lit("empty")), _col(value)
+    words = F.when(what == "string", text)
+    bare = strip(words)
+    shaped = F.coalesce((bare != "") & numeric_text_shape(bare), F.lit(False))
+    number = F.when(what.isin("integer", "float"), text.try_cast("double"))
+    finite = F.when(is_finite(number), number)
+    counted = cells.groupBy(*group).agg(
+        *(F.count_if(what == k).alias(f"k_{k}") for k in KINDS), F.count(F.lit(1)).alias("row_count"), F.count_if(what == "empty").alias("null_count"),
+        F.count_if(shaped).alias("text_numbers"), F.bit_or(_layout_bit(F.when(~shaped, bare))).alias("layouts"),
+        F.count_if((bare != "") & (words != bare)).alias("edge_space"), F.count_if((bare != "") & words.contains("\u00a0")).alias("nbsp"),
+        F.count_if(bare == "").alias("empty_strings"), F.count(number).alias("numbers"),
+        F.min(finite).alias("min"), F.max(finite).alias("max"), F.sum(finite).alias("sum"),
+        F.count_if(finite == 0).alias("zero_count"), F.count_if(finite < 0).alias("negative_count"))
+    rows = counted.withColumns({
+        "dtype": fold_kinds({k: F.col(f"k_{k}") for k in KINDS}), "date_layouts": F.bit_count(F.coalesce("layouts", F.lit(0))),
+        "error_values": F.col("k_error"), "header": F.lit(""), "distinct_count": F.lit(0), "case_variants": F.lit(0)})
+    by_kind = F.array(*(F.struct((-F.col(f"k_{k}")).alias("n"), F.lit(k).alias("kind")) for k in KINDS))
+    held = F.array_sort(F.filter(by_kind, lambda x: x["n"] < 0))
+    composed = F.when(F.col("dtype") == "mixed", F.concat(F.lit("mixed types: "), F.array_join(
+        F.transform(held, lambda x: F.concat(F.format_number(-x["n"], 0), F.lit(" "), x["kind"])), ", ")))
+    dates = F.col("k_date") + F.col("k_datetime")
+    beside = F.when((F.col("date_layouts") == 1) & (dates > 0), F.concat(
+        F.lit("text dates alongside real dates (beside "), F.format_number(dates, 0), F.lit(" real ones)")))
+    enough = (F.col("numbers") > 0) & (2 * F.col("numbers") >= F.col("row_count") - F.col("null_count"))
+    numeric = F.when(enough, F.struct("min", "max", (F.col("sum") / F.col("numbers")).alias("mean"), "sum", "zero_count", "negative_count"))
+    return rows.select(
+        *group, "row_count", "null_count", "dtype", F.map_from_entries(F.transform(held, lambda x: F.struct(x["kind"], -x["n"]))).alias("kinds"),
+        numeric.alias("numeric"), F.array_compact(F.concat(F.array(composed), anomalies(rows), F.array(beside))).alias("format_anomalies"))
+
+
 def mixed_type_columns(cells: DataFrame, group: list[str], kind: str = "kind") -> DataFrame:
     """Columns of a cell table holding at least two dates beside two texts or numbers."""
     dates = F.count_if(F.col(kind).isin("date", "datetime"))

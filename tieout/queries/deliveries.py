@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tieout.operators import contract as C
 from tieout.operators.drift import compare_shape, shape_of
-from tieout.operators.profile import column_counters, profile, top_values, value_frequencies
+from tieout.operators.profile import cell_profile, column_counters, profile, top_values, value_frequencies
 from tieout.plans.delivery import check_drift
 from tieout.queries.registry import query, table
 from tieout.session import ensure_checkpoint_dir
@@ -184,6 +184,36 @@ def text_anomalies(spark: SparkSession, folder: str) -> DataFrame:
     return counters.select("header", "empty_strings", "edge_space", "nbsp", "error_values", "text_numbers", "date_layouts", "delivery_numbers")
 
 
+_KIND = """case when o_orderkey % 11 = 0 then 'empty' when o_custkey % 4 = 0 then 'float' when o_custkey % 4 = 1 and o_orderkey % 2 = 0 then 'date'
+  when o_custkey % 4 = 1 then 'string' when o_custkey % 4 = 2 and o_orderkey % 5 < 3 then 'integer' else 'string' end"""
+_CELL = """case when o_custkey % 4 = 0 then cast(o_totalprice as varchar) when o_custkey % 4 = 1 then {day} when o_orderkey % 5 < 3 then
+  cast(o_orderkey - 100 as varchar) when o_orderkey % 5 = 3 then ' ' || o_orderpriority else '' end"""
+
+
+@query(f"""
+with c as (select o_custkey % 4 as part, {_KIND} as kind, {_CELL.format(day="strftime(o_orderdate, '%Y-%m-%d')")} as v from orders),
+n as (select part, count(*) as row_count, count(*) filter (where kind = 'empty') as null_count, count(*) filter (where kind = 'string') as strings,
+  count(*) filter (where kind = 'integer') as wholes, count(*) filter (where kind = 'float') as floats, count(*) filter (where kind = 'date') as dates,
+  count(*) filter (where kind = 'string' and v like ' %') as spaced, count(*) filter (where kind = 'string' and v = '') as blank,
+  min(case when kind in ('integer', 'float') then try_cast(v as double) end) as least, count(*) filter (where kind = 'integer' and try_cast(v as double) < 0) as below from c group by part)
+select part, row_count, null_count, case part when 0 then 'float' else 'mixed' end as dtype,
+  case when 2 * (wholes + floats) >= row_count - null_count then least end as least,
+  case when 2 * (wholes + floats) >= row_count - null_count then below end as negative,
+  case part when 1 then 'mixed types: ' || case when strings > dates then format('{{:,}} string, {{:,}} date', strings, dates)
+    else format('{{:,}} date, {{:,}} string', dates, strings) end || '; text dates alongside real dates (beside ' || format('{{:,}}', dates) || ' real ones)'
+  when 2 then 'mixed types: ' || format('{{:,}} integer, {{:,}} string', wholes, strings) || '; leading or trailing whitespace (' || format('{{:,}}', spaced) ||
+    ' cells); empty strings (' || format('{{:,}}', blank) || ' cells)' else '' end as found
+from n where part < 3""")
+def cell_anomalies(spark: SparkSession, folder: str) -> DataFrame:
+    """Columns of a cell table: real numbers; dates, half of them as text; whole numbers beside texts of other kinds."""
+    cells = table(spark, folder, "orders").where("o_custkey % 4 < 3").select(
+        F.expr("o_custkey % 4").alias("part"), F.expr(_KIND.replace("varchar", "string")).alias("kind"),
+        F.expr(_CELL.format(day="date_format(o_orderdate, 'yyyy-MM-dd')").replace("varchar", "string")).alias("value"))
+    rows = cell_profile(cells, ["part"])
+    return rows.select("part", "row_count", "null_count", "dtype", F.col("numeric.min").alias("least"), F.col("numeric.negative_count").alias("negative"),
+                       F.array_join("format_anomalies", "; ").alias("found"))
+
+
 _CONTRACT = C.Contract(
     "orders", [
         C.ColumnContract("o_orderkey", "Int64", nullable=False, unique=True),
