@@ -1,8 +1,9 @@
 """Column profiles: counts, numeric summary, frequent values, examples and format anomalies.
 
-All counters of all columns come out of one aggregation. Exact distinct counts and frequent values
-need the distinct values themselves, so they are computed from one (column, value) count. The caller
-says for which columns; no table is too large or too small to be treated alike.
+All counters of all columns come out of one aggregation. Exact distinct counts and the ranks of frequent values
+are found from counts of 128-bit hashes, so no text is shuffled for them; the texts of the few values that a rank is
+given to are fetched by a second pass. The caller says for which columns; no table is too large or too small to be
+treated alike.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from tieout.functions.cells import strip
 from tieout.functions.numeric import is_finite
 from tieout.functions.text import DATE_LAYOUTS, date_text_layout, looks_numeric, numeric_text_shape, value_kind
 from tieout.naming import col as _col, quoted
+from tieout.session import drop_scratch, write_scratch
 from tieout.types import dtype_name
 
 # Fixed values of the profile.
@@ -158,16 +160,102 @@ def column_counters(df: DataFrame, redact: list[str] = ()) -> DataFrame:
     return wide.selectExpr(f"inline(array({', '.join(rows)}))")
 
 
+def _shown(df: DataFrame, name: str) -> Column:
+    """A cell as the text a profile shows."""
+    dtype, value = df.schema[name].dataType, _col(name)
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        value = F.when(value == 0, F.lit(0.0)).otherwise(value)
+    return F.concat(F.lit("<"), F.length(value), F.lit(" bytes>")) if isinstance(dtype, T.BinaryType) else value.cast("string")
+
+
+# Two hashes name a value: with 64 bits alone, a column of ten billion values would lose some of them.
+HASHES = ["h1", "h2"]
+# Values that share the last place; of more only the smallest are fetched.
+FEW_TIES = 1000
+
+
+def _hashed(value: Column, *names: str) -> list[Column]:
+    return [F.xxhash64(value, F.lit(seed)).alias(name) for seed, name in enumerate(names)]
+
+
+def hash_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``column_index, h1, h2, f1, f2, n``: rows for each value of each column, by hashes of the value and of the value
+    without outer space and case. Empty cells are left out."""
+    index = {name: i for i, name in enumerate(df.columns)}
+    pairs = []
+    for name in columns:
+        shown = _shown(df, name)
+        folded = F.lower(strip(shown)) if isinstance(df.schema[name].dataType, T.StringType) else shown
+        pairs.append(F.when(shown.isNotNull(), F.struct(
+            F.lit(index[name]).alias("column_index"), *_hashed(shown, *HASHES), *_hashed(folded, "f1", "f2"))))
+    long = df.select(F.explode(F.array_compact(F.array(*pairs))).alias("c")).select("c.*")
+    return long.groupBy("column_index", *HASHES, "f1", "f2").agg(F.count(F.lit(1)).alias("n"))
+
+
+def distinct_from_hashes(counts: DataFrame) -> DataFrame:
+    """As ``distinct_values``, from counts of hashes."""
+    folded = counts.groupBy("column_index", "f1", "f2").agg(F.count(F.lit(1)).alias("variants"), F.sum("n").alias("n"))
+    return folded.groupBy("column_index").agg(
+        F.sum("variants").alias("distinct_count"), F.sum("n").alias("filled"), (F.sum("variants") - F.count(F.lit(1))).alias("case_variants"))
+
+
+def _named(df: DataFrame, columns: list[str]) -> DataFrame:
+    index = {name: i for i, name in enumerate(df.columns)}
+    pairs = [F.struct(F.lit(index[n]).alias("column_index"), _shown(df, n).alias("value")) for n in columns]
+    return df.select(F.inline(F.array(*pairs))).where(F.col("value").isNotNull())
+
+
+def top_from_hashes(df: DataFrame, columns: list[str], counts: DataFrame, k: int = TOP_K) -> DataFrame:
+    """``column_index, value, n, place``: the k most frequent values of every column, equal counts by value.
+
+    The hashes tell which values have a place. Those are few, and only their texts are looked up, combined within
+    each task before they are shuffled. Where very many values share the last place, the smallest texts of the column are
+    taken, as many as are likely to hold enough of them, and more if they do not.
+    """
+    best = Window.partitionBy("column_index").orderBy(F.desc("n"))
+    edges = counts.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).groupBy("column_index").agg(
+        F.min("n").alias("edge"))
+    ranked = counts.join(F.broadcast(edges), "column_index").where("n >= edge")  # a row a column
+    facts = {r["column_index"]: r for r in ranked.groupBy("column_index").agg(
+        F.first("edge").alias("edge"), F.count_if(F.col("n") > F.col("edge")).alias("sure"),
+        F.count_if(F.col("n") == F.col("edge")).alias("tied")).collect()}
+    crowded = [i for i, r in facts.items() if r["tied"] > FEW_TIES]
+    wanted = ranked.where((F.col("n") > F.col("edge")) | ~F.col("column_index").isin(crowded)).select("column_index", *HASHES)
+    wanted = write_scratch(wanted, "wanted-values")  # at most k + FEW_TIES a column
+    named = _named(df, columns)
+    texts = named.select("*", *_hashed(F.col("value"), *HASHES)).join(F.broadcast(wanted), ["column_index", *HASHES]).groupBy(
+        "column_index", "value").agg(F.count(F.lit(1)).alias("n"))
+    if crowded:
+        texts = texts.unionByName(_smallest_tied(df, [df.columns[i] for i in sorted(crowded)], ranked, facts, k))
+    return top_values(texts, k)
+
+
+def _smallest_tied(df: DataFrame, columns: list[str], ranked: DataFrame, facts: dict, k: int) -> DataFrame:
+    """``column_index, value, n`` of the smallest values with the last count that has a place, enough to fill the places."""
+    index = {df.columns.index(name): name for name in columns}
+    tied = ranked.where((F.col("n") == F.col("edge")) & F.col("column_index").isin(list(index))).select("column_index", *HASHES, "n")
+    rows = df.agg(*(F.count(_col(name)).alias(f"c{i}") for i, name in index.items())).first()
+    need = {i: k - facts[i]["sure"] for i in index}
+    most = max(4 * need[i] * rows[f"c{i}"] // max(1, facts[i]["tied"] * facts[i]["edge"]) + 100 for i in index)
+    while True:
+        small = Window.partitionBy("column_index").orderBy("value")
+        first = _named(df, columns).withColumn("place", F.row_number().over(small)).where(F.col("place") <= most).select(
+            "column_index", "value").distinct()
+        found = write_scratch(first.select("*", *_hashed(F.col("value"), *HASHES)).join(tied, ["column_index", *HASHES]).select(
+            "column_index", "value", "n"), "tied-values")
+        held = {r["column_index"]: r["count"] for r in found.groupBy("column_index").count().collect()}
+        if all(held.get(i, 0) >= need[i] or most >= rows[f"c{i}"] for i in index):
+            return found
+        drop_scratch(found)
+        most *= 8
+
+
 def value_frequencies(df: DataFrame, columns: list[str], hidden: list[str] = ()) -> DataFrame:
     """Rows per (column, value text), empty cells left out. ``hidden`` columns count by digest."""
     index = {name: i for i, name in enumerate(df.columns)}
     pairs = []
     for name in columns:
-        dtype, value = df.schema[name].dataType, _col(name)
-        if isinstance(dtype, (T.DoubleType, T.FloatType)):
-            value = F.when(value == 0, F.lit(0.0)).otherwise(value)
-        shown = F.concat(F.lit("<"), F.length(value), F.lit(" bytes>")) if isinstance(dtype, T.BinaryType) else value.cast("string")
-        shown = F.sha2(shown, 256) if name in hidden else shown
+        shown = F.sha2(_shown(df, name), 256) if name in hidden else _shown(df, name)
         pairs.append(F.struct(F.lit(index[name]).alias("column_index"), shown.alias("value")))
     long = df.select(F.inline(F.array(*pairs))).where(F.col("value").isNotNull())
     return long.groupBy("column_index", "value").agg(F.count(F.lit(1)).alias("n"))
@@ -232,10 +320,12 @@ def profile(df: DataFrame, exact: bool | list[str] = True, order: list[str] | No
     chosen = [c for c in df.columns if exact is True or (exact is not False and c in exact)]
     index = "column_index"
     if chosen:
-        frequencies = value_frequencies(df, chosen, [c for c in chosen if is_redacted(c, list(redact))])
-        distinct = distinct_values(frequencies)
+        counts = write_scratch(hash_counts(df, chosen), "value-counts")
+        distinct = distinct_from_hashes(counts)
         item = F.struct(F.col("value"), F.col("n"))
-        top = top_values(frequencies, k).groupBy(index).agg(
+        open_ = [c for c in chosen if not is_redacted(c, list(redact))]
+        ranks = top_from_hashes(df, open_, counts.where(F.col(index).isin([df.columns.index(c) for c in open_])), k)
+        top = ranks.groupBy(index).agg(
             F.transform(F.sort_array(F.collect_list(F.struct("place", item.alias("item")))), lambda x: x["item"]).alias("top_k"))
         rows = counters.join(distinct, index, "left").join(top, index, "left")
     else:
