@@ -9,6 +9,7 @@ from pyspark.sql import Row, SparkSession, functions as F
 
 from tieout.operators.compare import Report
 from tieout.operators.status import Status
+from tieout.sources import ledger
 
 SCHEMA = ("process string, delivery_sha256 string, accepted_at timestamp, status string, regions_passed bigint, "
           "regions_claimed bigint, regions_declared bigint, rows_compared bigint, tolerance string, headline string")
@@ -44,18 +45,13 @@ def record_acceptance(spark: SparkSession, path: str, process: str, report: Repo
            len(report.regions) - len(declared), len(declared), report.rows_compared, report.tolerance.describe(), report.headline())
     names = [part.strip().split()[0] for part in SCHEMA.split(",")]
     without_time = ", ".join(part.strip() for part in SCHEMA.split(",") if "accepted_at" not in part)
-    (spark.createDataFrame([row], without_time).withColumn("accepted_at", F.current_timestamp())
-     .select(*names).coalesce(1).write.mode("append").parquet(path))
+    ledger.append(spark, path, spark.createDataFrame([row], without_time).withColumn("accepted_at", F.current_timestamp())
+                  .select(*names).coalesce(1))
 
 
 def latest_acceptance(spark: SparkSession, path: str, process: str) -> Row | None:
-    try:
-        table = spark.read.schema(SCHEMA).parquet(path)
-        rows = table.where(F.col("process") == process).orderBy(F.desc("accepted_at")).limit(1).collect()
-    except Exception as error:
-        if "PATH_NOT_FOUND" in str(error):
-            return None
-        raise
+    table = ledger.read(spark, path, SCHEMA)
+    rows = table.where(F.col("process") == process).orderBy(F.desc("accepted_at")).limit(1).collect()
     return rows[0] if rows else None
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tieout.errors import ArgumentError
 from tieout.naming import col as _col
+from tieout.sources import ledger
 
 SCHEMA = "run_id string, step string, kind string, value string, note string, at timestamp"
 KINDS = ["handin", "decision", "parameter"]
@@ -20,18 +21,18 @@ def record_event(spark: SparkSession, path: str, run_id: str, step: str, kind: s
     if kind not in KINDS:
         raise ArgumentError(f"kind is one of {', '.join(KINDS)}")
     when = at or dt.datetime.now(dt.timezone.utc)
-    spark.createDataFrame([(run_id, step, kind, value, note, when)], SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    ledger.append(spark, path, spark.createDataFrame([(run_id, step, kind, value, note, when)], SCHEMA).coalesce(1))
 
 
 def record_parameters(spark: SparkSession, path: str, run_id: str, **values) -> None:
     """Parameters as events; the latest value of a name wins."""
     when = dt.datetime.now(dt.timezone.utc)
     rows = [(run_id, name, "parameter", json.dumps(value, default=str), "", when) for name, value in values.items()]
-    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    ledger.append(spark, path, spark.createDataFrame(rows, SCHEMA).coalesce(1))
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SCHEMA).parquet(path)
+    return ledger.read(spark, path, SCHEMA)
 
 
 def latest_per_step(events: DataFrame, group: list[str] = ("run_id", "step", "kind"), at: str = "at",
