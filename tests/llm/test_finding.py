@@ -170,6 +170,29 @@ def test_short_passages_with_parts_in_earlier_documents_are_found(spark):
     assert n > 3000
 
 
+def test_edited_passages_are_found(spark):
+    """Recall over passages with changed words, of which 0.8 of the five-word runs or more still agree."""
+    rng, texts, wanted = random.Random(21), [], []
+    for size, edits in itertools.product((60, 90, 140, 300), (1, 2, 3, 4, 6)):
+        for _ in range(4):
+            base = made_up(rng, size).split()
+            copy = list(base)
+            for at in sorted(rng.sample(range(size), edits)):
+                copy[at] = made_up(rng, 1) + "z"
+            agree = [base[i:i + 5] == copy[i:i + 5] for i in range(size - 4)]
+            texts.append(" ".join([made_up(rng, 40), *base, made_up(rng, 40)]))
+            texts.append(" ".join([made_up(rng, 25), *copy, made_up(rng, 30)]))
+            if sum(agree) >= 0.8 * len(agree):
+                wanted.append((len(texts) - 1, 25, size))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    covered = defaultdict(set)
+    for r in passages.shared_passages(frame).collect():
+        covered[r["doc_id"]].update(range(r["start"], r["end"]))
+    caught = sum(len(covered[doc] & set(range(start, start + size))) >= 0.8 * size for doc, start, size in wanted)
+    print("recall of edited passages", caught, "of", len(wanted))
+    assert len(wanted) > 40 and caught >= 0.9 * len(wanted)
+
+
 def test_what_agrees_around_a_match_is_taken_whole():
     left = np.arange(60, dtype=np.uint64)
     right = np.concatenate((np.arange(100, 110), left)).astype(np.uint64)
