@@ -57,7 +57,7 @@ def functions_refused(spark: SparkSession, folder: str) -> DataFrame:
 @query("""
 with n as (select count(*) as n, count(*) filter (where o_orderkey % 4 = 1) as odd, count(*) filter (where o_orderkey % 7 = 0) as zero,
   count(*) filter (where o_orderkey % 10 = 3) as twice, count(*) filter (where o_orderkey % 3 = 0) as third from orders)
-select 'ties' as region, 'rounding_mode' as cause, 0.9 as confidence, odd as affected_rows from n union all
+select 'ties' as region, 'rounding_mode' as cause, cast(0.9 as double) as confidence, odd as affected_rows from n union all
 select 'digits', 'rounding_15_digit_collapse', 0.8, third from n union all
 select 'zeros', 'divide_by_zero', 0.9, zero from n union all
 select 'repeats', 'join_key_not_unique', 0.85, twice from n""")
