@@ -296,6 +296,25 @@ def test_quality_counts_and_verdicts(spark, odd_documents, no_documents):
     assert divergence.judge(no_documents).count() == 0
 
 
+def test_a_hot_source_or_text_does_not_set_what_is_usual(spark):
+    rng = random.Random(16)
+
+    def plain():
+        return " ".join(rng.choice(["the", "of", "and"]) if rng.random() < 0.4 else made_up(rng, 1) for _ in range(60))
+
+    def junk():
+        return " ".join(word + rng.choice(["$$$$", "&&&&", "####"]) for word in plain().split())
+
+    clean = [(i, plain(), "en", f"s{i % 12}") for i in range(400)]
+    copied = junk()
+    groups = {"source": [(1000 + i, junk(), "en", "hot") for i in range(200)],
+              "copies": [(1000 + i, copied, "en", f"s{i % 12}") for i in range(200)]}
+    for name, odd in groups.items():
+        frame = spark.createDataFrame(clean + odd, "doc_id long, text string, lang string, source string")
+        kept = {r["doc_id"] for r in divergence.judge(frame).where("kept").collect()}
+        assert kept == {r[0] for r in clean}, name
+
+
 def test_jensen_shannon_distance(spark):
     one = spark.range(1).select(*(divergence.jensen_shannon(F.array(*map(F.lit, a)), F.array(*map(F.lit, b))).alias(str(i))
                                   for i, (a, b) in enumerate([((1, 0), (0, 3)), ((2, 2), (5, 5)), ((3, 1), (1, 1)), ((0, 0), (1, 1))]))).first()

@@ -1,8 +1,10 @@
 """Quality rules and distance from a language's usual text, with DataFrame expressions only.
 
 A document is compared with its language: how its characters fall into classes, and how often it uses the
-language's most common words. Both references are counted over all documents. The distance is that of
-Jensen and Shannon (0: the same, 1: nothing in common); short documents are not judged by it.
+language's most common words. Both references are counted over all documents. That of the classes is a median over
+cells of sources and texts: one source, or the copies of one text, fill fewer than half of the cells however many
+rows they have, so they cannot make themselves usual. The distance is that of Jensen and Shannon (0: the same, 1:
+nothing in common); short documents are not judged by it.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ SYMBOLS = "[#*$%&|<>]"
 #: Classes beside letters of the text's own kind and white space.
 CLASSES = ["[A-Z]", "[0-9]", SYMBOLS, r"[.,;:!?'\x22()-]", r"[^\x00-\x7F]"]
 WINDOW = 8
+#: Cells of the reference of classes: sources fall into so many groups, different texts into so many.
+SOURCE_GROUPS, TEXT_GROUPS = 5, 3
 
 
 @dataclass(frozen=True)
@@ -88,17 +92,32 @@ def class_counts(rows: DataFrame) -> Column:
     return F.concat("classes", F.array(rows["n_chars"] - rows["word_chars"], rows["word_chars"] - named))
 
 
+def _group(value: Column, groups: int) -> Column:
+    return F.conv(F.substring(F.md5(value), 1, 6), 16, 10).cast("long") % groups
+
+
 def references(documents: DataFrame, common: int = Rules.common) -> DataFrame:
-    """One row per ``lang``: ``usual_classes`` (characters per class), ``common`` (its most frequent words;
-    ties by the word) and ``usual_words`` (their counts and that of all other words), over all documents."""
-    rows = documents.select(F.coalesce("lang", F.lit("")).alias("lang"), whole_text("text").alias("text"))
-    rows = rows.withColumn("words", words_between(F.col("text"), BLANKS))
-    counted = rows.select("lang", F.array(*(_others_removed(F.col("text"), kind) for kind in CLASSES)).alias("classes"),
+    """One row per ``lang``: ``usual_classes`` (shares of characters per class), ``common`` (its most frequent words;
+    ties by the word) and ``usual_words`` (their counts and that of all other words), over all documents.
+
+    Equal texts fall into one cell of each group of sources; a class's share is the median of its shares in the cells
+    with characters, null where there are none. Null sources are a source of their own, and so are all rows of a table
+    without ``source``. Repeated rows and ties of words need no more; texts are read whole; an empty table gives none.
+    """
+    source = F.coalesce("source", F.lit("")) if "source" in documents.columns else F.lit("")
+    rows = documents.select(F.coalesce("lang", F.lit("")).alias("lang"), whole_text("text").alias("text"), source.alias("source"))
+    cell = F.struct(_group(F.col("source"), SOURCE_GROUPS).alias("s"), _group(F.col("text"), TEXT_GROUPS).alias("t"))
+    rows = rows.select("lang", "text", cell.alias("cell"), words_between(F.col("text"), BLANKS).alias("words"))
+    counted = rows.select("lang", "cell", F.array(*(_others_removed(F.col("text"), kind) for kind in CLASSES)).alias("classes"),
                           F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
                           F.length("text").cast("long").alias("n_chars"), F.size("words").alias("n_words"))
     every = class_counts(counted)
-    classes = counted.select("lang", "n_words", every.alias("all")).groupBy("lang").agg(
-        F.array(*(F.sum(F.get("all", F.lit(k))) for k in range(len(CLASSES) + 2))).alias("usual_classes"),
+    kinds = range(len(CLASSES) + 2)
+    cells = counted.select("lang", "cell", "n_words", "n_chars", every.alias("all")).groupBy("lang", "cell").agg(
+        *(F.sum(F.get("all", F.lit(k))).alias(f"c{k}") for k in kinds), F.sum("n_words").alias("n_words"),
+        F.sum("n_chars").alias("n_chars"))
+    classes = cells.groupBy("lang").agg(
+        F.array(*(F.median(F.when(F.col("n_chars") > 0, F.col(f"c{k}") / F.col("n_chars"))) for k in kinds)).alias("usual_classes"),
         F.sum("n_words").alias("n_words"))
     ranked = rows.select("lang", F.explode("words").alias("word")).groupBy("lang", "word").count().withColumn(
         "place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))).where(
@@ -141,8 +160,9 @@ def jensen_shannon(left: Column, right: Column) -> Column:
 
 def judge(documents: DataFrame, rules: Rules = Rules(), most_languages: int = 1000) -> DataFrame:
     """One row per document with its counts, ``class_distance``, ``common_distance``, ``base_failed`` and
-    ``kept``. Rows stand alone, so ties and repeated rows need no rule; other columns are ignored. The
-    references are broadcast if there are at most ``most_languages``, else joined by a shuffle."""
+    ``kept``. Rows stand alone, so ties and repeated rows need no rule; texts of any length are judged whole, null and
+    empty ones have no words and fail; an empty table gives an empty one; columns beside ``doc_id, source, lang, text``
+    are ignored. The references are broadcast if there are at most ``most_languages``, else joined by a shuffle."""
     usual = write_scratch(references(documents, rules.common), "languages")
     few = usual.count() <= most_languages
     rows = measures(documents).join(F.broadcast(usual) if few else usual, "lang", "left")

@@ -152,15 +152,17 @@ def _js(left: str, right: str) -> str:
 
 @query(rf"""
 with d as (
-  select doc_id, coalesce(lang, '') as lang, coalesce(text, '') as text, row_number() over () as r from documents),
+  select doc_id, coalesce(lang, '') as lang, coalesce(text, '') as text, row_number() over () as r,
+    (('0x' || md5(coalesce(source, ''))[:6])::bigint % {divergence.SOURCE_GROUPS}) * {divergence.TEXT_GROUPS}
+      + ('0x' || md5(coalesce(text, ''))[:6])::bigint % {divergence.TEXT_GROUPS} as cell from documents),
 w as (
-  select r, doc_id, lang, text, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') as words,
+  select r, doc_id, lang, cell, text, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') as words,
     list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines,
     [{_COUNTS}] as kinds
   from d),
 m as (
-  select r, doc_id, lang, words, len(words) as n_words, length(array_to_string(words, '')) as word_chars,
-    kinds[3] as n_symbols, len(lines) - len(list_distinct(lines)) as n_dup_lines,
+  select r, doc_id, lang, cell, length(text) as n_chars, words, len(words) as n_words,
+    length(array_to_string(words, '')) as word_chars, kinds[3] as n_symbols, len(lines) - len(list_distinct(lines)) as n_dup_lines,
     list_concat(kinds, [length(text) - length(array_to_string(words, '')),
       length(array_to_string(words, '')) - cast(list_sum(kinds) as bigint)]) as classes
   from w),
@@ -171,9 +173,12 @@ again as (select r, i, count(*) over (partition by r, shingle) as n from windows
 repeated as (
   select r, count(distinct p) as n_repeat_words from (
     select r, unnest(range(i, i + 8)) as p from again where n > 1) group by r),
+cells as (
+  select lang, {", ".join(f"cast(sum(classes[{k}]) as double) / nullif(sum(n_chars), 0) as s{k}" for k in range(1, 8))},
+    cast(sum(n_words) as double) as n_words from m group by lang, cell),
 usual as (
-  select lang, [{", ".join(f"cast(sum(classes[{k}]) as double)" for k in range(1, 8))}] as classes,
-    cast(sum(n_words) as double) as n_words from m group by lang),
+  select lang, [{", ".join(f"median(s{k})" for k in range(1, 8))}] as classes, sum(n_words) as n_words
+  from cells group by lang),
 tokens as (select r, lang, unnest(words) as word from m),
 ranked as (
   select lang, word, count(*) as n, row_number() over (partition by lang order by count(*) desc, word) as place
