@@ -16,7 +16,7 @@ from tieout.llm.common import ascii_lower, whole_text, words_between, write_scra
 
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW, SHINGLE = 13, 4
-#: Benchmarks with at most this many different shingles are broadcast; larger ones are joined by a shuffle.
+#: A benchmark's table of at most this many rows is broadcast; larger ones are joined by a shuffle.
 BROADCAST_SHINGLES = 200_000
 _WORDS = ["w1", "w2", "w3", "w4"]
 
@@ -71,23 +71,25 @@ def occurrences(documents: DataFrame, passages: DataFrame,
     sought = write_scratch(own.select("h", *_WORDS).distinct().withColumn("sid", F.monotonically_increasing_id()), "shingles")
     placed = write_scratch(own.join(sought, [own[n].eqNullSafe(sought[n]) for n in ["h", *_WORDS]]).select(
         "window", "length", "size", F.col("pos").alias("offset"), "sid"), "window-shingles")
-    few = sought.count() <= broadcast_shingles
-    small = (lambda df: F.broadcast(df)) if few else (lambda df: df)
+    n_windows, n_shingles, n_placed = each.count(), sought.count(), placed.count()
+
+    def small(df: DataFrame, rows: int) -> DataFrame:
+        return F.broadcast(df) if rows <= broadcast_shingles else df
 
     texts = documents.select("doc_id", F.xxhash64(whole_text("text")).alias("mark"), item_words("text").alias("words"))
     found = _sized(texts.withColumn("n_words", F.size("words")), "words", sizes, "doc_id", "mark", "n_words")
     # Equal hashes meet; the words are compared in a way that keeps them out of the join's keys.
     line = F.concat_ws(" ", *_WORDS)
     right = sought.select(F.col("h").alias("sought_h"), F.concat_ws(" ", *_WORDS).alias("shingle"), "sid")
-    matched = found.join(small(right), found["h"] == right["sought_h"]).where(
+    matched = found.join(small(right, n_shingles), found["h"] == right["sought_h"]).where(
         (line <= F.col("shingle")) & (line >= F.col("shingle")))
     matched = write_scratch(matched.select("doc_id", "mark", "n_words", "pos", "sid"), "shingle-matches")
 
     common = matched.groupBy("sid").agg(F.count(F.lit(1)).alias("n"))
     rarest = Window.partitionBy("window").orderBy("n", "offset")
-    prefix = placed.join(small(common), "sid", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn(
+    prefix = placed.join(small(common, n_shingles), "sid", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn(
         "place", F.row_number().over(rarest)).where("place = 1").select("window", "length", "size", "offset", "sid")
-    possible = matched.join(small(prefix), "sid").select(
+    possible = matched.join(small(prefix, n_windows), "sid").select(
         "doc_id", "mark", (F.col("pos") - F.col("offset")).alias("start"), "window", "length", "size", "n_words",
     ).where("start >= 0 and start + length <= n_words").drop("n_words").distinct()
 
@@ -95,7 +97,7 @@ def occurrences(documents: DataFrame, passages: DataFrame,
     cover = F.array_distinct(F.transform(F.sequence(F.lit(0), last + F.col("size") - 1, F.col("size")),
                                          lambda o: F.least(o, last)))
     needed = possible.withColumn("n", F.size(cover)).withColumn("offset", F.explode(cover)).join(
-        small(placed.select("window", "offset", "sid")), ["window", "offset"]).withColumn(
+        small(placed.select("window", "offset", "sid"), n_placed), ["window", "offset"]).withColumn(
         "pos", F.col("start") + F.col("offset"))
     there = matched.select(*(F.col(c).alias(f"_{c}") for c in ("doc_id", "mark", "pos", "sid")))
     proven = needed.join(there, needed["doc_id"].eqNullSafe(there["_doc_id"]) & (needed["mark"] == there["_mark"])
@@ -110,7 +112,7 @@ def find(documents: DataFrame, benchmark: DataFrame, broadcast_shingles: int = B
     Null and empty texts have no words; windows of items without an id mark words, but such items are neither
     counted nor listed. Repeated items count once for an id. Rows that share ``doc_id`` and text get equal
     rows, those that share only ``doc_id`` are judged by their own text. Without items, nothing is hit. Other
-    columns are ignored. The benchmark's shingles are broadcast up to ``broadcast_shingles``.
+    columns are ignored. Windows, shingles and their places are each broadcast up to ``broadcast_shingles`` rows.
     """
     passages = write_scratch(windows(benchmark), "passages")
     places = write_scratch(occurrences(documents, passages, broadcast_shingles), "occurrences")
