@@ -359,3 +359,23 @@ def test_lines_that_do_not_fit_are_refused(spark, tmp_path, line, why):
     (tmp_path / "x.csv").write_text(f"a,b\n1,x\n{line}\n")
     with pytest.raises(ReadError, match=why):
         D.read_data(spark, str(tmp_path))
+
+
+def test_a_batch_costs_what_its_files_cost(spark, tmp_path, monkeypatch):
+    from tieout.streaming import watch as W
+
+    inbox, store = tmp_path / "inbox", str(tmp_path / "store")
+    inbox.mkdir()
+    looks, width = [], spark.conf.get("spark.sql.shuffle.partitions")
+    monkeypatch.setattr(W, "receipts", lambda *a: looks.append(a) or S.receipts(*a))
+    for n in range(3):
+        write(inbox, f"{n}.csv", f"a\n{n % 2}\n")
+    run = lambda: W.watch_distinct(spark, str(inbox), store, str(tmp_path / "progress"), once=True, files_per_trigger=1).awaitTermination()
+    run()
+    assert len(looks) == 1 and S.receipts(spark, store).count() == 2
+    assert len([p for p in (tmp_path / "progress/state/0").iterdir() if p.name.isdigit()]) == 1
+    write(inbox, "3.csv", "a\n7\n")
+    write(inbox, "4.csv", "a\n1\n")
+    run()
+    assert len(looks) == 2 and S.receipts(spark, store).count() == 3
+    assert spark.conf.get("spark.sql.shuffle.partitions") == width
