@@ -245,3 +245,26 @@ def test_a_round_limit_is_an_error_not_a_partial_answer(spark):
         graph.cyclic_core(chain, max_rounds=2)
     with pytest.raises(NotConvergedError):
         graph.topological_levels(chain, max_rounds=3)
+
+
+def test_many_pointers_are_taken_out_and_led_on(spark, monkeypatch):
+    rng = random.Random(1)
+    monkeypatch.setattr(graph, "FEW_POINTERS", 24)
+    tree = [(rng.randrange(max(0, i - 3), i), i) for i in range(1, 60)]
+    # Sources are longs and targets ints: coins must not depend on that.
+    frame = lambda rows: spark.createDataFrame(rows, "src long, dst int").repartition(3)
+    assert {r["node"]: r["level"] for r in graph.topological_levels(frame(tree)).collect()} == plain_levels(tree)
+    rings = [(a, a + 1) for a in range(200, 220)] + [(220, 200)] + [(a, a ^ 1) for a in range(300, 320)] + [(350, 350), (220, 400), (400, 401)]
+    assert graph.topological_levels(frame(tree + rings)) is None
+    assert {r["node"] for r in graph.cyclic_core(frame(tree + rings)).collect()} == plain_core(tree + rings)
+
+
+def test_a_chain_of_pointers_moves_a_few_times_its_rows(spark, monkeypatch):
+    monkeypatch.setattr(graph, "FEW_POINTERS", 256)
+    written, write = [], graph.write_scratch
+    monkeypatch.setattr(graph, "write_scratch", lambda df, name: (lambda out: written.append(out.count()) or out)(write(df, name)))
+    chain = spark.range(2048).select((F.col("id") + 1).alias("node"), F.col("id").alias("to"), F.lit(1).cast("long").alias("far"),
+                                     F.lit(0).cast("long").alias("least"))
+    led, circles = graph._follow(write(chain, "pointers"), graph._rounds(None))
+    assert not circles and led.where("to <> 0 or far <> node").count() == 0 and led.count() == 2048
+    assert sum(written) < 10 * 2048

@@ -109,24 +109,66 @@ def _rounds(limit: int | None):
         yield number
 
 
+#: Up to so many pointers are doubled at once; of more, a quarter is taken out at a time.
+FEW_POINTERS = 1 << 20
+
+
 def _follow(pointers: DataFrame, rounds) -> tuple[DataFrame, bool]:
-    """Lead every pointer ``node, to, far, least`` to where pointers end, by doubling what each has covered.
+    """Lead every pointer ``node, to, far, least`` to where pointers end.
 
     A node's value is the larger of ``least`` and ``far`` more than the value at ``to``, so two steps are one of the same
-    kind. Returns the pointers and whether some go in circles: those still point at a node with a pointer when
-    they have taken more steps than there are nodes.
+    kind. While there are many pointers, those with one coin whose target has the other are taken out, and what points at
+    them goes on to where they point; no two in a row go at once, so the rest is led on without them. They follow
+    from it in reverse, so all rounds together move a few times the pointers, however long a chain is. A circle shrinks
+    until a node points at itself. Returns the pointers and whether some go in circles: those still point at a node
+    with a pointer.
     """
-    size, steps = pointers.count(), 1
+    taken: list[DataFrame] = []
+    size, rings = pointers.count(), False
+    # Nodes and targets may differ in type; a coin is that of the type both are compared in.
+    kind = pointers.select(F.coalesce("node", "to").alias("c")).schema["c"].dataType
+    while size > FEW_POINTERS:
+        next(rounds)
+        coin = lambda name: F.xxhash64(F.col(name).cast(kind), F.lit(len(taken))).bitwiseAND(F.lit(1)) == 1  # noqa: E731, B023
+        out = (coin("node") & ~coin("to")) | F.coalesce(F.col("node") == F.col("to"), F.lit(False))
+        gone = write_scratch(pointers.where(out), "taken")
+        rings = rings or bool(gone.where("node = to").take(1))
+        ahead = gone.select(F.col("node").alias("at"), F.col("to").alias("on"), F.col("far").alias("more"), F.col("least").alias("then"))
+        # Only a target with the first coin can be gone.
+        moving = pointers.where(~out & coin("to")).join(ahead, F.col("to") == F.col("at"), "left")
+        kept = pointers.where(~out & ~coin("to")).unionByName(moving.select("node", *_two_steps()))
+        taken.append(gone)
+        fewer = write_scratch(kept, "pointers")
+        drop_scratch(pointers)
+        pointers = fewer
+        size = pointers.count()
+    pointers, circles = _doubled(pointers, size, rounds)
+    for gone in reversed(taken):
+        ahead = pointers.select(F.col("node").alias("at"), F.col("to").alias("on"), F.col("far").alias("more"), F.col("least").alias("then"))
+        led = gone.join(ahead, F.col("to") == F.col("at"), "left").select("node", *_two_steps())
+        every = write_scratch(pointers.unionByName(led), "pointers")
+        drop_scratch(pointers)
+        drop_scratch(gone)
+        pointers = every
+    return pointers, circles or rings
+
+
+def _two_steps() -> list[Column]:
+    """``to, far, least`` after a pointer's own step and the one ``at, on, more, then`` that was joined to it, if any."""
+    passed = F.col("at").isNotNull()
+    return [F.when(passed, F.col("on")).otherwise(F.col("to")).alias("to"),
+            F.when(passed, F.col("far") + F.col("more")).otherwise(F.col("far")).alias("far"),
+            F.when(passed, F.greatest("least", F.col("then") + F.col("far"))).otherwise(F.col("least")).alias("least")]
+
+
+def _doubled(pointers: DataFrame, size: int, rounds) -> tuple[DataFrame, bool]:
+    """Lead every pointer on by doubling what each has covered; in circles they have taken more steps than there are nodes."""
+    steps = 1
     while True:
         next(rounds)
         ahead = pointers.select(F.col("node").alias("at"), F.col("to").alias("on"), F.col("far").alias("more"), F.col("least").alias("then"))
         joined = pointers.join(ahead, F.col("to") == F.col("at"), "left")
-        passed = F.col("at").isNotNull()
-        moved = write_scratch(joined.select(
-            "node", F.when(passed, F.col("on")).otherwise(F.col("to")).alias("to"),
-            F.when(passed, F.col("far") + F.col("more")).otherwise(F.col("far")).alias("far"),
-            F.when(passed, F.greatest("least", F.col("then") + F.col("far"))).otherwise(F.col("least")).alias("least"),
-            passed.alias("passed")), "pointers")
+        moved = write_scratch(joined.select("node", *_two_steps(), F.col("at").isNotNull().alias("passed")), "pointers")
         drop_scratch(pointers)
         left = moved.where("passed").count()
         pointers, steps = moved.drop("passed"), 2 * steps
