@@ -100,3 +100,16 @@ def test_long_texts_are_masked(values):
     assert got[5].startswith("token =***REDACTED***") or got[5].startswith("token=***REDACTED***")
     assert values(["1-https://me:pw@h", "x://a b@c", "http://h/u@x"], "string", mask_secrets) == [
         "1-https://***REDACTED***@h", "x://a b@c", "http://h/u@x"]
+
+
+def test_records_are_put_together_once_and_by_split(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.csv").write_text("".join(f'{n},"x\ny {n}"\n' for n in range(400)))
+    monkeypatch.setattr(R, "write_scratch", lambda df, name, write=R.write_scratch: (plans.update({name: df}), write(df, name))[1])
+    plans = {}
+    whole = R.records(R.placed_lines(spark, str(tmp_path)))
+    assert whole.count() == 400
+    text = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    # Whoever reads the records reads the written pieces; they are shuffled by split alone.
+    assert "Window" not in text(whole) and "Window" in text(plans["pieces"])
+    planned = plans["pieces"]._jdf.queryExecution().sparkPlan().toString() + plans["pieces"]._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(split" in planned and "SortMergeJoin" not in planned and planned.count("Exchange hashpartitioning") == 1

@@ -33,8 +33,9 @@ def below(lines: DataFrame, skip: int) -> DataFrame:
     """The lines without the first ``skip`` of every file."""
     if skip <= 0:
         return lines
-    # Splits keep the order of lines, and only a file's first split can hold its first lines.
-    starts = lines.where("block = 0").groupBy(F.col("file").alias("first_file")).agg(F.min("line").alias("start"))
+    # Splits keep the order of lines, and only a file's first split can hold its first lines. One row a file, written, so
+    # that Spark knows its size before it shuffles the lines.
+    starts = write_scratch(lines.where("block = 0").groupBy(F.col("file").alias("first_file")).agg(F.min("line").alias("start")), "starts")
     return lines.join(starts, F.col("file") == F.col("first_file")).where(
         (F.col("block") > 0) | (F.col("line") - F.col("start") >= skip)).drop("first_file", "start")
 
@@ -46,28 +47,23 @@ def split_states(lines: DataFrame) -> DataFrame:
     return splits.select("file", "block", "turns", (F.coalesce(F.sum("turns").over(before), F.lit(0)) % 2).alias("open"))
 
 
-def _continued(lines: DataFrame, states: DataFrame) -> DataFrame:
-    """``line, start, file, block`` of the lines on which a record goes on: the line it begins with, and that one's place.
-
-    Only numbers are shuffled, of the files that have quotes open at a line's end; a window takes in one split.
-    """
-    files = states.where("turns > 0").select("file").distinct()
-    narrow = lines.select(*PLACE, "turns").join(files, "file").join(states.select("file", "block", "open"), ["file", "block"])
-    inside = Window.partitionBy("file", "block").orderBy("line")
-    earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
-    up_to = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    within = narrow.withColumn("inside", (F.col("open") + F.coalesce(F.sum("turns").over(earlier), F.lit(0))) % 2 == 1)
-    begun = F.when(~F.col("inside"), F.col("line"))
-    within = within.withColumn("own", F.max(begun).over(up_to))
-    # The last record start of the splits before, with the split it stands in.
-    last = within.groupBy("file", "block").agg(F.max(begun).alias("last"))
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    there = F.when(F.col("last").isNotNull(), F.struct("block", "last"))
-    carried = last.select("file", "block", F.last(there, ignorenulls=True).over(before).alias("carried"))
-    goes_on = within.where("inside").join(carried, ["file", "block"])
-    return goes_on.select(
-        "line", "file", F.coalesce("own", "carried.last").alias("start"),
-        F.when(F.col("own").isNotNull(), F.col("block")).otherwise(F.col("carried.block")).alias("block"))
+def _pieces(lines: DataFrame, states: DataFrame, most_lines: int) -> DataFrame:
+    """``split, line, n, value``: the part of every record that stands in one split, under the line it begins with, null
+    for the one that a split goes on with from earlier ones; ``n`` counts lines, of which ``most_lines`` at most are kept."""
+    splits = states.select(F.col("file").alias("_file"), F.col("block").alias("_block"), "split", "open")
+    placed = lines.join(splits, (F.col("file") == F.col("_file")) & (F.col("block") == F.col("_block"))).select(
+        "split", "open", "line", "turns", "value")
+    within = Window.partitionBy("split").orderBy("line")
+    earlier = within.rowsBetween(Window.unboundedPreceding, -1)
+    up_to = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    begins = (F.col("open") + F.coalesce(F.sum("turns").over(earlier), F.lit(0))) % 2 == 0
+    started = placed.withColumns({"begins": begins, "number": F.row_number().over(within)}).withColumn(
+        "start", F.max(F.when(F.col("begins"), F.struct("line", "number"))).over(up_to))
+    kept = F.col("number") - F.coalesce("start.number", F.lit(0)) < most_lines
+    # Rows stay where the window has put them: all lines of a record's piece are of one split.
+    return started.groupBy("split", F.col("start.line").alias("line")).agg(
+        F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.when(kept, F.struct(F.col("line").alias("at"), "value")))).alias("lines")).select(
+        "split", "line", "n", F.array_join("lines.value", "\n").alias("value"))
 
 
 def _refuse_open(lines: DataFrame, states: DataFrame) -> None:
@@ -85,21 +81,31 @@ def records(lines: DataFrame, most_lines: int = MOST_LINES) -> DataFrame:
     Where no line leaves a quote open this is the lines as they are. A file that ends with a quote open is refused, and
     so is a record of more than ``most_lines`` lines. An empty table gives an empty one.
     """
-    states = write_scratch(split_states(lines), "splits")
+    states = write_scratch(split_states(lines).withColumn("split", F.monotonically_increasing_id()), "splits")
     if not states.where("turns > 0").take(1):
         return lines.select("value", *PLACE)
     _refuse_open(lines, states)
-    goes_on = write_scratch(_continued(lines, states), "continued")
-    longest = goes_on.groupBy("start").agg(F.count(F.lit(1)).alias("n"), F.min("file").alias("file")).agg(
+    quoted = write_scratch(states.where("turns > 0").select("file").distinct(), "quoted-files")
+    pieces = write_scratch(_pieces(lines.join(quoted, "file", "left_semi"), states, most_lines), "pieces")
+    # Of every split that goes on with a record, the last record start of the splits before.
+    tops = states.join(pieces.groupBy("split").agg(F.max("line").alias("last"), F.count_if(F.col("line").isNull()).alias("goes_on")), "split")
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = write_scratch(tops.withColumn("start", F.max("last").over(before)).where("goes_on > 0").select("split", "start"), "carried")
+    starts = write_scratch(carried.select(F.col("start").alias("line")).distinct(), "carried-starts")
+    heads = pieces.join(starts, "line", "left_semi").select("split", F.col("line").alias("start"), "n", "value")
+    parts = write_scratch(heads.unionByName(
+        pieces.where("line is null").join(carried, "split").select("split", "start", "n", "value")), "carried-pieces")
+    place = states.select("split", "file", "block")
+    inside = pieces.where(F.col("line").isNotNull()).select((F.col("n") - 1).alias("n"), "split")
+    across = parts.groupBy("start").agg((F.sum("n") - 1).alias("n"), F.max("split").alias("split"))
+    longest = inside.unionByName(across.select("n", "split")).groupBy("split").agg(F.max("n").alias("n")).join(place, "split").agg(
         F.max(F.struct("n", "file")).alias("most")).first()["most"]
     if longest and longest["n"] >= most_lines:
         raise ReadError(f"{longest['file']}: a quoted cell goes on for {longest['n']:,} lines")
-    starts = goes_on.select(F.col("start").alias("line"), "start", "file", "block").distinct()
-    parts = goes_on.select("line", "start", "file", "block").unionByName(starts)
-    named = lines.select("value", *(F.col(c).alias(f"_{c}") for c in PLACE))
-    whole = named.join(parts, F.col("_line") == F.col("line"), "left_anti").select(
-        "value", *(F.col(f"_{c}").alias(c) for c in PLACE))
-    joined = named.join(parts, F.col("_line") == F.col("line")).groupBy("file", "block", "start").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("_block").alias("at"), "_line", "value"))).alias("lines")).select(
-        F.array_join("lines.value", "\n").alias("value"), "file", "block", F.col("start").alias("line"))
-    return whole.unionByName(joined)
+    joined = parts.join(place, "split").groupBy("start").agg(
+        F.array_sort(F.collect_list(F.struct("block", "value", "file"))).alias("p")).select(
+        F.array_join("p.value", "\n").alias("value"), F.col("p")[0]["file"].alias("file"), F.col("p")[0]["block"].alias("block"),
+        F.col("start").alias("line"))
+    own = pieces.where(F.col("line").isNotNull()).join(starts, "line", "left_anti").join(place, "split").select("value", *PLACE)
+    plain = lines.join(quoted, "file", "left_anti").select("value", *PLACE)
+    return plain.unionByName(own).unionByName(joined)
