@@ -9,16 +9,22 @@ makes 18 matches a place at most, two as a rule, however many documents share it
 documents are chained in order: a chain gains for each seed and pays for the words between, and a Fenwick tree
 over positions in the other document gives each seed's best predecessor. Chains that span enough words, or have a
 match of 34 words, are aligned along their diagonals; a passage is where at least 0.8 of its runs of five words agree over 50 words or more.
+
+Seeds outside of the passages found so far go on: where their first places are in documents without the passage, they
+are compared with the first place of every different surrounding (45 words on either side) in the documents before, in
+blocks for hot seeds, and linked with the first that holds a passage. What they give is aligned like the rest. That
+step is quadratic in the different surroundings of a seed.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +34,13 @@ RUN, WINDOW = 5, 16
 LEAST_WORDS, LEAST_SIMILARITY = 50, 0.8
 #: Words from a seed on that every passage has in common: it has a seed among its first 16 runs.
 CONTEXT = LEAST_WORDS - WINDOW
+#: Runs on either side of a seed that a passage of ``LEAST_WORDS`` words with the seed in it can have.
+REACH = LEAST_WORDS - RUN
+#: Runs of the shortest passage, and how many of them agree.
+_LEAST_RUNS = LEAST_WORDS - RUN + 1
+_ENOUGH = math.ceil(_LEAST_RUNS * LEAST_SIMILARITY)
+#: Places of one seed are compared in blocks of about so many by as many.
+_PLACES = 2048
 #: Words between neighbours of a chain.
 MOST_GAP = 40
 #: What a chain pays for each word between two seeds, in either document; a seed gains one.
@@ -134,15 +147,16 @@ def _seeds(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def seed_places(documents: DataFrame) -> DataFrame:
-    """``seed, context, around, doc_id, at``: ``at`` has the document's mark in its upper and the word in its
+    """``seed, context, around, wide, doc_id, at``: ``at`` has the document's mark in its upper and the word in its
     lower half; ``context`` hashes the ``CONTEXT`` words from there on, null near the end; ``around`` hashes those and
-    as many words on either side as a passage can have beside them, as far as there are any.
+    as many words on either side as a passage can have beside them, as far as there are any; ``wide`` hashes all words
+    that a passage of ``LEAST_WORDS`` words with the seed in it can have.
 
     Documents of fewer than ``LEAST_WORDS`` words hold no passage and have no seeds.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found, near, wide, places, sizes = [], [], [], [], []
+            found, near, around, wide, places, sizes = [], [], [], [], [], []
             for mark, text in zip(batch.column("mark").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 words = word_hashes(text)
                 if len(words) < LEAST_WORDS:
@@ -153,17 +167,19 @@ def seed_places(documents: DataFrame) -> DataFrame:
                 near.append(np.append(runs(words, CONTEXT), np.zeros(CONTEXT, np.uint64))[at].view(np.int64))
                 edge = np.arange(1, WINDOW + 1, dtype=np.uint64)  # the ends of a text differ from any words
                 padded = np.concatenate((edge, words, ~edge))
-                wide.append((runs(padded, CONTEXT + 2 * WINDOW)[np.minimum(at, len(words) - CONTEXT)] >> np.uint64(32)).astype(
+                around.append((runs(padded, CONTEXT + 2 * WINDOW)[np.minimum(at, len(words) - CONTEXT)] >> np.uint64(32)).astype(
                     np.uint32).view(np.int32))
+                edge = np.arange(1, REACH + 1, dtype=np.uint64)
+                wide.append(runs(np.concatenate((edge, words, ~edge)), RUN + 2 * REACH)[at].view(np.int64))
                 places.append(at | (mark << 32))
                 sizes.append(len(at))
             if found:
                 doc = batch.column("doc_id").take(pa.array(np.repeat(np.arange(batch.num_rows), sizes)))
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(np.concatenate(x)) for x in (found, near, wide)), doc, pa.array(np.concatenate(places))],
-                    ["seed", "context", "around", "doc_id", "at"])
+                    [*(pa.array(np.concatenate(x)) for x in (found, near, around, wide)), doc, pa.array(np.concatenate(places))],
+                    ["seed", "context", "around", "wide", "doc_id", "at"])
 
-    rows = _marked(documents).mapInArrow(run, "seed long, context long, around int, doc_id long, at long")
+    rows = _marked(documents).mapInArrow(run, "seed long, context long, around int, wide long, doc_id long, at long")
     return rows.withColumn("context", F.nullif("context", F.lit(0).cast("long")))
 
 
@@ -228,12 +244,13 @@ def _place(at: str) -> Column:
     return F.col(at).bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
 
 
-def matches(documents: DataFrame) -> DataFrame:
+def matches(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One row for each two documents with two or more seeds, or a context, in common: their places as
-    ``pairs (x, y, sure)``, sure with the words of a context."""
+    ``pairs (x, y, sure)``, sure with the words of a context. And the places of all seeds that are found twice, with the
+    first of each: ``seed, wide, doc_id, at, other_id, other_at``."""
     # Written without the text: the first places and the join with them read the same rows.
     seeds = write_scratch(seed_places(documents), "seeds")
-    seeded = write_scratch(with_first(seeds.select("seed", "doc_id", "at"), "seed").drop("seed"), "seeded")
+    seeded = write_scratch(with_first(seeds.select("seed", "wide", "doc_id", "at"), "seed"), "seeded")
     near = write_scratch(with_first(seeds.select("context", "around", "doc_id", "at"), "context"), "contexts")
     # Where all places of a context have the same words around it, the first has every window of the others.
     mixed = write_scratch(near.groupBy("context").agg(F.min("around").alias("low"), F.max("around").alias("high")).where(
@@ -246,11 +263,18 @@ def matches(documents: DataFrame) -> DataFrame:
         "context", "theirs").dropDuplicates(["context"])
     missing = wide.hint("merge").join(write_scratch(theirs, "first-windows"), "context").select(
         "context", "doc_id", "at", F.array_except("windows", "theirs").alias("missing"))
-    rest = with_first(write_scratch(missing.where(F.size("missing") > 0).select(
-        "context", F.explode("missing").alias("window"), "doc_id", "at").distinct(), "missing-windows"), "context", "window")
+    first = F.min(F.struct("doc_id", "at")).over(Window.partitionBy("context", "window"))
+    rest = missing.where(F.size("missing") > 0).select("context", F.explode("missing").alias("window"), "doc_id", "at").select(
+        "doc_id", "at", first.alias("first")).select("doc_id", "at", "first.*").toDF("doc_id", "at", "other_id", "other_at").where(
+        ~(F.col("doc_id").eqNullSafe(F.col("other_id")) & (F.col("at") == F.col("other_at"))))
     columns = ["doc_id", "at", "other_id", "other_at"]
     linked = seeded.select(*columns, F.lit(False).alias("sure")).unionByName(
         near.select(*columns).unionByName(rest.select(*columns).distinct()).withColumn("sure", F.lit(True)))
+    return _by_documents(linked), seeded
+
+
+def _by_documents(linked: DataFrame) -> DataFrame:
+    """Linked places ``doc_id, at, other_id, other_at, sure`` of each two documents, as ``pairs``."""
     linked = linked.select(
         "doc_id", _mark("at").alias("mark"), "other_id", _mark("other_at").alias("other_mark"),
         F.struct(_place("at").alias("x"), _place("other_at").alias("y"), "sure").alias("pair"))
@@ -261,6 +285,194 @@ def matches(documents: DataFrame) -> DataFrame:
     ).where(F.col("sure") | (F.col("span") + RUN >= LEAST_WORDS - 2 * (WINDOW - 1))).drop("span", "sure")
 
 
+def other_holders(documents: DataFrame, seeded: DataFrame, found: DataFrame) -> DataFrame:
+    """Links ``doc_id, at, other_id, other_at, sure`` for seeds outside of all passages found so far.
+
+    The first place of such a seed may be in a document without the passage. So the seed is compared, by the runs around
+    it, with the first place of every different surrounding in earlier documents, and linked with the first that shares a
+    passage. Places with equal surroundings have the same 50 words around the seed, so one stands for all of them.
+    """
+    spans = found.groupBy(F.col("doc_id").alias("d"), F.col("mark").alias("m")).agg(
+        F.collect_set(F.struct("start", "end")).alias("spans"))
+    kinds = write_scratch(seeded.groupBy("seed", "wide").agg(F.min(F.struct("doc_id", "at")).alias("kind")), "kinds")
+    several = kinds.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("seed")
+    later = seeded.where(~(F.col("doc_id").eqNullSafe(F.col("other_id")) & (F.col("at") == F.col("other_at")))).select(
+        "seed", "doc_id", "at").join(several, "seed")
+    inside = F.exists("spans", lambda s: (s["start"] <= _place("at")) & (s["end"] >= _place("at") + RUN))
+    asked = write_scratch(later.join(spans, F.col("doc_id").eqNullSafe(F.col("d")) & (_mark("at") == F.col("m")), "left").where(
+        ~F.coalesce(inside, F.lit(False))).select("seed", "doc_id", "at").distinct(), "asked")
+    last = asked.groupBy("seed").agg(F.max(F.struct("doc_id", "at")).alias("last"), F.count(F.lit(1)).alias("n_asked"))
+    told = write_scratch(kinds.join(last, "seed").where("kind < last").select("seed", "kind.*", "n_asked"), "told")
+    hot = write_scratch(told.groupBy("seed").agg(F.max("n_asked").alias("n_asked"), F.count(F.lit(1)).alias("n_told")).where(
+        F.greatest("n_asked", "n_told") > _PLACES), "hot-seeds")
+    rows = surroundings(documents, asked.select("doc_id", "at", F.lit(1).alias("asks")).unionByName(
+        told.select("doc_id", "at", F.lit(0).alias("asks"))))
+
+    def blocks(n: str) -> Column:
+        return F.coalesce(F.ceil(F.col(n) / _PLACES), F.lit(1)).cast("int")
+
+    # Every block of places that ask meets every block of places that are told of.
+    own, others = (F.when(F.col("asks") == 1, F.lit(first)).otherwise(F.lit(not first)) for first in (True, False))
+    rows = rows.join(hot, "seed", "left")
+    for name, here, n in (("left", own, "n_asked"), ("right", others, "n_told")):
+        block = F.pmod(F.xxhash64("doc_id", "at"), blocks(n)).cast("int")
+        rows = rows.withColumn(name, F.explode(F.when(here, F.array(block)).otherwise(F.sequence(F.lit(0), blocks(n) - 1))))
+    groups = rows.groupBy("seed", "left", "right").agg(
+        F.sum("asks").alias("n"), F.collect_list(F.struct("asks", "doc_id", "at", "low", "runs")).alias("places")).where(
+        (F.col("n") > 0) & (F.col("n") < F.size("places"))).select("places")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            flat, ends = batch.column("places").flatten(), np.cumsum(batch.column("places").value_lengths().to_numpy())
+            asks, at, low = (flat.field(n).to_numpy() for n in ("asks", "at", "low"))
+            doc = flat.field("doc_id")
+            known, ids = doc.is_valid().to_numpy(zero_copy_only=False), doc.fill_null(0).to_numpy()
+            around = numbered([np.frombuffer(x, np.uint16) for x in flat.field("runs").to_pylist()])
+            mine, theirs, links = [], [], []
+            for begin, end in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                order = begin + np.lexsort((at[begin:end], ids[begin:end], known[begin:end]))
+                for i, j, pairs in first_alike(order, asks, ids, known, at, low, around):
+                    mine.append(i)
+                    theirs.append(j)
+                    links.append([{"x": x, "y": y} for x, y in pairs])
+            if mine:
+                left, right = pa.array(mine), pa.array(theirs)
+                yield pa.RecordBatch.from_arrays(
+                    [doc.take(left), flat.field("at").take(left), doc.take(right), flat.field("at").take(right),
+                     pa.array(links, pa.list_(pa.struct([("x", pa.int32()), ("y", pa.int32())])))],
+                    ["doc_id", "at", "other_id", "other_at", "links"])
+
+    best = groups.mapInArrow(run, "doc_id long, at long, other_id long, other_at long, links array<struct<x:int,y:int>>").groupBy(
+        "doc_id", "at").agg(F.min(F.struct("other_id", "other_at", "links")).alias("best"))
+    upper = F.lit(-(1 << 32))
+    return best.select("doc_id", "at", "best.other_id", "best.other_at", F.explode("best.links").alias("p")).select(
+        "doc_id", F.col("at").bitwiseAND(upper).bitwiseOR(F.col("p.x").cast("long")).alias("at"), "other_id",
+        F.col("other_at").bitwiseAND(upper).bitwiseOR(F.col("p.y").cast("long")).alias("other_at"), F.lit(True).alias("sure"))
+
+
+def surroundings(documents: DataFrame, places: DataFrame) -> DataFrame:
+    """``seed, asks, doc_id, at, low, runs`` of the places ``doc_id, at, asks``: 16 bits of the hash of every run that a
+    passage of ``LEAST_WORDS`` words with the seed in it can have, ``low`` the first one's word."""
+    per = places.groupBy(F.col("doc_id").alias("d"), _mark("at").alias("m")).agg(
+        F.sort_array(F.collect_set(_place("at").cast("long") * 2 + F.col("asks"))).alias("wanted"))
+    rows = _marked(documents).join(per.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m"))).select(
+        "doc_id", "mark", "text", "wanted").dropDuplicates(["doc_id", "mark"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            seeds, asks, places, lows, around, sizes = [], [], [], [], [], []
+            for mark, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("mark", "text", "wanted")), strict=True):
+                hashes = runs(word_hashes(text))
+                short = (hashes >> np.uint64(48)).astype(np.uint16).tobytes()
+                codes = np.array(wanted, np.int64)
+                at = codes >> 1
+                low, high = np.maximum(at - REACH, 0), np.minimum(at + REACH + 1, len(hashes))
+                seeds.append(hashes[at].view(np.int64))
+                asks.append((codes & 1).astype(np.int32))
+                places.append(at | (mark << 32))
+                lows.append(low.astype(np.int32))
+                around += [short[2 * a: 2 * b] for a, b in zip(low.tolist(), high.tolist(), strict=True)]
+                sizes.append(len(at))
+            if sizes:
+                doc = batch.column("doc_id").take(pa.array(np.repeat(np.arange(batch.num_rows), sizes)))
+                seeds, asks, places, lows = (pa.array(np.concatenate(v)) for v in (seeds, asks, places, lows))
+                yield pa.RecordBatch.from_arrays([seeds, asks, doc, places, lows, pa.array(around, pa.binary())],
+                                                 ["seed", "asks", "doc_id", "at", "low", "runs"])
+
+    return rows.mapInArrow(run, "seed long, asks int, doc_id long, at long, low int, runs binary")
+
+
+def numbered(around: list[np.ndarray]) -> list[np.ndarray]:
+    """Each row's runs in the upper bits and in the lower byte which of the row's equal runs one is, from zero on."""
+    sizes = np.array([len(x) for x in around])
+    values = np.concatenate(around).astype(np.int64) | (np.repeat(np.arange(len(around)), sizes) << 16)
+    order = np.argsort(values, kind="stable")
+    new = np.append(True, np.diff(values[order]) != 0)
+    nth = np.empty(len(values), np.int64)
+    nth[order] = np.arange(len(values)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+    return np.split(((values & 0xFFFF) << 8 | nth).astype(np.uint32), np.cumsum(sizes)[:-1])
+
+
+def first_alike(order: np.ndarray, asks: np.ndarray, ids: np.ndarray, known: np.ndarray, at: np.ndarray, low: np.ndarray,
+                around: list[np.ndarray]) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
+    """For places that ask, the first place told of, in a document before, with a passage in the runs around both, and
+    places of the passage in both documents. ``order`` has the places as documents go.
+
+    Runs that few places are told to have are looked up; those of many only for pairs that can have a passage with them.
+    """
+    asked, told = order[asks[order] == 1], order[asks[order] == 0]
+    earlier = np.searchsorted(np.flatnonzero(asks[order] == 0), np.flatnonzero(asks[order] == 1))
+    n, many = len(told), max(16, len(told) // 8)
+    values, owner = np.concatenate([around[j] for j in told]), np.repeat(np.arange(n), [len(around[j]) for j in told])
+    sort = np.argsort(values, kind="stable")
+    values, owner = values[sort], owner[sort]
+    common, counts = np.unique(values, return_counts=True)
+    common = np.append(common[counts > many], np.iinfo(np.uint32).max)
+    place = np.searchsorted(common, values)
+    has = np.zeros((n, len(common)), bool)
+    has[owner[common[place] == values], place[common[place] == values]] = True
+    step = max(1, (1 << 18) // n)
+    for start in range(0, len(asked), step):
+        some, before = asked[start: start + step], earlier[start: start + step]
+        mine, sizes = np.concatenate([around[i] for i in some]), [len(around[i]) for i in some]
+        rows, places = np.repeat(np.arange(len(some)), sizes), np.concatenate([np.arange(x) for x in sizes])
+        begin = np.searchsorted(values, mine)
+        size = np.searchsorted(values, mine, "right") - begin
+        frequent = size > many
+        first, last = np.full(len(some), 2 * REACH), np.zeros(len(some), np.int64)
+        first[rows[frequent][::-1]], last[rows[frequent]] = places[frequent][::-1], places[frequent]
+        least = np.maximum(_ENOUGH - np.bincount(rows[frequent], minlength=len(some)), last - first < _LEAST_RUNS - 1)
+        size[frequent] = 0
+        inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin, size)
+        pairs = np.repeat(rows * n, size) + owner[inside]
+        seen = np.bincount(pairs, minlength=len(some) * n).reshape(len(some), n)
+        found = np.flatnonzero((seen >= least[:, None]) & (np.arange(n) < before[:, None]))
+        row = np.full(len(some) * n, -1, np.int32)
+        row[found] = np.arange(len(found))
+        kept = np.flatnonzero(row[pairs] >= 0)
+        agree = np.zeros((len(found), 2 * REACH + 1), bool)
+        agree[row[pairs[kept]], np.repeat(places, size)[kept]] = True
+        ends, bounds = np.searchsorted(found, np.arange(len(some) + 1) * n), np.append(0, np.cumsum(sizes))
+        for k in np.flatnonzero(np.diff(ends)).tolist():
+            here = bounds[k] + np.flatnonzero(frequent[bounds[k]: bounds[k + 1]])
+            agree[ends[k]: ends[k + 1], places[here]] = has[np.ix_(
+                found[ends[k]: ends[k + 1]] - k * n, np.searchsorted(common, mine[here]))]
+        done = -1
+        for pair in found[_may_hold(agree)].tolist():
+            i, j = int(some[pair // n]), int(told[pair % n])
+            if i == done or (known[i] == known[j] and ids[i] == ids[j] and at[i] >> 32 == at[j] >> 32):
+                continue
+            shared = _shared(around[i], around[j], int(at[i] & 0xFFFFFFFF) - int(low[i]), int(at[j] & 0xFFFFFFFF) - int(low[j]))
+            if shared:
+                done = i
+                yield i, j, [(int(low[i]) + x, int(low[j]) + y) for x, y in shared]
+
+
+def _may_hold(agree: np.ndarray) -> np.ndarray:
+    """Whether some stretch long enough for a passage begins and ends with runs that agree and has the share of them."""
+    out = np.zeros(len(agree), bool)
+    steps = np.array([-round(100 * LEAST_SIMILARITY), round(100 * (1 - LEAST_SIMILARITY))], np.int16)
+    for start in range(0, len(agree), 1 << 14):
+        part = agree[start: start + (1 << 14)]
+        sums = np.zeros((len(part), part.shape[1] + 1), np.int16)
+        np.cumsum(steps[part.astype(np.int8)], axis=1, dtype=np.int16, out=sums[:, 1:])
+        lowest = np.minimum.accumulate(np.where(part, sums[:, :-1], np.iinfo(np.int16).max), axis=1)[:, :1 - _LEAST_RUNS]
+        out[start: start + (1 << 14)] = (part[:, _LEAST_RUNS - 1:] & (sums[:, _LEAST_RUNS:] >= lowest)).any(axis=1)
+    return out
+
+
+def _shared(left: np.ndarray, right: np.ndarray, x: int, y: int) -> list[tuple[int, int]]:
+    """The first and the last place of a passage in the numbered runs around two places of a seed, and the seed's; none if
+    there is no passage. Tried are the seed's diagonal and chains of the runs with equal numbers."""
+    _, xs, ys = np.intersect1d(left, right, assume_unique=True, return_indices=True)
+    left, right = left >> 8, right >> 8
+    found = passages_of(left, right, [(np.array([x]), np.array([y]))])
+    if not found:
+        found = passages_of(left, right, [(xs[c], ys[c]) for c in chains(xs, ys)])
+    return [p for start, end, other_start, other_end, _ in found
+            for p in ((start, other_start), (x, y), (end - RUN, other_end - RUN))]
+
+
 def chains(x: np.ndarray, y: np.ndarray) -> list[list[int]]:
     """Chains of matches, best first, each a list of places in ``x`` and ``y``, rising in both.
 
@@ -491,7 +703,14 @@ def shared_passages(documents: DataFrame) -> DataFrame:
     the id are two, told apart by ``mark``. Null, empty and short texts share nothing; other columns are
     ignored. Passages repeated inside one document only are not meant.
     """
-    lines = write_scratch(candidates(matches(documents)), "chains")
+    pairs, seeded = matches(documents)
+    found = write_scratch(aligned(documents, pairs), "passages")
+    return merged(found.unionByName(aligned(documents, _by_documents(other_holders(documents, seeded, found)))))
+
+
+def aligned(documents: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The passages along the chains of the matches of each two documents."""
+    lines = write_scratch(candidates(pairs), "chains")
     wanted = lines.select("doc_id", "mark", "low", "high").unionByName(lines.select(
         F.col("other_id").alias("doc_id"), F.col("other_mark").alias("mark"), F.col("other_low").alias("low"),
         F.col("other_high").alias("high"))).distinct()
@@ -522,7 +741,7 @@ def shared_passages(documents: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema)
 
-    return merged(lines.mapInArrow(align, FOUND))
+    return lines.mapInArrow(align, FOUND)
 
 
 def merged(found: DataFrame) -> DataFrame:
