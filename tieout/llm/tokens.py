@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import json
 import os
+import re
+import struct
 from pathlib import Path
 
-import numpy as np
 import public_tokenizers
 
 #: Letters up to here have one form and belong to one class in every version of Unicode.
 _LAST_LETTER = "ɏ"
+#: A line's end, a word of plain letters and ASCII marks: three pieces to a vocabulary that keeps spaces.
+_WORD_AND_MARKS = re.compile("(\n?)( ?[A-Za-zªµºÀ-ÖØ-öø-ɏ]+)([!-/:-@\\[-`{-~]*)")
 
 
 def byte_characters() -> list[str]:
@@ -26,7 +29,8 @@ class PieceIds(dict):
 
     Pieces are texts or their UTF-8 bytes. Of the pieces asked for last, ``limit`` to twice as many are held;
     long ones are not. Pieces that the tokenizer's rules leave whole, words of plain letters, go to its merges
-    directly; all others through the whole tokenizer.
+    directly; all others through the whole tokenizer. Words with marks behind them or a line's end before are put
+    together from their parts.
     """
 
     def __init__(self, path: str, limit: int = 100_000, longest: int = 64):
@@ -37,7 +41,7 @@ class PieceIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.model, self.characters = self.tokenizer.model, byte_characters()
+        self.model, self.characters = self.tokenizer.model, dict(enumerate(byte_characters()))
         self.limit, self.longest, self.before = limit, longest, {}
         rules = json.loads(Path(path).read_text())
         changes, parts = rules["normalizer"], rules["pre_tokenizer"]
@@ -57,16 +61,19 @@ class PieceIds(dict):
         ids = self.before.get(piece)
         if ids is None:
             text = piece.decode() if isinstance(piece, bytes) else piece
+            parts = _WORD_AND_MARKS.fullmatch(text) if self.spaced and self.direct else None
+            if parts and parts[2] != text:
+                return self._keep(piece, b"".join([self[part] for part in parts.groups() if part]))
             if not text:
                 numbers = []
-            elif self._whole(text):
-                line = text if text.isascii() and text[0] != " " else "".join([self.characters[b] for b in text.encode()])
+            elif parts or self._whole(text):
+                line = text if text.isascii() and text[0] != " " else text.encode().decode("latin-1").translate(self.characters)
                 numbers = [token.id for token in self.model.tokenize(line)]
             elif self.lowers and text[-1] in ",.;:!?" and self._whole(text[:-1]):
                 return self._keep(piece, self[piece[:-1]] + self[piece[-1:]])  # a mark parts from letters
             else:
                 numbers = self.tokenizer.encode(text, add_special_tokens=False).ids
-            ids = np.array(numbers, "<u4").tobytes()
+            ids = struct.pack(f"<{len(numbers)}I", *numbers)
         return self._keep(piece, ids)
 
     def _keep(self, piece: str | bytes, ids: bytes) -> bytes:
