@@ -21,6 +21,8 @@ from pyspark.sql import types as T
 from tieout.llm.common import slices, whole_text
 
 BITS = 20
+#: Coordinates whose states are averaged together.
+_PIECE = 1 << 14
 _WORD = re.compile(r"[^\W\d_]+")
 _MASK = np.uint64((1 << BITS) - 1)
 
@@ -80,6 +82,13 @@ def text_score(text: str, dense: np.ndarray) -> float:
     return float(dense[np.unique(at[dense[at] != 0])].sum(dtype=np.float64)) + float(dense[-1])
 
 
+def _weights(s: Settings, z: np.ndarray, n: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Weights of the coordinates ``at`` with the states ``z`` and ``n``."""
+    l1 = np.where(at == 1 << BITS, 0.0, s.l1)
+    shrunk = np.sign(z) * np.maximum(np.abs(z) - l1, 0)
+    return -shrunk / ((s.beta + np.sqrt(n)) / s.alpha + s.l2)
+
+
 class Ftrl:
     """State ``z`` and ``n`` per coordinate; the last coordinate is the intercept, without L1."""
 
@@ -89,10 +98,7 @@ class Ftrl:
         self.n = np.zeros((1 << BITS) + 1) if n is None else n
 
     def weights(self, at: np.ndarray) -> np.ndarray:
-        s, z, n = self.settings, self.z[at], self.n[at]
-        l1 = np.where(at == 1 << BITS, 0.0, s.l1)
-        shrunk = np.sign(z) * np.maximum(np.abs(z) - l1, 0)
-        return -shrunk / ((s.beta + np.sqrt(n)) / s.alpha + s.l2)
+        return _weights(self.settings, self.z[at], self.n[at], at)
 
     def learn(self, at: np.ndarray, label: int) -> None:
         at = np.append(at, 1 << BITS)
@@ -116,14 +122,16 @@ def training_labels(labels: DataFrame, settings: Settings) -> tuple[DataFrame, i
     for shift in (48, 32, 16, 0):
         digit = F.shiftrightunsigned(F.xxhash64("doc_id"), shift).bitwiseAND(F.lit(0xFFFF).cast("long"))
         last = -1
-        counts = known.where(within).groupBy(digit.alias("at")).count().collect()  # 65,536 rows at most
-        for at, count in sorted((r["at"], r["count"]) for r in counts):
-            if total + count > settings.most_rows:
-                break
-            total, last = total + count, at
-        if total or not counts:
+        counts = known.where(within).groupBy(digit.alias("at")).count().toArrow()  # 65,536 rows at most
+        buckets, sizes = (counts.column(c).to_numpy() for c in ("at", "count"))
+        order = np.argsort(buckets)
+        sums = np.cumsum(sizes[order])
+        taken = int(np.searchsorted(sums, settings.most_rows, "right"))
+        if taken:
+            total, last = int(sums[taken - 1]), int(buckets[order[taken - 1]])
+        if taken or not len(buckets):
             break
-        within = within & (digit == min(r["at"] for r in counts))
+        within = within & (digit == int(buckets.min()))
     return known.where(within & (digit <= last)), total
 
 
@@ -132,8 +140,9 @@ def fit(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()
     condition on ``doc_id``) may hold some back.
 
     Repeated documents teach once for each different text. Rows go to shards by a hash of their id and are
-    taken in an order of their own, so the weights do not depend on how Spark deals them. What comes to the
-    driver is a state for each shard, of the coordinates' size. Without labelled documents all weights are zero.
+    taken in an order of their own, so the weights do not depend on how Spark deals them. The shards' states are
+    averaged in tasks, a piece of the coordinates in each; what comes to the driver are the weights other than zero,
+    however many shards there are. Without labelled documents all weights are zero.
     """
     known, total = training_labels(labels if teaches is None else labels.where(teaches), settings)
     shards = max(1, -(-total // settings.shard_rows))
@@ -142,16 +151,13 @@ def fit(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()
         F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(shards)).cast("int").alias("shard"),
         F.xxhash64("doc_id", "text").alias("at"), "label", "text")
     coded = rows.mapInArrow(_featurise, "shard int, at long, label int, features array<int>")
-    parts = coded.repartition(4 * shards, "shard").groupBy("shard").applyInPandas(
-        _learner(settings), "z binary, n binary").toArrow()
-    z, n, heard = (np.zeros((1 << BITS) + 1) for _ in range(3))
-    for part_z, part_n in zip(parts.column("z"), parts.column("n"), strict=True):
-        one_n = np.frombuffer(part_n.as_buffer(), np.float32)
-        z += np.frombuffer(part_z.as_buffer(), np.float32)
-        n += one_n
-        heard += one_n > 0
-    heard = np.maximum(heard, 1)
-    return Ftrl(settings, z / heard, n / heard).weights(np.arange((1 << BITS) + 1))
+    states = coded.repartition(4 * shards, "shard").groupBy("shard").applyInPandas(
+        _learner(settings), "shard int, piece int, z binary, n binary")
+    found = states.groupBy("piece").applyInPandas(_averager(settings), "at binary, weight binary").toArrow()
+    weights = np.zeros((1 << BITS) + 1)
+    for at, weight in zip(found.column("at"), found.column("weight"), strict=True):
+        weights[np.frombuffer(at.as_buffer(), np.int32)] = np.frombuffer(weight.as_buffer(), np.float64)
+    return weights
 
 
 def _learner(settings: Settings):
@@ -163,11 +169,30 @@ def _learner(settings: Settings):
         for epoch in range(settings.epochs):
             for i in np.lexsort((at, (at * (2 * epoch + 3)) & 0xFFFF)):
                 model.learn(np.asarray(sets[i], np.int64), labels[i])
-        return pd.DataFrame({"z": [model.z.astype(np.float32).tobytes()], "n": [model.n.astype(np.float32).tobytes()]})
+        z, n = model.z.astype(np.float32), model.n.astype(np.float32)
+        starts = range(0, len(z), _PIECE)
+        return pd.DataFrame({
+            "shard": int(part["shard"].iloc[0]), "piece": np.arange(len(starts), dtype=np.int32),
+            "z": [z[i: i + _PIECE].tobytes() for i in starts], "n": [n[i: i + _PIECE].tobytes() for i in starts]})
 
     return learn
 
 
+def _averager(settings: Settings):
+    """The weights other than zero of one piece of the coordinates, from the mean of its states in the shards that heard
+    of them."""
+    def average(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("shard")
+        z, n = (np.stack([np.frombuffer(x, np.float32) for x in part[c]]).astype(np.float64) for c in ("z", "n"))
+        heard = np.maximum((n > 0).sum(axis=0), 1)
+        at = int(part["piece"].iloc[0]) * _PIECE + np.arange(z.shape[1])
+        weights = _weights(settings, z.sum(axis=0) / heard, n.sum(axis=0) / heard, at)
+        used = np.flatnonzero(weights)
+        return pd.DataFrame({"at": [at[used].astype(np.int32).tobytes()], "weight": [weights[used].tobytes()]})
+
+    return average
+
+
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         sets = [features(x) for x in batch.column("text").to_pylist()]
