@@ -268,3 +268,18 @@ def test_a_chain_of_pointers_moves_a_few_times_its_rows(spark, monkeypatch):
     led, circles = graph._follow(write(chain, "pointers"), graph._rounds(None))
     assert not circles and led.where("to <> 0 or far <> node").count() == 0 and led.count() == 2048
     assert sum(written) < 10 * 2048
+
+
+@pytest.mark.parametrize("keys", [list(range(9)), [5, 1, 3, 3, None, 8, 3, 2**53 + 1, None, 2**53 + 3], [4, 7]])
+def test_the_middle_of_a_chain_is_found_without_holding_its_keys(spark, tmp_path, monkeypatch, keys):
+    from tieout.queries import QUERIES
+
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    given = []
+    monkeypatch.setattr(graph, "topological_levels", lambda edges: given.append(edges))
+    assert QUERIES["order_chain_with_cycle"](spark, str(tmp_path)).collect() == [(len(keys), False)]
+    placed = sorted(keys, key=lambda k: (k is not None, k or 0))
+    sources = [k for k in placed[:-1] if k is not None]
+    chain = list(zip(placed, placed[1:]))
+    assert sorted(map(repr, map(tuple, given[0].collect()))) == sorted(map(repr, [*chain, (placed[-1], sources[(len(sources) - 1) // 2])]))
+    assert "percentile" not in given[0]._jdf.queryExecution().optimizedPlan().toString()
