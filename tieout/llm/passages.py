@@ -80,9 +80,17 @@ def _powers(size: int) -> list[np.ndarray]:
 
 
 def word_hashes(text: str) -> np.ndarray:
-    """A hash of every word, small letters A-Z for capital ones: sums of letters times powers of their place, taken from
-    running sums, so that no word is handled by itself."""
-    line = np.frombuffer(text.encode().translate(_LOWER), np.uint8)
+    """A hash of every word, small letters A-Z for capital ones."""
+    return hashed_together([text])[0]
+
+
+def hashed_together(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of every word of the texts, one after another, and where each text's words begin, with their number at the end.
+
+    Hashes are sums of letters times powers of their place, taken from running sums, so that no word is handled by itself.
+    """
+    lines = [text.encode() for text in texts]
+    line = np.frombuffer(b" ".join(lines).translate(_LOWER), np.uint8)
     edges = np.flatnonzero(np.diff(np.concatenate(([True], _SPACE[line], [True])).view(np.int8)))
     starts, ends = edges[::2], edges[1::2]
     out, at = np.empty(len(starts), np.uint64), 0
@@ -98,7 +106,29 @@ def word_hashes(text: str) -> np.ndarray:
         at = stop
     out ^= out >> np.uint64(31)
     out *= np.uint64(0xD6E8FEB86659FD93)
-    return out ^ (out >> np.uint64(32))
+    return out ^ (out >> np.uint64(32)), np.searchsorted(starts, np.cumsum([0, *(len(x) + 1 for x in lines)]))
+
+
+def groups_of(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Neighbouring texts, first and last, that together are short; a long one is by itself."""
+    begin, size = 0, 0
+    for i, text in enumerate(texts):
+        if i > begin and size + len(text) > _PIECE:
+            yield begin, i
+            begin, size = i, 0
+        size += len(text)
+    if texts:
+        yield begin, len(texts)
+
+
+def runs_of(texts: list[str]) -> list[np.ndarray]:
+    """The runs of every text."""
+    out = []
+    for begin, end in groups_of(texts):
+        words, bounds = hashed_together(texts[begin:end])
+        hashes = runs(words)
+        out += [hashes[a: max(a, b - RUN + 1)] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+    return out
 
 
 def runs(words: np.ndarray, length: int = RUN) -> np.ndarray:
@@ -120,21 +150,23 @@ def runs(words: np.ndarray, length: int = RUN) -> np.ndarray:
     return joined * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def chosen(hashes: np.ndarray, window: int = WINDOW) -> np.ndarray:
+def chosen(hashes: np.ndarray, window: int = WINDOW, places: np.ndarray | None = None) -> np.ndarray:
     """For every ``window`` neighbouring runs, the position of the smallest hash, of equal ones the first; rising.
 
     A key has the hash above and the position below; least keys of longer windows come from those half as long.
+    ``places`` are the positions where they do not count from zero on.
     """
-    if len(hashes) <= window:
+    if len(hashes) <= window and places is None:
         return np.array([int(hashes.argmin())] if len(hashes) else [], np.int64)
+    places = np.arange(len(hashes)) if places is None else places
     low = np.uint64(0xFFFFFF)
-    keys, size = (hashes & ~low) | (np.arange(len(hashes), dtype=np.uint64) & low), 1
+    keys, size = (hashes & ~low) | (places.astype(np.uint64) & low), 1
     while size < window:
         step = min(size, window - size)
         keys = np.minimum(keys[:-step], keys[step:])
         size += step
     start = np.arange(len(keys))
-    return start + (((keys & low).astype(np.int64) - start) & 0xFFFFFF)
+    return start + (((keys & low).astype(np.int64) - places[:len(keys)]) & 0xFFFFFF)
 
 
 def _seeds(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -146,6 +178,23 @@ def _seeds(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return at, hashes[at], np.cumsum(first) - 1
 
 
+def seeds_together(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts one after another: which text each seed is in, its place among all words, and its hash. Texts of fewer than
+    ``LEAST_WORDS`` words have none."""
+    sizes = np.diff(bounds)
+    if not len(sizes) or sizes.max() < LEAST_WORDS:
+        return np.empty(0, np.int64), np.empty(0, np.int64), words[:0]
+    hashes = runs(words)
+    text = np.repeat(np.arange(len(sizes)), sizes)[:len(hashes)]
+    inside = np.arange(len(hashes)) - bounds[text]
+    # A window belongs to a text if all of its runs do.
+    whole = (inside + RUN + WINDOW - 1 <= sizes[text]) & (sizes[text] >= LEAST_WORDS)
+    places = chosen(hashes, places=inside)
+    places = places[whole[:len(places)]]
+    at = places[np.append(True, places[1:] != places[:-1])]
+    return text[at], at, hashes[at]
+
+
 def seed_places(documents: DataFrame) -> DataFrame:
     """``seed, context, around, wide, doc_id, at``: ``at`` has the document's mark in its upper and the word in its
     lower half; ``context`` hashes the ``CONTEXT`` words from there on, null near the end; ``around`` hashes those and
@@ -155,28 +204,28 @@ def seed_places(documents: DataFrame) -> DataFrame:
     Documents of fewer than ``LEAST_WORDS`` words hold no passage and have no seeds.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edge = np.arange(1, REACH + 1, dtype=np.uint64)  # the ends of a text differ from any words
         for batch in slices(batches):
-            found, near, around, wide, places, sizes = [], [], [], [], [], []
-            for mark, text in zip(batch.column("mark").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                words = word_hashes(text)
-                if len(words) < LEAST_WORDS:
-                    sizes.append(0)
+            marks, texts = batch.column("mark").to_numpy(), batch.column("text").to_pylist()
+            for begin, end in groups_of(texts):
+                words, bounds = hashed_together(texts[begin:end])
+                row, at, hashes = seeds_together(words, bounds)
+                if not len(at):
                     continue
-                at, hashes, _ = _seeds(words)
-                found.append(hashes.view(np.int64))
-                near.append(np.append(runs(words, CONTEXT), np.zeros(CONTEXT, np.uint64))[at].view(np.int64))
-                edge = np.arange(1, WINDOW + 1, dtype=np.uint64)  # the ends of a text differ from any words
-                padded = np.concatenate((edge, words, ~edge))
-                around.append((runs(padded, CONTEXT + 2 * WINDOW)[np.minimum(at, len(words) - CONTEXT)] >> np.uint64(32)).astype(
-                    np.uint32).view(np.int32))
-                edge = np.arange(1, REACH + 1, dtype=np.uint64)
-                wide.append(runs(np.concatenate((edge, words, ~edge)), RUN + 2 * REACH)[at].view(np.int64))
-                places.append(at | (mark << 32))
-                sizes.append(len(at))
-            if found:
-                doc = batch.column("doc_id").take(pa.array(np.repeat(np.arange(batch.num_rows), sizes)))
+                sizes, inside = np.diff(bounds)[row], at - bounds[row]
+                near = np.where(inside <= sizes - CONTEXT, np.append(runs(words, CONTEXT), np.zeros(CONTEXT, np.uint64))[at], np.uint64(0))
+                # Every text between edges of its own.
+                lead = REACH * (2 * np.arange(end - begin) + 1)
+                padded = np.empty(len(words) + 2 * REACH * (end - begin), np.uint64)
+                padded[np.arange(len(words)) + np.repeat(lead, np.diff(bounds))] = words
+                padded[((bounds[:-1] + lead)[:, None] + np.arange(-REACH, 0)).ravel()] = np.tile(edge, end - begin)
+                padded[((bounds[1:] + lead)[:, None] + np.arange(REACH)).ravel()] = np.tile(~edge, end - begin)
+                first = bounds[row] + lead[row]
+                around = (runs(padded, CONTEXT + 2 * WINDOW)[first + np.minimum(inside, sizes - CONTEXT) - WINDOW] >> np.uint64(32)).astype(np.uint32)
+                wide = runs(padded, RUN + 2 * REACH)[first + inside - REACH]
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(np.concatenate(x)) for x in (found, near, around, wide)), doc, pa.array(np.concatenate(places))],
+                    [pa.array(hashes.view(np.int64)), pa.array(near.view(np.int64)), pa.array(around.view(np.int32)), pa.array(wide.view(np.int64)),
+                     batch.column("doc_id").take(pa.array(begin + row)), pa.array(inside | (marks[begin + row] << 32))],
                     ["seed", "context", "around", "wide", "doc_id", "at"])
 
     rows = _marked(documents).mapInArrow(run, "seed long, context long, around int, wide long, doc_id long, at long")
@@ -226,7 +275,10 @@ def with_first(places: DataFrame, *keys: str) -> DataFrame:
         F.min(F.struct("doc_id", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(
         *keys, F.col("first.doc_id").alias("other_id"), F.col("first.at").alias("other_at"))
     # Written, so that both sides of the join come from plain shuffles and Spark can split a hot key.
-    return places.hint("merge").join(write_scratch(first, f"first-{keys[-1]}"), list(keys))
+    first = write_scratch(first, f"first-{keys[-1]}")
+    found = write_scratch(places.hint("merge").join(first, list(keys)), f"with-first-{keys[-1]}")
+    drop_scratch(first)
+    return found
 
 
 def _marked(documents: DataFrame) -> DataFrame:
@@ -250,26 +302,29 @@ def matches(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     first of each: ``seed, wide, doc_id, at, other_id, other_at``."""
     # Written without the text: the first places and the join with them read the same rows.
     seeds = write_scratch(seed_places(documents), "seeds")
-    seeded = write_scratch(with_first(seeds.select("seed", "wide", "doc_id", "at"), "seed"), "seeded")
-    near = write_scratch(with_first(seeds.select("context", "around", "doc_id", "at"), "context"), "contexts")
+    seeded = with_first(seeds.select("seed", "wide", "doc_id", "at"), "seed")
+    near = with_first(seeds.select("context", "around", "doc_id", "at"), "context")
     # Where all places of a context have the same words around it, the first has every window of the others.
     mixed = write_scratch(near.groupBy("context").agg(F.min("around").alias("low"), F.max("around").alias("high")).where(
         "low <> high").select("context"), "mixed-contexts")
     wide = write_scratch(window_places(documents, near.join(mixed, "context").select("context", "doc_id", "at")), "windows")
     drop_scratch(seeds)
     firsts = write_scratch(near.select("context", "other_id", "other_at").distinct().join(mixed, "context"), "mixed-firsts")
-    theirs = wide.select("context", F.col("doc_id").alias("o"), F.col("at").alias("p"), F.col("windows").alias("theirs")).join(
+    theirs = write_scratch(wide.select("context", F.col("doc_id").alias("o"), F.col("at").alias("p"), F.col("windows").alias("theirs")).join(
         firsts, ["context"]).where(F.col("o").eqNullSafe(F.col("other_id")) & (F.col("p") == F.col("other_at"))).select(
-        "context", "theirs").dropDuplicates(["context"])
-    missing = wide.hint("merge").join(write_scratch(theirs, "first-windows"), "context").select(
+        "context", "theirs").dropDuplicates(["context"]), "first-windows")
+    missing = wide.hint("merge").join(theirs, "context").select(
         "context", "doc_id", "at", F.array_except("windows", "theirs").alias("missing"))
     first = F.min(F.struct("doc_id", "at")).over(Window.partitionBy("context", "window"))
     rest = missing.where(F.size("missing") > 0).select("context", F.explode("missing").alias("window"), "doc_id", "at").select(
         "doc_id", "at", first.alias("first")).select("doc_id", "at", "first.*").toDF("doc_id", "at", "other_id", "other_at").where(
         ~(F.col("doc_id").eqNullSafe(F.col("other_id")) & (F.col("at") == F.col("other_at"))))
     columns = ["doc_id", "at", "other_id", "other_at"]
+    rest = write_scratch(rest.select(*columns).distinct(), "windows-elsewhere")
+    for done in (mixed, wide, firsts, theirs):
+        drop_scratch(done)
     linked = seeded.select(*columns, F.lit(False).alias("sure")).unionByName(
-        near.select(*columns).unionByName(rest.select(*columns).distinct()).withColumn("sure", F.lit(True)))
+        near.select(*columns).unionByName(rest).withColumn("sure", F.lit(True)))
     return _by_documents(linked), seeded
 
 
@@ -292,15 +347,17 @@ def other_holders(documents: DataFrame, seeded: DataFrame, found: DataFrame) ->
     it, with the first place of every different surrounding in earlier documents, and linked with the first that shares a
     passage. Places with equal surroundings have the same 50 words around the seed, so one stands for all of them.
     """
-    spans = found.groupBy(F.col("doc_id").alias("d"), F.col("mark").alias("m")).agg(
-        F.collect_set(F.struct("start", "end")).alias("spans"))
     kinds = write_scratch(seeded.groupBy("seed", "wide").agg(F.min(F.struct("doc_id", "at")).alias("kind")), "kinds")
     several = kinds.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("seed")
     later = seeded.where(~(F.col("doc_id").eqNullSafe(F.col("other_id")) & (F.col("at") == F.col("other_at")))).select(
         "seed", "doc_id", "at").join(several, "seed")
-    inside = F.exists("spans", lambda s: (s["start"] <= _place("at")) & (s["end"] >= _place("at") + RUN))
-    asked = write_scratch(later.join(spans, F.col("doc_id").eqNullSafe(F.col("d")) & (_mark("at") == F.col("m")), "left").where(
-        ~F.coalesce(inside, F.lit(False))).select("seed", "doc_id", "at").distinct(), "asked")
+    # Places and the starts of passages in the order of words: the furthest end so far tells whether a place is in a passage.
+    ends = found.groupBy("doc_id", "mark", F.col("start").alias("place")).agg(F.max("end").alias("end"))
+    both = later.withColumns({"mark": _mark("at"), "place": _place("at")}).unionByName(ends, allowMissingColumns=True)
+    far = F.max("end").over(Window.partitionBy("doc_id", "mark").orderBy("place", F.col("end").desc_nulls_last()).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow))
+    asked = write_scratch(both.withColumn("far", F.coalesce(far, F.lit(0))).where(
+        F.col("at").isNotNull() & (F.col("far") < F.col("place") + RUN)).select("seed", "doc_id", "at").distinct(), "asked")
     last = asked.groupBy("seed").agg(F.max(F.struct("doc_id", "at")).alias("last"), F.count(F.lit(1)).alias("n_asked"))
     told = write_scratch(kinds.join(last, "seed").where("kind < last").select("seed", "kind.*", "n_asked"), "told")
     hot = write_scratch(told.groupBy("seed").agg(F.max("n_asked").alias("n_asked"), F.count(F.lit(1)).alias("n_told")).where(
@@ -361,8 +418,8 @@ def surroundings(documents: DataFrame, places: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             seeds, asks, places, lows, around, sizes = [], [], [], [], [], []
-            for mark, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("mark", "text", "wanted")), strict=True):
-                hashes = runs(word_hashes(text))
+            marks, texts, lists = (batch.column(c).to_pylist() for c in ("mark", "text", "wanted"))
+            for mark, hashes, wanted in zip(marks, runs_of(texts), lists, strict=True):
                 short = (hashes >> np.uint64(48)).astype(np.uint16).tobytes()
                 codes = np.array(wanted, np.int64)
                 at = codes >> 1
@@ -400,8 +457,14 @@ def first_alike(order: np.ndarray, asks: np.ndarray, ids: np.ndarray, known: np.
 
     Runs that few places are told to have are looked up; those of many only for pairs that can have a passage with them.
     """
-    asked, told = order[asks[order] == 1], order[asks[order] == 0]
-    earlier = np.searchsorted(np.flatnonzero(asks[order] == 0), np.flatnonzero(asks[order] == 1))
+    asking = asks[order] == 1
+    # Places told of in documents before; those of the same document have none of its passages to tell of.
+    steps = [np.diff(v[order]) != 0 for v in (ids, known, at >> 32)]
+    document = np.cumsum(np.append(False, steps[0] | steps[1] | steps[2]))
+    earlier = np.searchsorted(document[~asking], document[asking])
+    if not (earlier > 0).any():
+        return
+    asked, told, earlier = order[asking][earlier > 0], order[~asking][:earlier.max()], earlier[earlier > 0]
     n, many = len(told), max(16, len(told) // 8)
     values, owner = np.concatenate([around[j] for j in told]), np.repeat(np.arange(n), [len(around[j]) for j in told])
     sort = np.argsort(values, kind="stable")
@@ -437,15 +500,15 @@ def first_alike(order: np.ndarray, asks: np.ndarray, ids: np.ndarray, known: np.
             here = bounds[k] + np.flatnonzero(frequent[bounds[k]: bounds[k + 1]])
             agree[ends[k]: ends[k + 1], places[here]] = has[np.ix_(
                 found[ends[k]: ends[k + 1]] - k * n, np.searchsorted(common, mine[here]))]
-        done = -1
-        for pair in found[_may_hold(agree)].tolist():
-            i, j = int(some[pair // n]), int(told[pair % n])
-            if i == done or (known[i] == known[j] and ids[i] == ids[j] and at[i] >> 32 == at[j] >> 32):
-                continue
-            shared = _shared(around[i], around[j], int(at[i] & 0xFFFFFFFF) - int(low[i]), int(at[j] & 0xFFFFFFFF) - int(low[j]))
-            if shared:
-                done = i
-                yield i, j, [(int(low[i]) + x, int(low[j]) + y) for x, y in shared]
+        held = found[_may_hold(agree)]
+        bounds = np.searchsorted(held, np.arange(len(some) + 1) * n)
+        for k in np.flatnonzero(np.diff(bounds)).tolist():
+            i = int(some[k])
+            for j in told[held[bounds[k]: bounds[k + 1]] - k * n].tolist():
+                shared = _shared(around[i], around[j], int(at[i] & 0xFFFFFFFF) - int(low[i]), int(at[j] & 0xFFFFFFFF) - int(low[j]))
+                if shared:
+                    yield i, j, [(int(low[i]) + x, int(low[j]) + y) for x, y in shared]
+                    break
 
 
 def _may_hold(agree: np.ndarray) -> np.ndarray:
@@ -704,13 +767,13 @@ def shared_passages(documents: DataFrame) -> DataFrame:
     ignored. Passages repeated inside one document only are not meant.
     """
     pairs, seeded = matches(documents)
-    found = write_scratch(aligned(documents, pairs), "passages")
+    found = aligned(documents, pairs)
     return merged(found.unionByName(aligned(documents, _by_documents(other_holders(documents, seeded, found)))))
 
 
 def aligned(documents: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The passages along the chains of the matches of each two documents."""
-    lines = write_scratch(candidates(pairs), "chains")
+    """The passages along the chains of the matches of each two documents, written; what led to them goes."""
+    chained = lines = write_scratch(candidates(pairs), "chains")
     wanted = lines.select("doc_id", "mark", "low", "high").unionByName(lines.select(
         F.col("other_id").alias("doc_id"), F.col("other_mark").alias("mark"), F.col("other_low").alias("low"),
         F.col("other_high").alias("high"))).distinct()
@@ -729,9 +792,8 @@ def aligned(documents: DataFrame, pairs: DataFrame) -> DataFrame:
         schema = pa.schema([(n, {"long": pa.int64(), "int": pa.int32(), "double": pa.float64()}[t])
                             for n, t in (f.split() for f in FOUND.split(", "))])
         for batch in slices(batches):
-            out = []
-            for r in batch.to_pylist():
-                left, right = runs(word_hashes(r["left"])), runs(word_hashes(r["right"]))
+            out, lines = [], batch.to_pylist()
+            for r, left, right in zip(lines, *(runs_of([r[side] for r in lines]) for side in ("left", "right")), strict=True):
                 found = [(np.array(x) - r["low"], np.array(y) - r["other_low"]) for x, y in zip(r["xs"], r["ys"], strict=True)]
                 for start, end, other_start, other_end, share in passages_of(left, right, found):
                     out.append({
@@ -741,7 +803,10 @@ def aligned(documents: DataFrame, pairs: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema)
 
-    return lines.mapInArrow(align, FOUND)
+    found = write_scratch(lines.mapInArrow(align, FOUND), "passages")
+    drop_scratch(chained)
+    drop_scratch(parts)
+    return found
 
 
 def merged(found: DataFrame) -> DataFrame:
